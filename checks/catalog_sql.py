@@ -31,3 +31,14 @@ ORACLE["target_candidates"] = o.target_candidates("dirty")
 ORACLE["quality_issues"] = o.quality_issues("dirty")
 ORACLE["issue_columns"] = o.issue_columns("dirty")
 ORACLE["size_estimate"] = o.size_estimate("orders")
+
+# ---------------------------------------------------------------- 2.3 / 2.4 cleaning
+from checks import oracle_clean as oc  # noqa: E402
+
+for _k in ["missing_issues", "missing_severity", "duplicate_issue", "outlier_issues", "numeric_type_issues",
+           "datetime_type_issues", "issue_summary"]:
+    ORACLE[_k] = getattr(oc, _k)("dirty")
+for _k in ["convert_numeric", "convert_datetime", "fill_median", "fill_mean", "fill_mode", "fill_constant",
+           "drop_column", "drop_rows_missing", "drop_duplicates", "winsorize", "drop_outlier_rows",
+           "apply_cleaning", "cleaning_report", "auto_clean"]:
+    ORACLE[_k] = getattr(oc, _k)()

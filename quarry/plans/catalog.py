@@ -56,3 +56,29 @@ simple("target_candidates", pr.target_candidates, "dirty")
 simple("quality_issues", pr.quality_issues, "dirty")
 simple("issue_columns", pr.issue_columns, "dirty")
 simple("size_estimate", pr.size_estimate, "orders")
+
+# ---------------------------------------------------------------- 2.3 / 2.4 cleaning
+from quarry.operators import clean as cl  # noqa: E402
+from quarry.plans.cleaning_plans import APPLY_PLAN  # noqa: E402
+
+simple("missing_issues", cl.missing_issues, "dirty")
+simple("missing_severity", lambda df: cl.missing_severity(cl.missing_issues(df)), "dirty")
+simple("duplicate_issue", cl.duplicate_issue, "dirty")
+simple("outlier_issues", cl.outlier_issues, "dirty")
+simple("numeric_type_issues", cl.numeric_type_issues, "dirty")
+simple("datetime_type_issues", cl.datetime_type_issues, "dirty")
+simple("issue_summary", lambda df: cl.issue_summary(cl.analyze_issues(df)), "dirty")
+simple("convert_numeric", lambda df: cl.convert_numeric(df, "cust_txt"), "dirty")
+simple("convert_datetime", lambda df: cl.convert_datetime(df, "date_txt"), "dirty")
+simple("fill_median", lambda df: cl.fill_median(df, "amount"), "dirty")
+simple("fill_mean", lambda df: cl.fill_mean(df, "amount"), "dirty")
+simple("fill_mode", lambda df: cl.fill_mode(df, "priority"), "dirty")
+simple("fill_constant", lambda df: cl.fill_constant(df, "priority", "Unknown"), "dirty")
+simple("drop_column", lambda df: cl.drop_column(df, "mostly_null"), "dirty")
+simple("drop_rows_missing", lambda df: cl.drop_rows_missing(df, ["amount", "priority"]), "dirty")
+simple("drop_duplicates", cl.drop_duplicates, "dirty")
+simple("winsorize", lambda df: cl.winsorize(df, "amount"), "dirty")
+simple("drop_outlier_rows", lambda df: cl.drop_outlier_rows(df, "amount"), "dirty")
+simple("apply_cleaning", lambda df: cl.apply_cleaning(df, APPLY_PLAN).data, "dirty")
+simple("cleaning_report", lambda df: cl.apply_cleaning(df, APPLY_PLAN).report, "dirty")
+simple("auto_clean", lambda df: cl.auto_clean(df).data, "dirty")
