@@ -42,3 +42,29 @@ for _k in ["convert_numeric", "convert_datetime", "fill_median", "fill_mean", "f
            "drop_column", "drop_rows_missing", "drop_duplicates", "winsorize", "drop_outlier_rows",
            "apply_cleaning", "cleaning_report", "auto_clean"]:
     ORACLE[_k] = getattr(oc, _k)()
+
+# ---------------------------------------------------------------- 2.5 exploratory analysis
+from checks import oracle_eda as oe  # noqa: E402
+
+DIRTY_CATS = ["priority", "cust_txt", "is_final", "mostly_null"]
+ORACLE["eda_overview"] = oe.eda_overview("dirty")
+ORACLE["descriptive_stats"] = oe.descriptive_stats("lineitem")
+ORACLE["shape_labels"] = oe.shape_labels("lineitem")
+ORACLE["eda_outliers"] = oe.eda_outliers("dirty")
+ORACLE["eda_outlier_samples"] = oe.outlier_samples("dirty", "o_orderkey")
+ORACLE["pearson_matrix"] = oe.pearson_matrix("lineitem")
+ORACLE["pearson_matrix_nulls"] = oe.pearson_matrix("dirty")
+ORACLE["spearman_matrix"] = oe.spearman_matrix("lineitem")
+ORACLE["spearman_matrix_nulls"] = oe.spearman_matrix("dirty")
+ORACLE["top_correlations"] = oe.top_correlations("lineitem")
+ORACLE["histograms"] = oe.histograms("lineitem")
+ORACLE["categorical_breakdown"] = oe.categorical_breakdown("dirty", DIRTY_CATS)
+ORACLE["pick_value_column"] = oe.pick_value_column("o_totalprice")
+ORACLE["monthly_totals"] = oe.monthly_totals("orders", "o_orderdate", "o_totalprice")
+ORACLE["monthly_moving_avg"] = oe.monthly_moving_avg("orders", "o_orderdate", "o_totalprice")
+ORACLE["weekly_totals"] = oe.weekly_totals("events", "ts", "value")
+ORACLE["missing_ranking"] = oe.missing_ranking("dirty")
+ORACLE["box_plot_stats"] = oe.box_plot_stats("lineitem")
+ORACLE["outlier_rows"] = oe.outlier_rows("dirty", "o_orderkey")
+ORACLE["ols_trend"] = oe.ols_trend("lineitem", "l_quantity", "l_extendedprice")
+ORACLE["insights"] = oe.insights("dirty", DIRTY_CATS)

@@ -82,3 +82,30 @@ simple("drop_outlier_rows", lambda df: cl.drop_outlier_rows(df, "amount"), "dirt
 simple("apply_cleaning", lambda df: cl.apply_cleaning(df, APPLY_PLAN).data, "dirty")
 simple("cleaning_report", lambda df: cl.apply_cleaning(df, APPLY_PLAN).report, "dirty")
 simple("auto_clean", lambda df: cl.auto_clean(df).data, "dirty")
+
+# ---------------------------------------------------------------- 2.5 exploratory analysis
+from quarry.operators import eda as ed  # noqa: E402
+
+simple("eda_overview", ed.eda_overview, "dirty")
+simple("descriptive_stats", ed.descriptive_stats, "lineitem")
+simple("shape_labels", lambda df: ed.shape_labels(ed.descriptive_stats(df)), "lineitem")
+simple("eda_outliers", ed.eda_outliers, "dirty")
+simple("eda_outlier_samples", lambda df: ed.outlier_samples(df, "o_orderkey"), "dirty")
+simple("pearson_matrix", ed.pearson_matrix, "lineitem")
+simple("pearson_matrix_nulls", ed.pearson_matrix, "dirty")
+simple("spearman_matrix", ed.spearman_matrix, "lineitem")
+simple("spearman_matrix_nulls", ed.spearman_matrix, "dirty")
+simple("top_correlations", lambda df: ed.top_correlations(ed.pearson_matrix(df)), "lineitem")
+simple("histograms", ed.histograms, "lineitem")
+simple("categorical_breakdown", ed.categorical_breakdown, "dirty")
+QUERIES["pick_value_column"] = lambda spark, sf: spark.createDataFrame(
+    [(ed.pick_value_column(table(spark, sf, "orders"), target="o_totalprice"),)], "value_column string")
+simple("monthly_totals", lambda df: ed.monthly_totals(df, "o_totalprice"), "orders")
+simple("monthly_moving_avg", lambda df: ed.monthly_moving_avg(ed.monthly_totals(df, "o_totalprice")), "orders")
+simple("weekly_totals", lambda df: ed.weekly_totals(df, "value"), "events")
+simple("missing_ranking", ed.missing_ranking, "dirty")
+simple("box_plot_stats", ed.box_plot_stats, "lineitem")
+simple("outlier_rows", lambda df: ed.outlier_rows(df, "o_orderkey"), "dirty")
+simple("ols_trend", lambda df: ed.ols_trend(df, "l_quantity", "l_extendedprice"), "lineitem")
+simple("insights", ed.insights, "dirty")
+simple("table_fingerprint", ed.table_fingerprint, "orders")
