@@ -68,3 +68,23 @@ ORACLE["box_plot_stats"] = oe.box_plot_stats("lineitem")
 ORACLE["outlier_rows"] = oe.outlier_rows("dirty", "o_orderkey")
 ORACLE["ols_trend"] = oe.ols_trend("lineitem", "l_quantity", "l_extendedprice")
 ORACLE["insights"] = oe.insights("dirty", DIRTY_CATS)
+
+# ---------------------------------------------------------------- 2.9 evaluation metrics
+from checks import oracle_metrics as om  # noqa: E402
+
+ORACLE["accuracy"] = om.accuracy("scored_multi")
+ORACLE["weighted_precision"] = om.one("scored_multi", "precision")
+ORACLE["weighted_recall"] = om.one("scored_multi", "recall")
+ORACLE["weighted_f1"] = om.one("scored_multi", "f1")
+ORACLE["roc_auc"] = om.roc_auc()
+ORACLE["roc_auc_ovr"] = om.roc_auc_ovr()
+ORACLE["log_loss"] = om.log_loss()
+ORACLE["confusion_matrix"] = om.confusion_matrix()
+ORACLE["classification_report"] = om.classification_report()
+for _m in ["mae", "mse", "rmse", "r2", "explained_variance", "median_absolute_error", "mape"]:
+    ORACLE[_m] = f"SELECT {_m} FROM ({om.regression_scores()})"
+ORACLE["evaluate"] = om.regression_scores()
+ORACLE["evaluate_binary"] = om.evaluate_binary()
+ORACLE["metric_leaderboard"] = om.metric_leaderboard()
+ORACLE["roc_curve_points"] = om.roc_curve_points()
+ORACLE["residual_histogram"] = om.residual_histogram()

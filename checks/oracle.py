@@ -30,7 +30,7 @@ SCHEMAS = {
 }
 NUMERIC = {"bigint", "int", "double", "smallint", "tinyint", "float"}
 INTEGRAL = {"bigint", "int", "smallint", "tinyint"}
-VIEW_TABLES = {"dirty", "scored_binary", "scored_multi", "scored_regression"}
+VIEW_TABLES = {"dirty", "scored_binary", "scored_multi", "scored_regression", "scored_proba"}
 
 # The timestamp formats accepted when parsing strings (strftime form).
 DATE_FORMATS = ["%Y-%m-%d %H:%M:%S", "%Y-%m-%dT%H:%M:%S", "%Y-%m-%d", "%Y/%m/%d", "%m/%d/%Y"]

@@ -32,6 +32,14 @@ FROM orders""",
     "scored_regression": """
 SELECT o_orderkey AS id, o_totalprice AS label,
        o_totalprice * (CAST(90 AS DOUBLE) + CAST(o_orderkey % 21 AS DOUBLE)) / CAST(100 AS DOUBLE) AS prediction
+FROM orders""",
+    "scored_proba": """
+SELECT o_orderkey AS id, o_orderpriority AS label,
+       exp((CAST((o_orderkey * 3) % 97 AS DOUBLE) / 97.0 + CASE WHEN o_orderpriority = '1-URGENT' THEN 0.5 ELSE 0.0 END)) / (exp((CAST((o_orderkey * 3) % 97 AS DOUBLE) / 97.0 + CASE WHEN o_orderpriority = '1-URGENT' THEN 0.5 ELSE 0.0 END)) + exp((CAST((o_orderkey * 4) % 97 AS DOUBLE) / 97.0 + CASE WHEN o_orderpriority = '2-HIGH' THEN 0.5 ELSE 0.0 END)) + exp((CAST((o_orderkey * 5) % 97 AS DOUBLE) / 97.0 + CASE WHEN o_orderpriority = '3-MEDIUM' THEN 0.5 ELSE 0.0 END)) + exp((CAST((o_orderkey * 6) % 97 AS DOUBLE) / 97.0 + CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 0.5 ELSE 0.0 END)) + exp((CAST((o_orderkey * 7) % 97 AS DOUBLE) / 97.0 + CASE WHEN o_orderpriority = '5-LOW' THEN 0.5 ELSE 0.0 END))) AS p0,
+       exp((CAST((o_orderkey * 4) % 97 AS DOUBLE) / 97.0 + CASE WHEN o_orderpriority = '2-HIGH' THEN 0.5 ELSE 0.0 END)) / (exp((CAST((o_orderkey * 3) % 97 AS DOUBLE) / 97.0 + CASE WHEN o_orderpriority = '1-URGENT' THEN 0.5 ELSE 0.0 END)) + exp((CAST((o_orderkey * 4) % 97 AS DOUBLE) / 97.0 + CASE WHEN o_orderpriority = '2-HIGH' THEN 0.5 ELSE 0.0 END)) + exp((CAST((o_orderkey * 5) % 97 AS DOUBLE) / 97.0 + CASE WHEN o_orderpriority = '3-MEDIUM' THEN 0.5 ELSE 0.0 END)) + exp((CAST((o_orderkey * 6) % 97 AS DOUBLE) / 97.0 + CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 0.5 ELSE 0.0 END)) + exp((CAST((o_orderkey * 7) % 97 AS DOUBLE) / 97.0 + CASE WHEN o_orderpriority = '5-LOW' THEN 0.5 ELSE 0.0 END))) AS p1,
+       exp((CAST((o_orderkey * 5) % 97 AS DOUBLE) / 97.0 + CASE WHEN o_orderpriority = '3-MEDIUM' THEN 0.5 ELSE 0.0 END)) / (exp((CAST((o_orderkey * 3) % 97 AS DOUBLE) / 97.0 + CASE WHEN o_orderpriority = '1-URGENT' THEN 0.5 ELSE 0.0 END)) + exp((CAST((o_orderkey * 4) % 97 AS DOUBLE) / 97.0 + CASE WHEN o_orderpriority = '2-HIGH' THEN 0.5 ELSE 0.0 END)) + exp((CAST((o_orderkey * 5) % 97 AS DOUBLE) / 97.0 + CASE WHEN o_orderpriority = '3-MEDIUM' THEN 0.5 ELSE 0.0 END)) + exp((CAST((o_orderkey * 6) % 97 AS DOUBLE) / 97.0 + CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 0.5 ELSE 0.0 END)) + exp((CAST((o_orderkey * 7) % 97 AS DOUBLE) / 97.0 + CASE WHEN o_orderpriority = '5-LOW' THEN 0.5 ELSE 0.0 END))) AS p2,
+       exp((CAST((o_orderkey * 6) % 97 AS DOUBLE) / 97.0 + CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 0.5 ELSE 0.0 END)) / (exp((CAST((o_orderkey * 3) % 97 AS DOUBLE) / 97.0 + CASE WHEN o_orderpriority = '1-URGENT' THEN 0.5 ELSE 0.0 END)) + exp((CAST((o_orderkey * 4) % 97 AS DOUBLE) / 97.0 + CASE WHEN o_orderpriority = '2-HIGH' THEN 0.5 ELSE 0.0 END)) + exp((CAST((o_orderkey * 5) % 97 AS DOUBLE) / 97.0 + CASE WHEN o_orderpriority = '3-MEDIUM' THEN 0.5 ELSE 0.0 END)) + exp((CAST((o_orderkey * 6) % 97 AS DOUBLE) / 97.0 + CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 0.5 ELSE 0.0 END)) + exp((CAST((o_orderkey * 7) % 97 AS DOUBLE) / 97.0 + CASE WHEN o_orderpriority = '5-LOW' THEN 0.5 ELSE 0.0 END))) AS p3,
+       exp((CAST((o_orderkey * 7) % 97 AS DOUBLE) / 97.0 + CASE WHEN o_orderpriority = '5-LOW' THEN 0.5 ELSE 0.0 END)) / (exp((CAST((o_orderkey * 3) % 97 AS DOUBLE) / 97.0 + CASE WHEN o_orderpriority = '1-URGENT' THEN 0.5 ELSE 0.0 END)) + exp((CAST((o_orderkey * 4) % 97 AS DOUBLE) / 97.0 + CASE WHEN o_orderpriority = '2-HIGH' THEN 0.5 ELSE 0.0 END)) + exp((CAST((o_orderkey * 5) % 97 AS DOUBLE) / 97.0 + CASE WHEN o_orderpriority = '3-MEDIUM' THEN 0.5 ELSE 0.0 END)) + exp((CAST((o_orderkey * 6) % 97 AS DOUBLE) / 97.0 + CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 0.5 ELSE 0.0 END)) + exp((CAST((o_orderkey * 7) % 97 AS DOUBLE) / 97.0 + CASE WHEN o_orderpriority = '5-LOW' THEN 0.5 ELSE 0.0 END))) AS p4
 FROM orders""",
 }
 

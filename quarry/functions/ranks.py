@@ -25,13 +25,16 @@ def _partitions(df: DataFrame, n: int | None) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def prefix_counts(d: DataFrame, group_cols: Sequence[str], order_col: str, weight_col: str = "cnt",
+def prefix_counts(d: DataFrame, group_cols: Sequence[str], order_col: str, weight_col: str | Sequence[str] = "cnt",
                   num_partitions: int | None = None) -> DataFrame:
-    """Add ``before``: total ``weight_col`` of rows in the same group with a smaller ``order_col``.
+    """Add ``before`` (or ``before_<w>`` for several weights): total weight of rows in the
+    same group with a smaller ``order_col``.
 
     ``d`` must hold one row per (group, order value).
     """
     group_cols = list(group_cols)
+    weights = [weight_col] if isinstance(weight_col, str) else list(weight_col)
+    names = ["before"] if isinstance(weight_col, str) else [f"before_{w}" for w in weights]
     parts = _partitions(d, num_partitions)
     r = d.repartitionByRange(parts, *[F.col(c) for c in group_cols], F.col(order_col)).withColumn(
         "_pid", F.spark_partition_id()
@@ -41,16 +44,19 @@ def prefix_counts(d: DataFrame, group_cols: Sequence[str], order_col: str, weigh
         .orderBy(order_col)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    r = r.withColumn("_local", F.coalesce(F.sum(weight_col).over(w_local), F.lit(0)))
+    for w, nm in zip(weights, names):
+        r = r.withColumn(f"_local_{nm}", F.coalesce(F.sum(w).over(w_local), F.lit(0)))
     # one row per (partition, group): at most partitions + groups rows
-    totals = r.groupBy("_pid", *group_cols).agg(F.sum(weight_col).alias("_ptotal"))
+    totals = r.groupBy("_pid", *group_cols).agg(*[F.sum(w).alias(f"_pt_{nm}") for w, nm in zip(weights, names)])
     w_off = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.withColumn("_offset", F.coalesce(F.sum("_ptotal").over(w_off), F.lit(0))).drop("_ptotal")
-    return (
-        r.join(F.broadcast(offsets), ["_pid", *group_cols])
-        .withColumn("before", F.col("_local") + F.col("_offset"))
-        .drop("_pid", "_local", "_offset")
+    offsets = totals.select(
+        "_pid", *group_cols,
+        *[F.coalesce(F.sum(f"_pt_{nm}").over(w_off), F.lit(0)).alias(f"_off_{nm}") for nm in names],
     )
+    out = r.join(F.broadcast(offsets), ["_pid", *group_cols])
+    for nm in names:
+        out = out.withColumn(nm, F.col(f"_local_{nm}") + F.col(f"_off_{nm}")).drop(f"_local_{nm}", f"_off_{nm}")
+    return out.drop("_pid")
 
 
 def average_ranks(long_df: DataFrame, group_cols: Sequence[str], value_col: str,

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.operators import profile as pr
+from quarry.plans import fixtures
 from quarry.plans.fixtures import dirty, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,9 +25,13 @@ def register(name: str):
     return deco
 
 
+VIEWS = {"dirty": dirty, "scored_binary": fixtures.scored_binary, "scored_multi": fixtures.scored_multi,
+         "scored_regression": fixtures.scored_regression, "scored_proba": fixtures.scored_proba}
+
+
 def t(name: str) -> Query:
-    if name == "dirty":
-        return dirty
+    if name in VIEWS:
+        return VIEWS[name]
     return lambda spark, sf: table(spark, sf, name)
 
 
@@ -109,3 +114,47 @@ simple("outlier_rows", lambda df: ed.outlier_rows(df, "o_orderkey"), "dirty")
 simple("ols_trend", lambda df: ed.ols_trend(df, "l_quantity", "l_extendedprice"), "lineitem")
 simple("insights", ed.insights, "dirty")
 simple("table_fingerprint", ed.table_fingerprint, "orders")
+
+# ---------------------------------------------------------------- 2.9 evaluation metrics
+from pyspark.sql import functions as F  # noqa: E402
+
+from quarry.functions.frames import one_row_join  # noqa: E402
+from quarry.operators import metrics as ev  # noqa: E402
+
+PROBA_CLASSES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+PROBA_COLS = [f"p{i}" for i in range(len(PROBA_CLASSES))]
+simple("accuracy", ev.accuracy, "scored_multi")
+simple("weighted_precision", ev.weighted_precision, "scored_multi")
+simple("weighted_recall", ev.weighted_recall, "scored_multi")
+simple("weighted_f1", ev.weighted_f1, "scored_multi")
+simple("roc_auc", ev.roc_auc, "scored_binary")
+simple("roc_auc_ovr", lambda df: ev.roc_auc_ovr(df, PROBA_CLASSES, PROBA_COLS), "scored_proba")
+simple("log_loss", lambda df: ev.log_loss(df, PROBA_CLASSES, PROBA_COLS), "scored_proba")
+simple("confusion_matrix", ev.confusion_matrix, "scored_multi")
+simple("classification_report", ev.classification_report, "scored_multi")
+for _m in ["mae", "mse", "rmse", "r2", "explained_variance", "median_absolute_error", "mape"]:
+    simple(_m, getattr(ev, _m), "scored_regression")
+simple("evaluate", lambda df: ev.evaluate(df, "regression"), "scored_regression")
+simple("evaluate_binary", lambda df: ev.evaluate(df, "classification", score="score"), "scored_binary")
+
+
+def _leaderboard(spark, sf):
+    """Three prediction columns over orders, evaluated and ranked on r2."""
+    df = fixtures.scored_regression(spark, sf)
+    mean = df.agg(F.avg("label").alias("_m"))
+    baseline = one_row_join(df, mean).withColumn("prediction", F.col("_m")).drop("_m")
+    cands = {
+        "scored": df,
+        "inflated": df.withColumn("prediction", F.col("label") * 1.05),
+        "mean_baseline": baseline,
+    }
+    rows = None
+    for name, d in cands.items():
+        r = ev.regression_scores(d).select(F.lit(name).alias("model"), "*")
+        rows = r if rows is None else rows.unionByName(r)
+    return ev.metric_leaderboard(rows, "regression")
+
+
+QUERIES["metric_leaderboard"] = _leaderboard
+simple("roc_curve_points", ev.roc_curve_points, "scored_binary")
+simple("residual_histogram", ev.residual_histogram, "scored_regression")
