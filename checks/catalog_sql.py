@@ -88,3 +88,21 @@ ORACLE["evaluate_binary"] = om.evaluate_binary()
 ORACLE["metric_leaderboard"] = om.metric_leaderboard()
 ORACLE["roc_curve_points"] = om.roc_curve_points()
 ORACLE["residual_histogram"] = om.residual_histogram()
+
+# ---------------------------------------------------------------- 2.6 validation and preparation
+from checks import oracle_prepare as op  # noqa: E402
+
+ORACLE["validate_dataset"] = op.validate_dataset("orders")
+ORACLE["detect_target"] = op.detect_target_orders()
+ORACLE["validate_target"] = op.validate_target("orders", "o_orderpriority")
+ORACLE["detect_problem_type"] = op.detect_problem_type("orders", "o_totalprice")
+ORACLE["detect_problem_type_ratio"] = op.detect_problem_type("lineitem", "l_quantity")
+ORACLE["split_features_target"] = op.split_features("orders", "o_totalprice")
+ORACLE["detect_feature_types"] = op.feature_types("orders")
+ORACLE["convert_datetime_features"] = op.convert_datetime_features()
+ORACLE["detect_id_columns"] = op.detect_id_columns("orders")
+ORACLE["class_imbalance"] = op.class_imbalance("orders", "o_orderstatus")
+ORACLE["impute_scale_numeric"] = op.impute_scale("dirty")
+ORACLE["impute_onehot_categorical"] = op.impute_onehot("dirty", "priority", "o_orderkey")
+ORACLE["train_test_split"] = op.train_test_split("orders", "o_orderkey")
+ORACLE["train_test_split_stratified"] = op.stratified_split("orders", "o_orderkey", "o_orderstatus")

@@ -3,9 +3,10 @@
 No global unpartitioned window and no per-group value map: values are first
 collapsed to ``(group, value, count)`` (partial aggregation absorbs hot
 values), then range-partitioned on ``(group, value)`` so a group with billions
-of distinct values spreads over many tasks. Each task computes running counts
-inside its own range; partition offsets come from a table with at most
-``partitions + groups`` rows, broadcast back. Ranks and quantile positions
+of distinct values spreads over many tasks. The ranged table is checkpointed
+(reliable storage), each task computes running counts inside its own range,
+and partition offsets come from a table with at most ``partitions + groups``
+rows, broadcast back. Ranks and quantile positions
 follow from ``before`` (rows strictly smaller in the same group).
 """
 
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.frames import field_types, is_numeric, q
+from quarry.session import checkpoint_root
 
 
 def _partitions(df: DataFrame, n: int | None) -> int:
@@ -36,8 +38,15 @@ def prefix_counts(d: DataFrame, group_cols: Sequence[str], order_col: str, weigh
     weights = [weight_col] if isinstance(weight_col, str) else list(weight_col)
     names = ["before"] if isinstance(weight_col, str) else [f"before_{w}" for w in weights]
     parts = _partitions(d, num_partitions)
-    r = d.repartitionByRange(parts, *[F.col(c) for c in group_cols], F.col(order_col)).withColumn(
-        "_pid", F.spark_partition_id()
+    # The partition id is read by two branches (running sums and partition
+    # offsets). Range bounds are sampled per exchange, so the ranged table is
+    # checkpointed once to the shared checkpoint folder: both branches read the
+    # same rows with the same ids, and a lost executor cannot re-sample them.
+    checkpoint_root(d.sparkSession)
+    r = (
+        d.repartitionByRange(parts, *[F.col(c) for c in group_cols], F.col(order_col))
+        .withColumn("_pid", F.spark_partition_id())
+        .checkpoint(eager=True)
     )
     w_local = (
         Window.partitionBy("_pid", *group_cols)

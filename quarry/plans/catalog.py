@@ -158,3 +158,70 @@ def _leaderboard(spark, sf):
 QUERIES["metric_leaderboard"] = _leaderboard
 simple("roc_curve_points", ev.roc_curve_points, "scored_binary")
 simple("residual_histogram", ev.residual_histogram, "scored_regression")
+
+# ---------------------------------------------------------------- 2.6 validation and preparation
+from pyspark.ml.functions import vector_to_array  # noqa: E402
+
+from quarry.operators import prepare as dp  # noqa: E402
+from quarry.operators.stages import MedianStandardScaler  # noqa: E402
+
+
+def _one(spark, schema: str, *values):
+    return spark.createDataFrame([tuple(values)], schema)
+
+
+simple("validate_dataset", dp.validate_dataset, "orders")
+QUERIES["detect_target"] = lambda spark, sf: _one(spark, "target string", dp.detect_target(table(spark, sf, "orders")))
+simple("validate_target", lambda df: dp.validate_target(df, "o_orderpriority"), "orders")
+simple("detect_problem_type", lambda df: dp.detect_problem_type_df(df, "o_totalprice"), "orders")
+simple("detect_problem_type_ratio", lambda df: dp.detect_problem_type_df(df, "l_quantity"), "lineitem")
+simple("split_features_target", lambda df: dp.split_features_target(df, "o_totalprice")[0], "orders")
+simple("detect_feature_types", dp.feature_types_table, "orders")
+simple("convert_datetime_features",
+       lambda df: (lambda out: out.withColumns({c: F.col(c).cast("string") for c in out.columns
+                                                if dict(out.dtypes)[c] == "timestamp_ntz"}))(
+           dp.convert_datetime_features(df)[0]), "dirty")
+QUERIES["detect_id_columns"] = lambda spark, sf: spark.createDataFrame(
+    [(c,) for c in dp.detect_id_columns(table(spark, sf, "orders"))], "column string")
+simple("class_imbalance", lambda df: dp.class_imbalance(df, "o_orderstatus"), "orders")
+
+
+def _impute_scale(df):
+    cols = ["o_orderkey", "amount", "const_one"]
+    model = MedianStandardScaler(inputCols=cols, outputCols=[f"__num_{i}" for i in range(len(cols))]).fit(df)
+    out = model.transform(df)
+    return out.withColumns({f"__num_{i}": F.round(f"__num_{i}", 6) for i in range(len(cols))})
+
+
+simple("impute_scale_numeric", _impute_scale, "dirty")
+
+
+def _impute_onehot(df):
+    pipe = dp.build_preprocessor([], ["priority"], features_col="onehot").fit(df)
+    return pipe.transform(df).select("o_orderkey", vector_to_array("onehot").alias("onehot"))
+
+
+simple("impute_onehot_categorical", _impute_onehot, "dirty")
+simple("train_test_split", lambda df: dp.mark_split(df, "o_orderkey").select(
+    "o_orderkey", F.col("_is_test").alias("is_test")), "orders")
+simple("train_test_split_stratified", lambda df: dp.mark_split(df, "o_orderkey", stratify="o_orderstatus").select(
+    "o_orderkey", F.col("_is_test").alias("is_test")), "orders")
+
+
+def _assemble(df):
+    out = dp.assemble_features(df, ["o_totalprice"], ["o_orderstatus", "o_orderpriority"])
+    return out.select("o_orderkey", vector_to_array("features").alias("features"))
+
+
+simple("assemble_features", _assemble, "orders")
+
+
+def _prepare_summary(spark, sf):
+    p = dp.prepare_dataset(table(spark, sf, "orders"), target="o_orderstatus", key="o_orderkey")
+    return _one(spark, "target string, problem_type string, n_train long, n_test long, numerical string, "
+                "categorical string, id_columns string, is_imbalanced boolean",
+                p.target, p.problem_type, p.train.count(), p.test.count(), ",".join(p.numerical_columns),
+                ",".join(p.categorical_columns), ",".join(p.id_columns), p.is_imbalanced)
+
+
+QUERIES["prepare_dataset"] = _prepare_summary
