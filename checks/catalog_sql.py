@@ -106,3 +106,19 @@ ORACLE["impute_scale_numeric"] = op.impute_scale("dirty")
 ORACLE["impute_onehot_categorical"] = op.impute_onehot("dirty", "priority", "o_orderkey")
 ORACLE["train_test_split"] = op.train_test_split("orders", "o_orderkey")
 ORACLE["train_test_split_stratified"] = op.stratified_split("orders", "o_orderkey", "o_orderstatus")
+
+# ---------------------------------------------------------------- 2.7 feature engineering
+from checks import oracle_features as of  # noqa: E402
+
+ORACLE["remove_id_features"] = of.remove_id_features()
+ORACLE["datetime_features"] = of.datetime_features()
+ORACLE["cyclic_features"] = of.cyclic_features()
+ORACLE["bool_to_int"] = of.bool_to_int()
+ORACLE["rare_categories"] = of.rare_categories()
+ORACLE["drop_constant"] = of.constant_columns("fe_input")
+ORACLE["drop_low_variance"] = of.low_variance("fe_input")
+ORACLE["drop_correlated"] = of.correlated("fe_input")
+ORACLE["interaction_features"] = of.interaction_features()
+ORACLE["cap_outliers"] = of.cap_outliers()
+ORACLE["fill_zero"] = of.fill_zero()
+ORACLE["mutual_information"] = of.mutual_information("fe_input", "status")

@@ -25,12 +25,16 @@ SCHEMAS = {
                   ("n_chars", "bigint")],
     "events": [("event_id", "bigint"), ("ts", "timestamp_ntz"), ("user_id", "bigint"), ("event_type", "string"),
                ("value", "double"), ("props", "string")],
+    "fe_input": [("order_id", "bigint"), ("order_date", "string"), ("total_price", "double"),
+                 ("price_double", "double"), ("status", "string"), ("priority", "string"), ("acct_balance", "double"),
+                 ("segment", "string"), ("customer_name", "string"), ("is_final", "boolean"), ("nation", "int"),
+                 ("discount_rate", "double"), ("const_txt", "string")],
     "customer": [("c_custkey", "bigint"), ("c_name", "string"), ("c_nationkey", "int"), ("c_acctbal", "double"),
                  ("c_mktsegment", "string")],
 }
 NUMERIC = {"bigint", "int", "double", "smallint", "tinyint", "float"}
 INTEGRAL = {"bigint", "int", "smallint", "tinyint"}
-VIEW_TABLES = {"dirty", "scored_binary", "scored_multi", "scored_regression", "scored_proba"}
+VIEW_TABLES = {"dirty", "scored_binary", "scored_multi", "scored_regression", "scored_proba", "fe_input"}
 
 # The timestamp formats accepted when parsing strings (strftime form).
 DATE_FORMATS = ["%Y-%m-%d %H:%M:%S", "%Y-%m-%dT%H:%M:%S", "%Y-%m-%d", "%Y/%m/%d", "%m/%d/%Y"]

@@ -41,6 +41,13 @@ SELECT o_orderkey AS id, o_orderpriority AS label,
        exp((CAST((o_orderkey * 6) % 97 AS DOUBLE) / 97.0 + CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 0.5 ELSE 0.0 END)) / (exp((CAST((o_orderkey * 3) % 97 AS DOUBLE) / 97.0 + CASE WHEN o_orderpriority = '1-URGENT' THEN 0.5 ELSE 0.0 END)) + exp((CAST((o_orderkey * 4) % 97 AS DOUBLE) / 97.0 + CASE WHEN o_orderpriority = '2-HIGH' THEN 0.5 ELSE 0.0 END)) + exp((CAST((o_orderkey * 5) % 97 AS DOUBLE) / 97.0 + CASE WHEN o_orderpriority = '3-MEDIUM' THEN 0.5 ELSE 0.0 END)) + exp((CAST((o_orderkey * 6) % 97 AS DOUBLE) / 97.0 + CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 0.5 ELSE 0.0 END)) + exp((CAST((o_orderkey * 7) % 97 AS DOUBLE) / 97.0 + CASE WHEN o_orderpriority = '5-LOW' THEN 0.5 ELSE 0.0 END))) AS p3,
        exp((CAST((o_orderkey * 7) % 97 AS DOUBLE) / 97.0 + CASE WHEN o_orderpriority = '5-LOW' THEN 0.5 ELSE 0.0 END)) / (exp((CAST((o_orderkey * 3) % 97 AS DOUBLE) / 97.0 + CASE WHEN o_orderpriority = '1-URGENT' THEN 0.5 ELSE 0.0 END)) + exp((CAST((o_orderkey * 4) % 97 AS DOUBLE) / 97.0 + CASE WHEN o_orderpriority = '2-HIGH' THEN 0.5 ELSE 0.0 END)) + exp((CAST((o_orderkey * 5) % 97 AS DOUBLE) / 97.0 + CASE WHEN o_orderpriority = '3-MEDIUM' THEN 0.5 ELSE 0.0 END)) + exp((CAST((o_orderkey * 6) % 97 AS DOUBLE) / 97.0 + CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 0.5 ELSE 0.0 END)) + exp((CAST((o_orderkey * 7) % 97 AS DOUBLE) / 97.0 + CASE WHEN o_orderpriority = '5-LOW' THEN 0.5 ELSE 0.0 END))) AS p4
 FROM orders""",
+    "fe_input": """
+SELECT o.o_orderkey AS order_id, CAST(CAST(o.o_orderdate AS DATE) AS VARCHAR) AS order_date,
+       o.o_totalprice AS total_price, o.o_totalprice * 2 AS price_double, o.o_orderstatus AS status,
+       o.o_orderpriority AS priority, c.c_acctbal AS acct_balance, c.c_mktsegment AS segment,
+       c.c_name AS customer_name, (o.o_orderstatus = 'F') AS is_final, c.c_nationkey AS nation,
+       CAST(o.o_orderkey % 3 AS DOUBLE) / CAST(100 AS DOUBLE) AS discount_rate, 'x' AS const_txt
+FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey""",
 }
 
 

@@ -225,3 +225,57 @@ def _prepare_summary(spark, sf):
 
 
 QUERIES["prepare_dataset"] = _prepare_summary
+
+# ---------------------------------------------------------------- 2.7 feature engineering
+from quarry.operators import features as fe  # noqa: E402
+
+VIEWS["fe_input"] = fixtures.fe_input
+CYCLIC = ["month_sin", "month_cos", "weekday_sin", "weekday_cos"]
+
+
+def _round_cyclic(df, prefix):
+    return df.withColumns({f"{prefix}_{c}": F.round(f"{prefix}_{c}", 6) for c in CYCLIC})
+
+
+def _columns_df(spark, cols, schema="column string"):
+    return spark.createDataFrame([(c,) for c in cols], schema)
+
+
+simple("remove_id_features", fe.remove_id_features, "fe_input")
+simple("datetime_features", lambda df: _round_cyclic(fe.datetime_features(df), "order_date"), "fe_input")
+simple("cyclic_features", lambda df: _round_cyclic(fe.cyclic_features(df, "o_orderdate"), "o_orderdate"), "orders")
+simple("bool_to_int", fe.bool_to_int, "fe_input")
+simple("rare_categories", fe.rare_categories, "fe_input")
+QUERIES["drop_constant"] = lambda spark, sf: _columns_df(spark, fe.constant_columns(t("fe_input")(spark, sf)))
+
+
+def _low_variance(spark, sf):
+    df = t("fe_input")(spark, sf)
+    kept = set(fe.drop_low_variance(df).columns)
+    nums = [c for c, d in df.dtypes if d in ("bigint", "int", "double")]
+    return spark.createDataFrame([(c, c in kept) for c in nums], "column string, kept boolean")
+
+
+QUERIES["drop_low_variance"] = _low_variance
+QUERIES["drop_correlated"] = lambda spark, sf: _columns_df(spark, fe.correlated_columns(t("fe_input")(spark, sf)))
+simple("interaction_features", lambda df: fe.interaction_features(
+    df, [("total_price", "acct_balance"), ("acct_balance", "nation"), ("missing", "nation")]), "fe_input")
+simple("cap_outliers", fe.cap_outliers, "dirty")
+simple("fill_zero", fe.fill_zero, "dirty")
+simple("mutual_information", lambda df: fe.mutual_information(df, "status", "classification").select(
+    "column", F.round("mi", 6).alias("mi")), "fe_input")
+
+
+def _select_k(spark, sf):
+    out = fe.select_k_best(t("fe_input")(spark, sf), "status", "classification", k=3)
+    return spark.createDataFrame(list(enumerate(out.columns)), "position long, column string")
+
+
+QUERIES["select_k_best"] = _select_k
+
+
+def _engineer(spark, sf):
+    return fe.engineer_features(t("fe_input")(spark, sf), "status", select_k=5, problem_type="classification").ledger
+
+
+QUERIES["engineer_features"] = _engineer

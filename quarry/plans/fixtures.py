@@ -80,3 +80,26 @@ def scored_proba(spark: SparkSession, sf_dir: str) -> DataFrame:
         k.alias("id"), F.col("o_orderpriority").alias("label"),
         *[(F.exp(r) / total).alias(f"p{i}") for i, r in enumerate(raw)],
     )
+
+
+def fe_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with their customer: an ID, a date as text, a doubled price, a boolean,
+    a tiny-variance rate and a constant text, for the feature-engineering steps."""
+    o = table(spark, sf_dir, "orders")
+    c = table(spark, sf_dir, "customer")
+    j = o.join(c, o["o_custkey"] == c["c_custkey"])
+    return j.select(
+        F.col("o_orderkey").alias("order_id"),
+        F.col("o_orderdate").cast("date").cast("string").alias("order_date"),
+        F.col("o_totalprice").alias("total_price"),
+        (F.col("o_totalprice") * 2).alias("price_double"),
+        F.col("o_orderstatus").alias("status"),
+        F.col("o_orderpriority").alias("priority"),
+        F.col("c_acctbal").alias("acct_balance"),
+        F.col("c_mktsegment").alias("segment"),
+        F.col("c_name").alias("customer_name"),
+        (F.col("o_orderstatus") == "F").alias("is_final"),
+        F.col("c_nationkey").alias("nation"),
+        ((F.col("o_orderkey") % 3).cast("double") / F.lit(100.0)).alias("discount_rate"),
+        F.lit("x").alias("const_txt"),
+    )
