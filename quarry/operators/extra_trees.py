@@ -1,0 +1,221 @@
+"""Extremely randomised trees (Geurts, Ernst & Wehenkel, 2006) grown level by level with Spark jobs.
+
+No bootstrap: every tree sees every row. At each level, for every open node:
+candidate features are the ``m`` with the smallest seeded hash of
+(tree, node, feature) -- a sample without replacement; each gets one cut
+drawn uniformly between the node's min and max of that feature; the cut
+with the lowest weighted child impurity (gini, or squared error for
+regression) wins. All of it is one exploded ``groupBy`` per level over
+``(tree, node, feature, side, label)``; the winning split per node is a
+top-1 window; rows move to child nodes by a join with the split table. The
+per-level row table is checkpointed, so lineage stays one level deep.
+
+The fitted forest is two tables, splits ``(tree, node, f, cut)`` and leaves
+``(tree, node, value...)``, stored as Parquet. Scoring routes each distinct
+feature vector down every tree with one join per level and averages leaf
+values (class shares, or means) across trees.
+"""
+
+from __future__ import annotations
+
+import math
+
+from pyspark import keyword_only
+from pyspark.ml import Estimator, Model
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasPredictionCol, HasSeed, HasWeightCol
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from quarry.operators.learners import _argmax_expr, _features_array
+
+HASH_SCALE = 1_000_000_007
+
+
+class _ETParams(HasFeaturesCol, HasLabelCol, HasPredictionCol, HasSeed, HasWeightCol):
+    numTrees = Param(Params._dummy(), "numTrees", "number of trees", typeConverter=TypeConverters.toInt)
+    maxDepth = Param(Params._dummy(), "maxDepth", "maximum depth", typeConverter=TypeConverters.toInt)
+    minInstancesPerNode = Param(Params._dummy(), "minInstancesPerNode", "minimum rows per child",
+                                typeConverter=TypeConverters.toInt)
+    maxFeatures = Param(Params._dummy(), "maxFeatures", "'sqrt', 'all' or a fraction", typeConverter=TypeConverters.toString)
+    isClassifier = Param(Params._dummy(), "isClassifier", "classification or regression",
+                         typeConverter=TypeConverters.toBoolean)
+    numClasses = Param(Params._dummy(), "numClasses", "number of classes", typeConverter=TypeConverters.toInt)
+    modelPath = Param(Params._dummy(), "modelPath", "where the split and leaf tables live",
+                      typeConverter=TypeConverters.toString)
+
+
+def _uniform(*cols) -> F.Column:
+    """Deterministic pseudo-uniform in [0, 1) from the hash of the given columns."""
+    return F.pmod(F.xxhash64(*cols), F.lit(HASH_SCALE)).cast("double") / float(HASH_SCALE)
+
+
+class _ExtraTreesBase(Estimator, _ETParams, DefaultParamsReadable, DefaultParamsWritable):
+    _classifier = True
+
+    @keyword_only
+    def __init__(self, *, featuresCol="features", labelCol="label", predictionCol="prediction", numTrees=100,
+                 maxDepth=12, minInstancesPerNode=1, maxFeatures=None, seed=42, weightCol=None, modelPath=None):
+        super().__init__()
+        self._setDefault(numTrees=100, maxDepth=12, minInstancesPerNode=1,
+                         maxFeatures="sqrt" if self._classifier else "all")
+        kwargs = {k: v for k, v in self._input_kwargs.items() if v is not None}
+        self._set(**kwargs)
+
+    def _m(self, p: int) -> int:
+        mf = self.getOrDefault(self.maxFeatures)
+        if mf == "sqrt":
+            return max(1, int(math.sqrt(p)))
+        if mf == "all":
+            return p
+        return max(1, int(float(mf) * p))
+
+    def _fit(self, df: DataFrame):
+        from quarry.session import checkpoint_root, scratch_dir
+
+        spark = df.sparkSession
+        checkpoint_root(spark)
+        clf = self._classifier
+        seed = self.getOrDefault(self.seed)
+        T, D = self.getOrDefault(self.numTrees), self.getOrDefault(self.maxDepth)
+        min_rows = self.getOrDefault(self.minInstancesPerNode)
+        w = F.col(self.getOrDefault(self.weightCol)) if self.isDefined(self.weightCol) and self.getOrDefault(
+            self.weightCol) else F.lit(1.0)
+        data = df.select(_features_array(df, self.getFeaturesCol()).alias("x"),
+                         F.col(self.getLabelCol()).cast("int" if clf else "double").alias("y"), w.cast("double").alias("w"))
+        first = data.first()
+        p = len(first["x"])
+        k = (data.agg(F.max("y")).first()[0] + 1) if clf else 1
+        m = self._m(p)
+        path = self.getOrDefault(self.modelPath) if self.isDefined(self.modelPath) else scratch_dir(spark, "extra-trees")
+        cur = data.select(F.explode(F.sequence(F.lit(0), F.lit(T - 1))).alias("t"), F.lit(0).cast("long").alias("node"),
+                          "x", "y", "w").checkpoint(eager=True)
+        split_parts, leaf_parts = [], []
+        feats = F.sequence(F.lit(0), F.lit(p - 1))
+        for depth in range(D + 1):
+            # node statistics, for leaves and stopping rules
+            if clf:
+                node_y = cur.groupBy("t", "node", "y").agg(F.sum("w").alias("wy"))
+                node_stat = node_y.groupBy("t", "node").agg(
+                    F.sum("wy").alias("W"), F.max("wy").alias("wmax"),
+                    *[F.sum(F.when(F.col("y") == c, F.col("wy")).otherwise(0.0)).alias(f"c{c}") for c in range(k)])
+                pure = F.col("wmax") >= F.col("W")
+            else:
+                node_stat = cur.groupBy("t", "node").agg(
+                    F.sum("w").alias("W"), (F.sum(F.col("w") * F.col("y")) / F.sum("w")).alias("mean"),
+                    F.max("y").alias("ymax"), F.min("y").alias("ymin"))
+                pure = F.col("ymax") == F.col("ymin")
+            node_stat = node_stat.checkpoint(eager=True)
+            can_split = (~pure) & (F.col("W") >= 2 * min_rows) & F.lit(depth < D)
+            open_nodes = node_stat.where(can_split).select("t", "node")
+            # candidate features: the m smallest hashes of (seed, tree, node, feature)
+            cand = open_nodes.select("t", "node", F.explode(feats).alias("f")).withColumn(
+                "_h", F.xxhash64(F.lit(seed), "t", "node", "f"))
+            cand = cand.withColumn("_r", F.row_number().over(Window.partitionBy("t", "node").orderBy("_h", "f"))).where(
+                F.col("_r") <= m).select("t", "node", "f")
+            rows = cur.join(cand, ["t", "node"]).select("t", "node", "f", F.col("x")[F.col("f")].alias("v"), "y", "w")
+            rng = rows.groupBy("t", "node", "f").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).where(
+                F.col("hi") > F.col("lo"))
+            cuts = rng.select("t", "node", "f", (F.col("lo") + _uniform(F.lit(seed), "t", "node", "f", F.lit("cut"))
+                                                 * (F.col("hi") - F.col("lo"))).alias("cut"))
+            scored = rows.join(cuts, ["t", "node", "f"]).withColumn("left", F.col("v") <= F.col("cut"))
+            if clf:
+                side = scored.groupBy("t", "node", "f", "cut", "left", "y").agg(F.sum("w").alias("wy")).groupBy(
+                    "t", "node", "f", "cut", "left").agg(F.sum("wy").alias("Ws"), F.sum(F.col("wy") ** 2).alias("S2"))
+                loss = F.col("Ws") - F.col("S2") / F.col("Ws")
+            else:
+                side = scored.groupBy("t", "node", "f", "cut", "left").agg(
+                    F.sum("w").alias("Ws"), F.sum(F.col("w") * F.col("y")).alias("Sy"),
+                    F.sum(F.col("w") * F.col("y") ** 2).alias("Syy"))
+                loss = F.col("Syy") - F.col("Sy") ** 2 / F.col("Ws")
+            per_cut = side.groupBy("t", "node", "f", "cut").agg(
+                F.sum(loss).alias("loss"), F.count(F.lit(1)).alias("_sides"), F.min("Ws").alias("_wmin"))
+            per_cut = per_cut.where((F.col("_sides") == 2) & (F.col("_wmin") >= min_rows))
+            best = per_cut.withColumn("_r", F.row_number().over(
+                Window.partitionBy("t", "node").orderBy("loss", "f"))).where(F.col("_r") == 1).select(
+                "t", "node", "f", "cut").checkpoint(eager=True)
+            split_parts.append(best)
+            leaves = node_stat.join(best, ["t", "node"], "left_anti")
+            if clf:
+                leaf_vals = leaves.select("t", "node", *[(F.col(f"c{c}") / F.col("W")).alias(f"v{c}") for c in range(k)])
+            else:
+                leaf_vals = leaves.select("t", "node", F.col("mean").alias("v0"))
+            leaf_parts.append(leaf_vals)
+            if best.isEmpty():
+                break
+            cur = cur.join(best, ["t", "node"]).select(
+                "t", F.when(F.col("x")[F.col("f")] <= F.col("cut"), F.col("node") * 2 + 1)
+                .otherwise(F.col("node") * 2 + 2).alias("node"), "x", "y", "w").checkpoint(eager=True)
+        splits = split_parts[0]
+        for s in split_parts[1:]:
+            splits = splits.unionByName(s)
+        leaves = leaf_parts[0]
+        for s in leaf_parts[1:]:
+            leaves = leaves.unionByName(s)
+        splits.write.mode("overwrite").parquet(f"{path}/splits")
+        leaves.write.mode("overwrite").parquet(f"{path}/leaves")
+        model_cls = ExtraTreesClassificationModel if clf else ExtraTreesRegressionModel
+        return model_cls(featuresCol=self.getFeaturesCol(), labelCol=self.getLabelCol(),
+                         predictionCol=self.getPredictionCol(), numTrees=T, maxDepth=D, numClasses=k, modelPath=path)
+
+
+class ExtraTreesClassifier(_ExtraTreesBase):
+    _classifier = True
+
+
+class ExtraTreesRegressor(_ExtraTreesBase):
+    _classifier = False
+
+
+class _ExtraTreesModelBase(Model, _ETParams, DefaultParamsReadable, DefaultParamsWritable):
+    _classifier = True
+
+    @keyword_only
+    def __init__(self, *, featuresCol="features", labelCol="label", predictionCol="prediction", numTrees=None,
+                 maxDepth=None, numClasses=None, modelPath=None):
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def leaf_values(self, df: DataFrame) -> DataFrame:
+        """``(rid, v0..)``: leaf values averaged over trees, per distinct feature vector ``rid``."""
+        spark = df.sparkSession
+        path = self.getOrDefault(self.modelPath)
+        splits = spark.read.parquet(f"{path}/splits")
+        leaves = spark.read.parquet(f"{path}/leaves")
+        k = self.getOrDefault(self.numClasses) if self._classifier else 1
+        T = self.getOrDefault(self.numTrees)
+        x = _features_array(df, self.getFeaturesCol())
+        cur = df.select(F.xxhash64(x).alias("rid"), x.alias("x")).dropDuplicates(["rid"]).select(
+            "rid", "x", F.explode(F.sequence(F.lit(0), F.lit(T - 1))).alias("t"), F.lit(0).cast("long").alias("node"))
+        hits = []
+        for _ in range(self.getOrDefault(self.maxDepth) + 1):
+            hits.append(cur.join(leaves, ["t", "node"]).select("rid", *[f"v{c}" for c in range(k)]))
+            cur = cur.join(splits, ["t", "node"]).select(
+                "rid", "x", "t", F.when(F.col("x")[F.col("f")] <= F.col("cut"), F.col("node") * 2 + 1)
+                .otherwise(F.col("node") * 2 + 2).alias("node"))
+        allhits = hits[0]
+        for h in hits[1:]:
+            allhits = allhits.unionByName(h)
+        return allhits.groupBy("rid").agg(*[F.avg(f"v{c}").alias(f"v{c}") for c in range(k)])
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        k = self.getOrDefault(self.numClasses) if self._classifier else 1
+        vals = self.leaf_values(df)
+        keyed = df.withColumn("__rid", F.xxhash64(_features_array(df, self.getFeaturesCol())))
+        if self._classifier:
+            vs = [F.col(f"v{c}") for c in range(k)]
+            scored = vals.select(F.col("rid").alias("__rid"), _argmax_expr(vs).alias(self.getPredictionCol()),
+                                 array_to_vector(F.array(*vs)).alias("probability"))
+        else:
+            scored = vals.select(F.col("rid").alias("__rid"), F.col("v0").alias(self.getPredictionCol()))
+        return keyed.join(scored, "__rid", "left").drop("__rid")
+
+
+class ExtraTreesClassificationModel(_ExtraTreesModelBase):
+    _classifier = True
+
+
+class ExtraTreesRegressionModel(_ExtraTreesModelBase):
+    _classifier = False

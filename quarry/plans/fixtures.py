@@ -103,3 +103,34 @@ def fe_input(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((F.col("o_orderkey") % 3).cast("double") / F.lit(100.0)).alias("discount_rate"),
         F.lit("x").alias("const_txt"),
     )
+
+
+def doc_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled documents with text-derived features (whole texts), target ``quality`` (0/1)."""
+    d = table(spark, sf_dir, "documents")
+    lab = table(spark, sf_dir, "labels")
+    words = F.size(F.split(F.trim(F.col("text")), r"\s+"))
+    return d.join(lab, "doc_id").select(
+        "doc_id", "lang", "source", "n_chars",
+        words.alias("n_words"),
+        F.size(F.split(F.col("text"), "\n")).alias("n_lines"),
+        (F.col("n_chars") / F.greatest(words, F.lit(1))).alias("chars_per_word"),
+        F.length(F.regexp_replace(F.col("text"), r"[^0-9]", "")).alias("n_digits"),
+        F.length(F.regexp_replace(F.col("text"), r"[^A-Z]", "")).alias("n_upper"),
+        "toxic", "quality",
+    )
+
+
+def order_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with per-order line aggregates and customer fields, target ``o_totalprice``."""
+    o = table(spark, sf_dir, "orders")
+    li = table(spark, sf_dir, "lineitem")
+    c = table(spark, sf_dir, "customer")
+    lines = li.groupBy("l_orderkey").agg(
+        F.count(F.lit(1)).alias("n_lines"), F.sum("l_quantity").alias("sum_qty"),
+        F.sum("l_extendedprice").alias("sum_base"), F.avg("l_discount").alias("avg_discount"),
+        F.avg("l_tax").alias("avg_tax"))
+    return (o.join(lines, o["o_orderkey"] == lines["l_orderkey"])
+            .join(c, o["o_custkey"] == c["c_custkey"])
+            .select("o_orderkey", "o_orderpriority", "c_mktsegment", "c_acctbal", "n_lines", "sum_qty", "sum_base",
+                    "avg_discount", "avg_tax", "o_totalprice"))
