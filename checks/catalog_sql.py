@@ -122,3 +122,11 @@ ORACLE["interaction_features"] = of.interaction_features()
 ORACLE["cap_outliers"] = of.cap_outliers()
 ORACLE["fill_zero"] = of.fill_zero()
 ORACLE["mutual_information"] = of.mutual_information("fe_input", "status")
+
+# ---------------------------------------------------------------- 2.8 training (exact learners)
+from checks import oracle_models as omd  # noqa: E402
+
+ORACLE["gaussian_nb"] = omd.gaussian_nb()
+ORACLE["knn_classify"] = omd.knn_classify()
+ORACLE["linear_regression"] = omd.linear_regression()
+ORACLE["balanced_class_weights"] = omd.balanced_class_weights()

@@ -10,8 +10,8 @@ regression) wins. All of it is one exploded ``groupBy`` per level over
 top-1 window; rows move to child nodes by a join with the split table. The
 per-level row table is checkpointed, so lineage stays one level deep.
 
-The fitted forest is two tables, splits ``(tree, node, f, cut)`` and leaves
-``(tree, node, value...)``, stored as Parquet. Scoring routes each distinct
+The fitted forest is one Parquet node table: split rows ``(tree, node, f,
+cut)`` and leaf rows ``(tree, node, value...)``. Scoring routes each distinct
 feature vector down every tree with one join per level and averages leaf
 values (class shares, or means) across trees.
 """
@@ -92,7 +92,6 @@ class _ExtraTreesBase(Estimator, _ETParams, DefaultParamsReadable, DefaultParams
         path = self.getOrDefault(self.modelPath) if self.isDefined(self.modelPath) else scratch_dir(spark, "extra-trees")
         cur = data.select(F.explode(F.sequence(F.lit(0), F.lit(T - 1))).alias("t"), F.lit(0).cast("long").alias("node"),
                           "x", "y", "w").checkpoint(eager=True)
-        split_parts, leaf_parts = [], []
         feats = F.sequence(F.lit(0), F.lit(p - 1))
         for depth in range(D + 1):
             # node statistics, for leaves and stopping rules
@@ -107,7 +106,7 @@ class _ExtraTreesBase(Estimator, _ETParams, DefaultParamsReadable, DefaultParams
                     F.sum("w").alias("W"), (F.sum(F.col("w") * F.col("y")) / F.sum("w")).alias("mean"),
                     F.max("y").alias("ymax"), F.min("y").alias("ymin"))
                 pure = F.col("ymax") == F.col("ymin")
-            node_stat = node_stat.checkpoint(eager=True)
+            node_stat = node_stat.cache()  # small: one row per open node
             can_split = (~pure) & (F.col("W") >= 2 * min_rows) & F.lit(depth < D)
             open_nodes = node_stat.where(can_split).select("t", "node")
             # candidate features: the m smallest hashes of (seed, tree, node, feature)
@@ -135,27 +134,24 @@ class _ExtraTreesBase(Estimator, _ETParams, DefaultParamsReadable, DefaultParams
             per_cut = per_cut.where((F.col("_sides") == 2) & (F.col("_wmin") >= min_rows))
             best = per_cut.withColumn("_r", F.row_number().over(
                 Window.partitionBy("t", "node").orderBy("loss", "f"))).where(F.col("_r") == 1).select(
-                "t", "node", "f", "cut").checkpoint(eager=True)
-            split_parts.append(best)
+                "t", "node", "f", "cut").cache()  # small: one row per split node
             leaves = node_stat.join(best, ["t", "node"], "left_anti")
             if clf:
                 leaf_vals = leaves.select("t", "node", *[(F.col(f"c{c}") / F.col("W")).alias(f"v{c}") for c in range(k)])
             else:
                 leaf_vals = leaves.select("t", "node", F.col("mean").alias("v0"))
-            leaf_parts.append(leaf_vals)
-            if best.isEmpty():
+            # one node table per forest: split rows carry (f, cut), leaf rows carry values
+            nodes = best.unionByName(leaf_vals, allowMissingColumns=True)
+            nodes.write.mode("overwrite" if depth == 0 else "append").parquet(f"{path}/nodes")
+            n_split = best.count()
+            node_stat.unpersist()
+            if n_split == 0:
+                best.unpersist()
                 break
             cur = cur.join(best, ["t", "node"]).select(
                 "t", F.when(F.col("x")[F.col("f")] <= F.col("cut"), F.col("node") * 2 + 1)
                 .otherwise(F.col("node") * 2 + 2).alias("node"), "x", "y", "w").checkpoint(eager=True)
-        splits = split_parts[0]
-        for s in split_parts[1:]:
-            splits = splits.unionByName(s)
-        leaves = leaf_parts[0]
-        for s in leaf_parts[1:]:
-            leaves = leaves.unionByName(s)
-        splits.write.mode("overwrite").parquet(f"{path}/splits")
-        leaves.write.mode("overwrite").parquet(f"{path}/leaves")
+            best.unpersist()
         model_cls = ExtraTreesClassificationModel if clf else ExtraTreesRegressionModel
         return model_cls(featuresCol=self.getFeaturesCol(), labelCol=self.getLabelCol(),
                          predictionCol=self.getPredictionCol(), numTrees=T, maxDepth=D, numClasses=k, modelPath=path)
@@ -182,9 +178,10 @@ class _ExtraTreesModelBase(Model, _ETParams, DefaultParamsReadable, DefaultParam
         """``(rid, v0..)``: leaf values averaged over trees, per distinct feature vector ``rid``."""
         spark = df.sparkSession
         path = self.getOrDefault(self.modelPath)
-        splits = spark.read.parquet(f"{path}/splits")
-        leaves = spark.read.parquet(f"{path}/leaves")
+        nodes = spark.read.parquet(f"{path}/nodes")
+        splits = nodes.where(F.col("f").isNotNull()).select("t", "node", "f", "cut")
         k = self.getOrDefault(self.numClasses) if self._classifier else 1
+        leaves = nodes.where(F.col("f").isNull()).select("t", "node", *[f"v{c}" for c in range(k)])
         T = self.getOrDefault(self.numTrees)
         x = _features_array(df, self.getFeaturesCol())
         cur = df.select(F.xxhash64(x).alias("rid"), x.alias("x")).dropDuplicates(["rid"]).select(

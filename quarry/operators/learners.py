@@ -44,7 +44,7 @@ def _features_array(df: DataFrame, col: str) -> F.Column:
 
 
 def _argmax_expr(scores: list[F.Column]) -> F.Column:
-    """Index of the largest score (first on ties)."""
+    """Index of the largest score (first on ties), for short cheap score lists."""
     best = F.greatest(*scores) if len(scores) > 1 else scores[0]
     out = F.lit(None).cast("double")
     for i in reversed(range(len(scores))):
@@ -52,6 +52,27 @@ def _argmax_expr(scores: list[F.Column]) -> F.Column:
     return out
 
 
+def _score_outputs(df: DataFrame, scores: list[F.Column], prediction: str, probability: str | None,
+                   softmax: bool) -> DataFrame:
+    """Materialise class scores once as an array, then argmax (first on ties) and probabilities.
+
+    Keeping the scores in one array column stops large per-class expressions
+    from being copied into every comparison.
+    """
+    tmp = "__scores"
+    d = df.withColumn(tmp, F.array(*scores))
+    arr = F.col(tmp)
+    out = {prediction: (F.array_position(arr, F.array_max(arr)) - 1).cast("double")}
+    if probability:
+        if softmax:
+            e = F.transform(arr, lambda v: F.exp(v - F.array_max(arr)))
+        else:
+            e = arr
+        total = F.aggregate(e, F.lit(0.0), lambda acc, v: acc + v)
+        out[probability] = array_to_vector(F.transform(e, lambda v: v / total))
+    return d.withColumns(out).drop(tmp)
+
+
 class _ClassifierParams(HasFeaturesCol, HasLabelCol, HasPredictionCol, HasProbabilityCol):
     pass
 
@@ -121,14 +142,9 @@ class GaussianNBModel(Model, _NBParams, DefaultParamsReadable, DefaultParamsWrit
     def _transform(self, df: DataFrame) -> DataFrame:
         tmp = "__nb_x"
         d = df.withColumn(tmp, _features_array(df, self.getFeaturesCol()))
-        jll = self.joint_log_likelihood(F.col(tmp))
-        top = F.greatest(*jll) if len(jll) > 1 else jll[0]
-        exps = [F.exp(s - top) for s in jll]
-        total = sum(exps[1:], exps[0])
-        return d.withColumns({
-            self.getPredictionCol(): _argmax_expr(jll),
-            self.getProbabilityCol(): array_to_vector(F.array(*[e / total for e in exps])),
-        }).drop(tmp)
+        out = _score_outputs(d, self.joint_log_likelihood(F.col(tmp)), self.getPredictionCol(),
+                             self.getProbabilityCol(), softmax=True)
+        return out.drop(tmp)
 
 
 # ---------------------------------------------------------------- exact KNN
@@ -150,17 +166,20 @@ def _block_topk(k: int):
                                  "dist": pd.Series([], dtype="float64"), "y": pd.Series([], dtype="int32")})
         a = np.stack(test["x"].to_numpy()).astype(np.float64)
         b = np.stack(train["x"].to_numpy()).astype(np.float64)
+        # screen with the expanded form (one matrix product), then recompute the
+        # short list exactly so near-ties are ordered by true distance
         d2 = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * a @ b.T
-        d = np.sqrt(np.maximum(d2, 0.0))
         kk = min(k, b.shape[0])
+        short = min(b.shape[0], kk + 8)
+        cand = np.argpartition(d2, short - 1, axis=1)[:, :short] if short < b.shape[0] else \
+            np.broadcast_to(np.arange(b.shape[0]), (a.shape[0], b.shape[0]))
+        exact = np.sqrt(((a[:, None, :] - b[cand]) ** 2).sum(-1))
         tid = train["tid"].to_numpy()
-        # order by (distance, training id) and keep kk per scored row
-        order = np.lexsort((np.broadcast_to(tid, d.shape), d), axis=1)[:, :kk]
-        rows = np.repeat(test["qid"].to_numpy(), kk)
-        picked = order.reshape(-1)
-        return pd.DataFrame({"qid": rows, "tid": tid[picked],
-                             "dist": d[np.repeat(np.arange(len(test)), kk), picked],
-                             "y": train["y"].to_numpy()[picked].astype("int32")})
+        order = np.lexsort((tid[cand], exact), axis=1)[:, :kk]
+        picked = np.take_along_axis(cand, order, axis=1)
+        dist = np.take_along_axis(exact, order, axis=1)
+        return pd.DataFrame({"qid": np.repeat(test["qid"].to_numpy(), kk), "tid": tid[picked.reshape(-1)],
+                             "dist": dist.reshape(-1), "y": train["y"].to_numpy()[picked.reshape(-1)].astype("int32")})
     return run
 
 
@@ -345,12 +364,9 @@ class AdaBoostModel(Model, _AdaParams, DefaultParamsReadable, DefaultParamsWrita
             f, cut, lc, rc = int(st[4 * r]), st[4 * r + 1], int(st[4 * r + 2]), int(st[4 * r + 3])
             vote = F.when(x[f] < F.lit(cut), F.lit(lc)).otherwise(F.lit(rc))
             scores = [s + F.when(vote == c, F.lit(a)).otherwise(F.lit(0.0)) for c, s in enumerate(scores)]
-        total = sum(al) or 1.0
-        # SAMME decision scores normalised to shares of total stump weight
-        return d.withColumns({
-            self.getPredictionCol(): _argmax_expr(scores),
-            self.getProbabilityCol(): array_to_vector(F.array(*[s / F.lit(total) for s in scores])),
-        }).drop(tmp)
+        # SAMME decision scores; probabilities are shares of the total stump weight
+        out = _score_outputs(d, scores, self.getPredictionCol(), self.getProbabilityCol(), softmax=False)
+        return out.drop(tmp)
 
 
 # ---------------------------------------------------------------- random Fourier features

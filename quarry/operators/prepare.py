@@ -22,6 +22,7 @@ from quarry.functions.dates import parse_ts
 from quarry.functions.frames import field_types, is_bool, is_numeric, is_string, is_temporal, nan_to_null, q
 from quarry.functions.ranks import prefix_counts
 from quarry.operators.stages import MedianStandardScaler, ModeImputer
+from quarry.session import checkpoint_root
 
 # Gates, hint lists and defaults of the preparation step.
 MIN_ROWS = 20
@@ -56,18 +57,23 @@ def validate_dataset(df: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
     """Checks ``(check, passed, severity)``: non-empty, >= min_rows rows, >= 2 columns,
     unique column names (errors) and no duplicate rows (warning).
 
-    Row gates read at most ``min_rows`` rows; the duplicate check is one shuffle.
+    One job: grouping on every column gives rows and distinct rows together.
     """
     spark = df.sparkSession
-    capped = df.limit(min_rows).count()
-    names = [c.lower() for c in df.columns]
-    dup_rows = df.count() - df.dropDuplicates().count() if len(set(names)) == len(names) else 0
+    unique_names = len(set(df.columns)) == len(df.columns)
+    if unique_names and df.columns:
+        g = df.groupBy(*[q(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_c"))
+        row = g.agg(F.coalesce(F.sum("_c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("d")).first()
+        n, distinct = int(row["n"]), int(row["d"])
+    else:
+        n = df.count()
+        distinct = n
     rows = [
-        ("non_empty", capped > 0, "error"),
-        ("min_rows", capped >= min_rows, "error"),
+        ("non_empty", n > 0, "error"),
+        ("min_rows", n >= min_rows, "error"),
         ("min_columns", len(df.columns) >= MIN_COLS, "error"),
-        ("unique_column_names", len(set(df.columns)) == len(df.columns), "error"),
-        ("no_duplicate_rows", dup_rows == 0, "warning"),
+        ("unique_column_names", unique_names, "error"),
+        ("no_duplicate_rows", n == distinct, "warning"),
     ]
     return spark.createDataFrame(rows, "check string, passed boolean, severity string")
 
@@ -298,7 +304,10 @@ def prepare_dataset(df: DataFrame, target: str | None = None, key: str | None =
                     seed: int = SEED, problem_type: str | None = None, min_rows: int = MIN_ROWS,
                     max_classes: int = 100) -> PreparedData:
     """validate -> target -> problem type -> convert dates -> drop IDs -> preprocessor -> split -> imbalance."""
-    df = nan_to_null(df)
+    # the input is read by a dozen small jobs (checks, type detection, split):
+    # materialise it once in the shared checkpoint folder
+    checkpoint_root(df.sparkSession)
+    df = nan_to_null(df).checkpoint(eager=True)
     assert_valid(validate_dataset(df, min_rows))
     tgt = detect_target(df, target)
     chk = validate_target(df, tgt).collect()
@@ -321,7 +330,13 @@ def prepare_dataset(df: DataFrame, target: str | None = None, key: str | None =
     conv_cols = [c for c in conv_cols if c in features.columns]
     if conv_cols:
         data = data.withColumns({c: parse_ts(q(c)).cast("timestamp_ntz") for c in conv_cols})
-    train, test = train_test_split(data, key, test_size, seed, stratify=tgt if ptype == "classification" else None)
+    # materialise the split once in the shared checkpoint folder: every later fit,
+    # fold and score reads it instead of recomputing the split lineage
+    checkpoint_root(df.sparkSession)
+    marked = mark_split(data, key, test_size, seed, stratify=tgt if ptype == "classification" else None)
+    marked = marked.checkpoint(eager=True)
+    train = marked.where(~F.col("_is_test")).drop("_is_test")
+    test = marked.where(F.col("_is_test")).drop("_is_test")
     imbalanced = False
     if ptype == "classification":
         imbalanced = bool(class_imbalance(train, tgt).first()["is_imbalanced"])

@@ -279,3 +279,133 @@ def _engineer(spark, sf):
 
 
 QUERIES["engineer_features"] = _engineer
+
+# ---------------------------------------------------------------- 2.8 training and selection
+from quarry.operators import learners as ln  # noqa: E402
+from quarry.operators import models as md  # noqa: E402
+
+VIEWS["doc_model"] = fixtures.doc_model
+VIEWS["order_model"] = fixtures.order_model
+
+
+def _emb_split(spark, sf):
+    e = table(spark, sf, "embeddings")
+    marked = dp.mark_split(e, "vec_id")
+    return marked.where(~F.col("_is_test")).drop("_is_test"), marked.where(F.col("_is_test")).drop("_is_test")
+
+
+def _nb(spark, sf):
+    train, test = _emb_split(spark, sf)
+    m = ln.GaussianNB(featuresCol="embedding", labelCol="label").fit(train)
+    return m.transform(test).select("vec_id", F.col("prediction").cast("int").alias("prediction"))
+
+
+def _knn(spark, sf):
+    train, test = _emb_split(spark, sf)
+    m = ln.KNNClassifier(featuresCol="embedding", labelCol="label", k=5).fit(train)
+    return m.transform(test).select("vec_id", F.col("prediction").cast("int").alias("prediction"))
+
+
+def _ols(spark, sf):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+
+    li = table(spark, sf, "lineitem")
+    vec = VectorAssembler(inputCols=["l_quantity"], outputCol="features").transform(li)
+    m = LinearRegression(featuresCol="features", labelCol="l_extendedprice", regParam=0.0, solver="normal").fit(vec)
+    return spark.createDataFrame([(round(float(m.coefficients[0]), 6), round(float(m.intercept), 6))],
+                                 "slope double, intercept double")
+
+
+QUERIES["gaussian_nb"] = _nb
+QUERIES["knn_classify"] = _knn
+QUERIES["linear_regression"] = _ols
+simple("balanced_class_weights", lambda df: md.balanced_class_weights(df, "o_orderstatus").select(
+    "o_orderstatus", F.round("class_weight", 6).alias("class_weight")).distinct(), "orders")
+
+
+def _prep_docs(spark, sf):
+    return dp.prepare_dataset(t("doc_model")(spark, sf), target="quality", key="doc_id")
+
+
+def _prep_orders(spark, sf):
+    return dp.prepare_dataset(t("order_model")(spark, sf), target="o_totalprice", key="o_orderkey")
+
+
+def _fit_one(name: str, problem: str):
+    def run(spark, sf):
+        prep = _prep_docs(spark, sf) if problem == "classification" else _prep_orders(spark, sf)
+        cands = md.candidate_models(problem, profile="fast")
+        res = md.train_one(prep, cands[name], problem, cv=0)
+        if res.error:
+            raise RuntimeError(res.error)
+        out = res.model.transform(prep.test)
+        pred = "predicted_label" if problem == "classification" else "prediction"
+        return out.select(F.col(prep.key).alias("key"), F.col(pred).cast("string").alias("prediction"))
+    return run
+
+
+for _key, _name in [("fit_logistic", "Logistic Regression"), ("fit_rf_classifier", "Random Forest"),
+                    ("fit_extra_trees_classifier", "Extra Trees"), ("fit_gbt_classifier", "Gradient Boosting"),
+                    ("fit_adaboost", "AdaBoost"), ("fit_tree_classifier", "Decision Tree"),
+                    ("fit_svm_classifier", "SVM")]:
+    QUERIES[_key] = _fit_one(_name, "classification")
+for _key, _name in [("fit_rf_regressor", "Random Forest"), ("fit_extra_trees_regressor", "Extra Trees"),
+                    ("fit_gbt_regressor", "Gradient Boosting"), ("fit_tree_regressor", "Decision Tree"),
+                    ("fit_svr", "SVR")]:
+    QUERIES[_key] = _fit_one(_name, "regression")
+
+
+def _kmeans(spark, sf):
+    from pyspark.ml.functions import array_to_vector
+
+    e = table(spark, sf, "embeddings").withColumn("features", array_to_vector("embedding"))
+    m = md.kmeans_best_of(e, k=3, n_init=10)
+    return m.transform(e).groupBy(F.col("prediction").alias("cluster")).agg(F.count(F.lit(1)).alias("size"))
+
+
+QUERIES["kmeans"] = _kmeans
+
+
+def _candidates(spark, sf):
+    df = t("doc_model")(spark, sf)
+    ptype = dp.detect_problem_type(df, "quality")
+    return spark.createDataFrame([(ptype, n) for n in md.candidate_models(ptype)], "problem_type string, model string")
+
+
+QUERIES["candidate_models"] = _candidates
+
+
+def _compare(spark, sf, **kw):
+    prep = _prep_docs(spark, sf)
+    return md.train_and_compare(prep, profile="fast", **kw)
+
+
+QUERIES["train_and_compare"] = lambda spark, sf: _compare(spark, sf, cv=0, parallelism=4).leaderboard.drop(
+    "train_time_sec", "predict_time_sec")
+QUERIES["select_best"] = lambda spark, sf: md.select_best(
+    _compare(spark, sf, cv=0, parallelism=4, only=["Decision Tree", "Naive Bayes", "Logistic Regression"]).leaderboard
+).select("model", "rank")
+QUERIES["compact_leaderboard"] = lambda spark, sf: md.compact_leaderboard(
+    _compare(spark, sf, cv=0, parallelism=4, only=["Decision Tree", "Naive Bayes"]).leaderboard).select(
+    "model", "score", "rank")
+
+
+def _cv(spark, sf):
+    prep = _prep_docs(spark, sf)
+    res = md.train_one(prep, md.candidate_models("classification", profile="fast")["Decision Tree"],
+                       "classification", cv=5)
+    return spark.createDataFrame([(res.name, res.cv_mean, res.cv_std)], "model string, cv_mean double, cv_std double")
+
+
+def _search(spark, sf):
+    prep = _prep_docs(spark, sf)
+    res = md.train_one(prep, md.candidate_models("classification", profile="fast")["Decision Tree"],
+                       "classification", cv=0, tune=True)
+    return spark.createDataFrame([(res.name, str(res.params.get("maxDepth")), str(res.params.get("minInstancesPerNode")))],
+                                 "model string, max_depth string, min_instances string")
+
+
+QUERIES["cross_validate"] = _cv
+QUERIES["random_search"] = _search
+QUERIES["cluster_table"] = lambda spark, sf: md.cluster_table(t("fe_input")(spark, sf), k=3, n_init=3)
