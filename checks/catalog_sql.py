@@ -130,3 +130,17 @@ ORACLE["gaussian_nb"] = omd.gaussian_nb()
 ORACLE["knn_classify"] = omd.knn_classify()
 ORACLE["linear_regression"] = omd.linear_regression()
 ORACLE["balanced_class_weights"] = omd.balanced_class_weights()
+
+# ---------------------------------------------------------------- 2.1 sources and sinks
+from checks import oracle_io as oio  # noqa: E402
+
+ORACLE["scan_csv"] = oio.scan_csv()
+ORACLE["sink_csv"] = "SELECT * FROM lineitem"
+ORACLE["sink_eda_json"] = oe.descriptive_stats("lineitem")
+ORACLE["metrics_long"] = oio.metrics_long()
+ORACLE["ranked_importance_sink"] = oio.ranked_importance()
+ORACLE["feature_ranking"] = oio.ranked_importance()
+ORACLE["leaderboard_upsert"] = oio.leaderboard()
+ORACLE["leaderboard_load"] = f"SELECT * FROM ({oio.leaderboard()}) WHERE run_name = 'clf_binary'"
+ORACLE["table_summary"] = oio.table_summary("dirty")
+ORACLE["preview"] = "SELECT * FROM orders ORDER BY o_orderkey LIMIT 10"

@@ -409,3 +409,224 @@ def _search(spark, sf):
 QUERIES["cross_validate"] = _cv
 QUERIES["random_search"] = _search
 QUERIES["cluster_table"] = lambda spark, sf: md.cluster_table(t("fe_input")(spark, sf), k=3, n_init=3)
+
+# ---------------------------------------------------------------- 2.1 sources and sinks
+from quarry.session import scratch_dir  # noqa: E402
+from quarry.sources import files as io  # noqa: E402
+from quarry.sources import registry as reg  # noqa: E402
+
+
+def _scan_csv(spark, sf):
+    path = f"{scratch_dir(spark, 'csv')}/dirty.csv"
+    io.sink_csv(dirty(spark, sf), path)
+    return io.scan_csv(spark, path)
+
+
+def _sink_csv(spark, sf):
+    li = table(spark, sf, "lineitem")
+    path = f"{scratch_dir(spark, 'csv')}/lineitem.csv"
+    io.sink_csv(li, path)
+    return io.scan_csv(spark, path, schema=li.schema)
+
+
+def _sink_json(spark, sf):
+    stats = ed.descriptive_stats(table(spark, sf, "lineitem"))
+    path = scratch_dir(spark, "eda-json")
+    io.sink_eda_json({"descriptive_stats": stats, "histograms": ed.histograms(table(spark, sf, "lineitem"))}, path)
+    return io.read_eda_json(spark, path, "descriptive_stats", stats.schema)
+
+
+def _metrics_long(spark, sf):
+    m = ev.regression_scores(fixtures.scored_regression(spark, sf))
+    return m.unpivot([], m.columns, "metric", "value")
+
+
+def _importance(spark, sf):
+    """Signed Pearson r of each lineitem number with the extended price, as an importance table."""
+    m = ed.pearson_matrix(table(spark, sf, "lineitem"), digits=15)
+    return m.where((F.col("col_b") == "l_extendedprice") & (F.col("col_a") != "l_extendedprice")).select(
+        F.col("col_a").alias("feature"), F.round("r", 6).alias("importance"))
+
+
+def _ranked_sink(spark, sf):
+    from quarry.operators.explain import feature_ranking
+
+    path = f"{scratch_dir(spark, 'report')}/feature_importance.csv"
+    feature_ranking(_importance(spark, sf)).write.mode("overwrite").option("header", True).csv(path)
+    return io.scan_csv(spark, path, schema="Rank int, Feature string, Importance double")
+
+
+BOARD_TS = "2024-01-01T00:00:00"
+
+
+def _board(spark, sf, path: str | None = None):
+    path = path or f"{scratch_dir(spark, 'board')}/leaderboard"
+    reg_m = ev.regression_scores(fixtures.scored_regression(spark, sf)).first().asDict()
+    infl = fixtures.scored_regression(spark, sf).withColumn("prediction", F.col("label") * 1.05)
+    infl_m = ev.regression_scores(infl).first().asDict()
+    clf_m = ev.classification_scores(fixtures.scored_binary(spark, sf)).first().asDict()
+    meta_r = {"model": "scored", "model_type": "table", "problem_type": "regression", "target": "label"}
+    meta_c = {"model": "scored", "model_type": "table", "problem_type": "classification", "target": "label"}
+    reg.leaderboard_upsert(spark, path, reg.leaderboard_row(spark, "reg_scored", meta_r, reg_m, BOARD_TS))
+    reg.leaderboard_upsert(spark, path, reg.leaderboard_row(spark, "reg_inflated", meta_r | {"model": "inflated"},
+                                                           infl_m, BOARD_TS))
+    reg.leaderboard_upsert(spark, path, reg.leaderboard_row(spark, "clf_binary", meta_c, clf_m, BOARD_TS))
+    # same run again: replaces its row
+    return reg.leaderboard_upsert(spark, path, reg.leaderboard_row(spark, "reg_scored", meta_r | {"model": "rescored"},
+                                                                  reg_m, BOARD_TS))
+
+
+QUERIES["scan_csv"] = _scan_csv
+QUERIES["sink_csv"] = _sink_csv
+QUERIES["sink_eda_json"] = _sink_json
+QUERIES["metrics_long"] = _metrics_long
+QUERIES["ranked_importance_sink"] = _ranked_sink
+QUERIES["leaderboard_upsert"] = _board
+
+
+def _board_load(spark, sf):
+    path = f"{scratch_dir(spark, 'board')}/leaderboard"
+    _board(spark, sf, path)
+    return reg.leaderboard_load(spark, path).where(F.col("run_name") == "clf_binary")
+
+
+QUERIES["leaderboard_load"] = _board_load
+simple("table_summary", io.table_summary, "dirty")
+simple("preview", lambda df: io.preview(df, "o_orderkey", 10), "orders")
+
+# ---------------------------------------------------------------- runs, scoring, explainability, streaming
+_RUNS: dict = {}
+
+
+def _trained(spark, sf, name: str = "Decision Tree"):
+    """Train (once per session, scale and learner) on the labelled documents and save the run."""
+    k = (id(spark), sf, name)
+    if k not in _RUNS:
+        prep = _prep_docs(spark, sf)
+        res = md.train_one(prep, md.candidate_models("classification", profile="fast")[name], "classification", cv=0)
+        if res.error:
+            raise RuntimeError(res.error)
+        root = scratch_dir(spark, "runs")
+        run_dir = f"{root}/{name.replace(' ', '%20')}_run"
+        reg.save_run(spark, run_dir, res.model, {"model": name, "model_type": type(res.model.stages[-2]).__name__,
+                                                 "problem_type": "classification", "target": prep.target},
+                     res.metrics, prep.feature_columns, res.params)
+        _RUNS[k] = (prep, res, root, run_dir)
+    return _RUNS[k]
+
+
+def _save_load(spark, sf):
+    prep, res, root, run_dir = _trained(spark, sf)
+    model, meta, metrics = reg.load_run(spark, run_dir)
+    return model.transform(prep.test).select(F.col("doc_id").alias("key"), "predicted_label")
+
+
+def _registry(spark, sf):
+    _trained(spark, sf, "Decision Tree")
+    _, _, root_nb, _ = _trained(spark, sf, "Naive Bayes")
+    _, _, root_dt, _ = _trained(spark, sf, "Decision Tree")
+    return reg.run_registry(spark, root_dt).unionByName(reg.run_registry(spark, root_nb))
+
+
+QUERIES["save_load_pipeline"] = _save_load
+QUERIES["run_registry"] = _registry
+
+from quarry.operators import explain as ex  # noqa: E402
+from quarry.operators import score as sc  # noqa: E402
+
+
+def _run_model(spark, sf, name="Decision Tree"):
+    prep, res, root, run_dir = _trained(spark, sf, name)
+    model, meta, _ = reg.load_run(spark, run_dir)
+    return prep, model, meta
+
+
+QUERIES["load_run"] = lambda spark, sf: (lambda pm: spark.createDataFrame(
+    [(pm[2]["model"], pm[2]["target"], pm[2]["problem_type"], len(pm[1].stages))],
+    "model string, target string, problem_type string, n_stages int"))(_run_model(spark, sf))
+QUERIES["validate_scoring_input"] = lambda spark, sf: sc.validate_scoring_input(
+    t("doc_model")(spark, sf).drop("toxic"), _run_model(spark, sf)[0].feature_columns)
+QUERIES["transform_features"] = lambda spark, sf: (lambda pm: sc.transform_features(
+    pm[1], pm[0].test, pm[0].feature_columns).select(vector_to_array("features").alias("features")))(_run_model(spark, sf))
+QUERIES["predict"] = lambda spark, sf: (lambda pm: sc.predict(pm[1], pm[0].test).select(
+    "doc_id", "prediction"))(_run_model(spark, sf))
+QUERIES["decode_labels"] = lambda spark, sf: (lambda pm: sc.predict(pm[1], pm[0].test).select(
+    F.col("prediction").alias("label")).distinct())(_run_model(spark, sf))
+QUERIES["predict_proba"] = lambda spark, sf: (lambda pm: sc.predict_proba(pm[1], pm[0].test).select(
+    "doc_id", *[c for c in sc.predict_proba(pm[1], pm[0].test).columns if c.startswith("proba_")]))(
+    _run_model(spark, sf))
+QUERIES["score_table"] = lambda spark, sf: (lambda pm: sc.score_table(
+    pm[1], pm[0].test.drop("quality"), pm[0].feature_columns))(_run_model(spark, sf))
+
+
+def _score_csv(spark, sf):
+    prep, model, _ = _run_model(spark, sf)
+    path = f"{scratch_dir(spark, 'scores')}/scores.csv"
+    sc.score_to_csv(model, prep.test.drop("quality"), path, prep.feature_columns)
+    return io.scan_csv(spark, path)
+
+
+QUERIES["score_to_csv"] = _score_csv
+
+
+def _names(pm):
+    return ex.slot_names(sc.preprocessing_stages(pm[1]).transform(pm[0].test))
+
+
+QUERIES["tree_importance"] = lambda spark, sf: (lambda pm: ex.tree_importance(pm[1], _names(pm)))(
+    _run_model(spark, sf))
+QUERIES["linear_importance"] = lambda spark, sf: (lambda pm: ex.linear_importance(pm[1], _names(pm)))(
+    _run_model(spark, sf, "Logistic Regression"))
+QUERIES["permutation_importance"] = lambda spark, sf: (lambda pm: ex.permutation_importance(
+    pm[1], pm[0].test, "doc_id", "quality", "classification", pm[0].feature_columns, repeats=3))(
+    _run_model(spark, sf, "Naive Bayes"))
+
+
+def _shap(spark, sf, name="Decision Tree"):
+    prep, model, _ = _run_model(spark, sf, name)
+    return ex.shapley_values(model, prep.test, prep.train, "doc_id", prep.feature_columns, "classification",
+                             rows=20, permutations=4, background_rows=20)
+
+
+QUERIES["shapley_values"] = _shap
+QUERIES["explain_prediction"] = lambda spark, sf: (lambda s: ex.explain_prediction(
+    s, "doc_id", s.agg(F.min("doc_id")).first()[0]))(_shap(spark, sf))
+QUERIES["feature_ranking"] = lambda spark, sf: ex.feature_ranking(_importance(spark, sf))
+QUERIES["shap_summary"] = lambda spark, sf: ex.shap_summary(_shap(spark, sf))
+
+
+def _explain_model(spark, sf):
+    prep, model, _ = _run_model(spark, sf, "Naive Bayes")
+    out = ex.explain_model(model, prep.test, prep.train, "doc_id", "quality", "classification",
+                           prep.feature_columns, with_shap=False)
+    return out["importance"].withColumn("method", F.lit(out["method"]))
+
+
+QUERIES["explain_model"] = _explain_model
+
+
+def _stream(spark, sf):
+    from quarry.streaming.scoring import score_stream
+
+    prep, model, _ = _run_model(spark, sf)
+    labels = table(spark, sf, "labels")
+
+    def features(docs):
+        words = F.size(F.split(F.trim(F.col("text")), r"\s+"))
+        return docs.join(labels, "doc_id").select(
+            "doc_id", "lang", "source", "n_chars", words.alias("n_words"),
+            F.size(F.split(F.col("text"), "\n")).alias("n_lines"),
+            (F.col("n_chars") / F.greatest(words, F.lit(1))).alias("chars_per_word"),
+            F.length(F.regexp_replace(F.col("text"), r"[^0-9]", "")).alias("n_digits"),
+            F.length(F.regexp_replace(F.col("text"), r"[^A-Z]", "")).alias("n_upper"), "toxic")
+
+    schema = table(spark, sf, "documents").schema
+    scored = score_stream(spark, model, f"{sf}/documents*.parquet", schema, prepare=features)
+    name = f"scored_{abs(hash((sf, id(spark)))) % 10 ** 8}"
+    q_ = scored.select("doc_id", "prediction").writeStream.format("memory").queryName(name).outputMode(
+        "append").option("checkpointLocation", scratch_dir(spark, "stream-ckpt")).trigger(availableNow=True).start()
+    q_.awaitTermination()
+    return spark.table(name)
+
+
+QUERIES["score_stream"] = _stream
