@@ -630,3 +630,37 @@ def _stream(spark, sf):
 
 
 QUERIES["score_stream"] = _stream
+
+# ---------------------------------------------------------------- training loop pieces and the end-to-end run
+from quarry.plans.automl import run_analysis  # noqa: E402
+
+
+def _build_pipeline(spark, sf):
+    prep = _prep_docs(spark, sf)
+    cand = md.candidate_models("classification", profile="fast")["Decision Tree"]
+    pipe = md.build_pipeline(prep, cand.stages(prep.train), "classification", ["0", "1"])
+    return spark.createDataFrame([(i, type(s).__name__) for i, s in enumerate(pipe.getStages())],
+                                 "position int, stage string")
+
+
+def _train_one(spark, sf):
+    prep = _prep_docs(spark, sf)
+    r = md.train_one(prep, md.candidate_models("classification", profile="fast")["Naive Bayes"], "classification", cv=3)
+    return spark.createDataFrame([(r.name, r.metrics.get("accuracy"), r.cv_mean, r.cv_std, r.feature_count, r.error)],
+                                 "model string, accuracy double, cv_mean double, cv_std double, feature_count int, "
+                                 "error string")
+
+
+def _train_all(spark, sf):
+    results = md.train_all(_prep_orders(spark, sf), cv=0, profile="fast", parallelism=4)
+    return md.results_table(spark, results, "regression").drop("train_time_sec", "predict_time_sec")
+
+
+QUERIES["build_pipeline"] = _build_pipeline
+QUERIES["train_one"] = _train_one
+QUERIES["train_all"] = _train_all
+QUERIES["model_leaderboard"] = lambda spark, sf: md.model_leaderboard(_train_all(spark, sf), "regression").select(
+    "model", "r2", "rank")
+QUERIES["run_pipeline"] = lambda spark, sf: run_analysis(
+    spark, t("doc_model")(spark, sf), "quality", "doc_id", scratch_dir(spark, "runs"), cv=0, profile="fast",
+    parallelism=4).record
