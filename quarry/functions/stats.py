@@ -118,6 +118,21 @@ def outlier_counts(df: DataFrame, fences: DataFrame, cols: Sequence[str]) -> Dat
     return j.groupBy("column").agg(F.sum(F.when(out, F.col("cnt")).otherwise(0)).alias("outliers"))
 
 
+def numeric_summary(df: DataFrame, cols: Sequence[str], approx: bool = False, cache: bool = True) -> DataFrame:
+    """One row per numeric column: moments, exact quartiles, 1.5 IQR fences (no zero-IQR guard) and
+    the count of values outside them.
+
+    Every profile, cleaning and EDA step that needs these numbers derives them
+    from this table; it has one row per column, so it is cached.
+    """
+    m = moments(df, cols)
+    qw = with_fences(quartiles(df, cols, approx=approx), zero_iqr="none")
+    oc = outlier_counts(df, qw, cols)
+    out = (m.join(qw, "column", "left").join(oc, "column", "left")
+           .withColumn("outliers", F.coalesce(F.col("outliers"), F.lit(0)).cast("bigint")))
+    return out.cache() if cache else out
+
+
 def numeric_cols_of(df: DataFrame, cols: Sequence[str] | None = None) -> list[str]:
     types = field_types(df)
     return [c for c in (cols or df.columns) if is_numeric(types[c])]

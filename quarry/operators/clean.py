@@ -20,7 +20,7 @@ from quarry.functions.dates import parse_ts
 from quarry.functions.frames import (
     field_types, is_numeric, is_string, nan_to_null, one_row_join, q, top_k, value_counts,
 )
-from quarry.functions.stats import distinct_numeric, outlier_counts, quartiles, with_fences
+from quarry.functions.stats import numeric_summary, outlier_counts, quartiles, with_fences
 from quarry.operators.profile import column_facts, profile_overview
 from quarry.session import checkpoint_root
 
@@ -58,10 +58,9 @@ def missing_issues(df: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     df = nan_to_null(df)
     f = facts if facts is not None else column_facts(df)
     types = field_types(df)
-    cat_cols = [c for c in df.columns if not is_numeric(types[c])]
-    med = quartiles(df, [c for c in df.columns if is_numeric(types[c])], probs=(0.5,), names=("median",))
     miss = f.where(F.col("missing_count") > 0)
-    j = miss.join(med, "column", "left").join(_modes(df, cat_cols), "column", "left")
+    cat_cols = [r["column"] for r in miss.select("column").collect() if not is_numeric(types[r["column"]])]
+    j = miss.join(_modes(df, cat_cols), "column", "left")
     mp, cls = F.col("missing_pct"), F.col("class")
     rec = (
         F.when(mp > DROP_COLUMN_MISSING_PCT, "drop_column")
@@ -107,21 +106,17 @@ def duplicate_issue(df: DataFrame, overview: DataFrame | None = None) -> DataFra
     )
 
 
-def outlier_issues(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
+def outlier_issues(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = False,
+                   summary: DataFrame | None = None) -> DataFrame:
     """Numeric columns with IQR != 0 and at least one value outside 1.5 IQR fences."""
-    df = nan_to_null(df)
-    types = field_types(df)
-    cols = [c for c in (cols or df.columns) if is_numeric(types[c])]
-    fences = with_fences(quartiles(df, cols, approx=approx), zero_iqr="skip")
-    d = distinct_numeric(df, cols)
-    j = d.join(F.broadcast(fences), "column")
-    out = (F.col("v") < F.col("lower")) | (F.col("v") > F.col("upper"))
-    agg = j.groupBy("column", "q1", "q3", "lower", "upper").agg(
-        F.sum(F.when(out, F.col("cnt")).otherwise(0)).alias("count"), F.sum("cnt").alias("n")
-    )
-    return agg.where(F.col("count") > 0).select(
-        "column", F.col("count").cast("bigint").alias("count"),
-        F.round(F.col("count") / F.col("n") * 100, 2).alias("pct"),
+    if summary is None:
+        df = nan_to_null(df)
+        types = field_types(df)
+        summary = numeric_summary(df, [c for c in (cols or df.columns) if is_numeric(types[c])], approx=approx)
+    s = summary.where((F.col("iqr") != 0) & (F.col("outliers") > 0))
+    return s.select(
+        "column", F.col("outliers").alias("count"),
+        F.round(F.col("outliers") / F.col("n") * 100, 2).alias("pct"),
         F.round("lower", 4).alias("lower_fence"), F.round("upper", 4).alias("upper_fence"),
         F.round("q1", 4).alias("q1"), F.round("q3", 4).alias("q3"),
         F.lit("winsorize").alias("recommended_fix"), F.lit(",".join(OUTLIER_OPTIONS)).alias("fix_options"),
@@ -183,12 +178,17 @@ class Issues:
 
 
 def analyze_issues(df: DataFrame, approx: bool = False) -> Issues:
+    """All detection tables, sharing one numeric summary, one column-facts table and one overview."""
     df = nan_to_null(df)
-    counts = type_parse_counts(df)
+    types = field_types(df)
+    summary = numeric_summary(df, [c for c in df.columns if is_numeric(types[c])], approx=approx)
+    facts = column_facts(df, summary=summary)
+    overview = profile_overview(df).cache()
+    counts = type_parse_counts(df).cache()
     return Issues(
-        missing=missing_issues(df),
-        duplicates=duplicate_issue(df),
-        outliers=outlier_issues(df, approx=approx),
+        missing=missing_issues(df, facts),
+        duplicates=duplicate_issue(df, overview),
+        outliers=outlier_issues(df, summary=summary),
         numeric_types=numeric_type_issues(df, counts),
         datetime_types=datetime_type_issues(df, counts),
     )

@@ -1,8 +1,10 @@
 """Exploratory analysis: statistics, outliers, correlation, distributions, periods, insights.
 
-Every section is one tidy DataFrame. Pairwise work (correlations) happens in
-one ``agg`` over all column pairs; ranks for Spearman come from the
-distributed average-rank helper, never a global window.
+Every section is one tidy DataFrame. Correlations of null-free columns come
+from one tree-aggregated Gram matrix (MLlib ``Correlation``) of mean-centred
+values; pairs touching a column with nulls use masked per-pair moments. Ranks
+for Spearman come from the distributed average-rank helper, never a global
+window.
 """
 
 from __future__ import annotations
@@ -152,18 +154,56 @@ def _diag(df: DataFrame, cols: Sequence[str]) -> DataFrame:
                     F.when((F.col("n") > 1) & (F.col("var_pop") > 0), F.lit(1.0)).alias("r"))
 
 
+def pairwise_pearson(df: DataFrame, exprs: Sequence[Column], null_free: Sequence[bool] | None = None) -> dict:
+    """``{(i, j): r}`` for i < j, pairwise-complete Pearson of the given numeric expressions.
+
+    Columns without nulls go through one MLlib ``Correlation`` job: a tree
+    aggregate of the Gram matrix of mean-centred vectors (centring keeps it
+    accurate for large offsets). Pairs touching a column with nulls use
+    masked per-pair moments over the rows where both are present. A constant
+    column gives null.
+    """
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.stat import Correlation
+
+    k = len(exprs)
+    sub = df.select(*[e.cast("double").alias(f"c{i}") for i, e in enumerate(exprs)])
+    if null_free is None:
+        row = sub.agg(*[F.count_if(F.col(f"c{i}").isNull()).alias(f"z{i}") for i in range(k)]).first()
+        null_free = [row[f"z{i}"] == 0 for i in range(k)]
+    full = [i for i in range(k) if null_free[i]]
+    out: dict = {}
+    if len(full) >= 2:
+        means = sub.agg(*[F.avg(f"c{i}").alias(f"m{i}") for i in full]).first()
+        centred = sub.select(*[(F.col(f"c{i}") - F.lit(means[f"m{i}"] or 0.0)).alias(f"c{i}") for i in full])
+        vec = VectorAssembler(inputCols=[f"c{i}" for i in full], outputCol="_v").transform(centred).select("_v")
+        mat = Correlation.corr(vec, "_v").first()[0].toArray()
+        for a, i in enumerate(full):
+            for b, j in enumerate(full):
+                if i < j:
+                    v = float(mat[a][b])
+                    out[(i, j)] = None if v != v else v
+    rest = [(i, j) for i in range(k) for j in range(i + 1, k) if (i, j) not in out]
+    if rest:
+        row = sub.agg(*[_pair_exprs(F.col(f"c{i}"), F.col(f"c{j}")).alias(f"r{i}_{j}") for i, j in rest]).first()
+        out.update({(i, j): row[f"r{i}_{j}"] for i, j in rest})
+    return out
+
+
+def _pairs_to_frame(spark, cols: Sequence[str], rs: dict) -> DataFrame:
+    rows = [(cols[i], cols[j], i, j, r) for (i, j), r in rs.items()]
+    return spark.createDataFrame(rows, "col_a string, col_b string, i int, j int, r double")
+
+
 def pearson_matrix(df: DataFrame, cols: Sequence[str] | None = None, digits: int = 6) -> DataFrame:
     """Long ``(col_a, col_b, i, j, r)`` pairwise-complete Pearson over numeric columns (needs >= 2)."""
     df = nan_to_null(df)
     cols = _num_cols(df, cols)
     if len(cols) < 2:
         return df.sparkSession.createDataFrame([], "col_a string, col_b string, i int, j int, r double")
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
-    sub = df.select(*[q(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
-    row = sub.agg(*[_pair_exprs(F.col(f"c{i}"), F.col(f"c{j}")).alias(f"r{i}_{j}") for i, j in pairs])
-    upper = _corr_long(row, cols, pairs)
-    sub_named = sub.toDF(*cols)
-    full = _full_matrix(upper, cols, _diag(sub_named, cols))
+    rs = pairwise_pearson(df, [q(c) for c in cols])
+    upper = _pairs_to_frame(df.sparkSession, cols, rs)
+    full = _full_matrix(upper, cols, _diag(df.select(*[q(c).cast("double").alias(c) for c in cols]), cols))
     return full.select("col_a", "col_b", "i", "j", F.round("r", digits).alias("r"))
 
 
@@ -192,8 +232,9 @@ def spearman_matrix(df: DataFrame, cols: Sequence[str] | None = None, digits: in
         for i in full_cols:
             ri = ranks.where(F.col("c") == i).select(F.col("v").alias(f"c{i}"), F.col("avg_rank").alias(f"rk{i}"))
             ranked = ranked.join(ri, f"c{i}", "left")
-        row = ranked.agg(*[_pair_exprs(F.col(f"rk{i}"), F.col(f"rk{j}")).alias(f"r{i}_{j}") for i, j in shared])
-        parts.append(_corr_long(row, cols, shared))
+        rs = pairwise_pearson(ranked, [F.col(f"rk{i}") for i in full_cols], [True] * len(full_cols))
+        mapped = {(full_cols[a], full_cols[b]): r for (a, b), r in rs.items()}
+        parts.append(_pairs_to_frame(df.sparkSession, cols, {p: mapped[p] for p in shared}))
     if own:
         cells = [F.struct(F.lit(p).alias("pair"), F.col(f"c{i}").alias("a"), F.col(f"c{j}").alias("b"))
                  for p, (i, j) in enumerate(own)]

@@ -193,14 +193,14 @@ def drop_low_variance(df: DataFrame, threshold: float = LOW_VARIANCE_THRESHOLD,
 def correlated_columns(df: DataFrame, threshold: float = CORRELATION_THRESHOLD,
                        cols: Sequence[str] | None = None) -> list[str]:
     """Numeric columns with |r| > threshold against any earlier numeric column (dropped or not)."""
-    from quarry.operators.eda import pearson_matrix
+    from quarry.operators.eda import pairwise_pearson
 
     types = field_types(df)
     nums = [c for c in (cols or df.columns) if is_numeric(types[c])]
     if len(nums) < 2:
         return []
-    m = pearson_matrix(df, nums, digits=15).where((F.col("i") < F.col("j")) & (F.abs("r") > threshold))
-    hit = {r["col_b"] for r in m.select("col_b").distinct().collect()}
+    rs = pairwise_pearson(df, [q(c) for c in nums])
+    hit = {nums[j] for (i, j), r in rs.items() if r is not None and abs(r) > threshold}
     return [c for c in nums if c in hit]
 
 
@@ -316,37 +316,103 @@ def engineer_features(df: DataFrame, target: str, *, correlation_threshold: floa
                       low_variance_threshold: float = LOW_VARIANCE_THRESHOLD,
                       rare_category_threshold: float = RARE_CATEGORY_THRESHOLD,
                       interaction_pairs: Sequence[tuple[str, str]] | None = None, select_k: int | None = None,
-                      problem_type: str | None = None, keep_target: bool = False) -> Engineered:
+                      problem_type: str | None = None, keep_target: bool = False,
+                      name_hints=ID_NAME_HINTS) -> Engineered:
     """dates -> IDs -> booleans -> rare categories -> constants -> low variance -> correlated
     -> interactions -> fill zero -> optional top-k by mutual information.
 
-    Every step is a row-wise projection restricted to the feature columns, so
-    the target rides along untouched (no positional re-alignment needed) and
+    Same decisions as chaining the single steps, taken from two passes over
+    one checkpointed working table: a value-frequency pass (IDs, frequent
+    values, constants after the rare-value merge) and one aggregate of
+    variances and pairwise correlations. The target rides along untouched and
     is dropped at the end unless ``keep_target``. Returns the data and a
     ledger ``(column, status)`` of removed / generated / selected columns.
     """
+    from quarry.operators.eda import pairwise_pearson
+    from quarry.session import checkpoint_root
+
     df = nan_to_null(df)
     original = [c for c in df.columns if c != target]
+    out = datetime_features(df, cols=original)
+    checkpoint_root(out.sparkSession)
+    out = out.checkpoint(eager=True)
+    feats = [c for c in out.columns if c != target]
+    types = field_types(out)
+
+    # pass 1: one VF over every feature column, nulls as their own group
+    vf = value_counts(out, feats, include_nulls=True)
+    per = vf.groupBy("column").agg(
+        F.sum("cnt").alias("n"), F.sum(F.when(~F.col("is_null"), F.col("cnt")).otherwise(0)).alias("n_present"),
+        F.count_if(~F.col("is_null")).alias("n_distinct"), F.max(F.col("is_null").cast("int")).alias("has_null"),
+    )
+    stats = {r["column"]: r for r in per.collect()}
+    n_rows = max((r["n"] for r in stats.values()), default=0)
+    strings = [c for c in feats if is_string(types[c])]
+    share = F.col("cnt") / F.col("n_present")
+    freq_rows = (vf.where(~F.col("is_null") & F.col("column").isin(strings)).join(F.broadcast(per), "column")
+                 .select("column", "str", (share >= rare_category_threshold).alias("frequent")).where(
+                     F.col("frequent") | F.lit(False)).collect()) if strings else []
+    frequent: dict[str, list[str]] = {c: [] for c in strings}
+    for r in freq_rows:
+        frequent[r["column"]].append(r["str"])
 
-    def feats(d: DataFrame) -> list[str]:
-        return [c for c in d.columns if c != target]
-
-    out = datetime_features(df, cols=feats(df))
-    out = remove_id_features(out, cols=feats(out))
-    out = bool_to_int(out, cols=feats(out))
-    out = rare_categories(out, rare_category_threshold, cols=feats(out))
-    out = drop_constant(out, cols=feats(out))
-    out = drop_low_variance(out, low_variance_threshold, cols=feats(out))
-    out = drop_correlated(out, correlation_threshold, cols=feats(out))
-    out = interaction_features(out, interaction_pairs)
-    out = fill_zero(out, cols=feats(out))
+    def hinted(col: str) -> bool:
+        return any(h in col.strip().lower() for h in name_hints)
+
+    ids = [c for c in feats if hinted(c) or ((is_string(types[c]) or is_integral(types[c]))
+                                             and stats[c]["n_distinct"] == n_rows)]
+    kept = [c for c in feats if c not in ids]
+    # distinct values after the rare-value merge, null counted as a value
+    def distinct_after(c: str) -> int:
+        st = stats[c]
+        if c in frequent:
+            rare = st["n_distinct"] > len(frequent[c])
+            return len(frequent[c]) + int(rare) + int(st["has_null"] or 0)
+        return st["n_distinct"] + int(st["has_null"] or 0)
+    constants = [c for c in kept if distinct_after(c) <= 1]
+    kept = [c for c in kept if c not in constants]
+
+    # pass 2: variances (after mean filling) and pairwise correlations of the numeric survivors
+    def num_expr(c):
+        return q(c).cast("double") if not is_bool(types[c]) else q(c).cast("int").cast("double")
+    nums = [c for c in kept if is_numeric(types[c]) or is_bool(types[c])]
+    low_var, correlated, order = [], [], kept
+    if nums:
+        row = out.agg(*[(F.var_pop(num_expr(c)) * F.count(q(c)) / F.count(F.lit(1))).alias(f"v{i}")
+                        for i, c in enumerate(nums)],
+                      *[F.count_if(q(c).isNull()).alias(f"z{i}") for i, c in enumerate(nums)]).first()
+        variances = [row[f"v{i}"] for i in range(len(nums))]
+        if not any(v is None for v in variances):
+            surviving = [c for c, v in zip(nums, variances) if v > low_variance_threshold]
+            if surviving:
+                low_var = [c for c in nums if c not in surviving]
+                others = sorted(c for c in kept if c not in nums)
+                order = others + surviving
+                idx = {c: i for i, c in enumerate(surviving)}
+                rs = pairwise_pearson(out, [num_expr(c) for c in surviving],
+                                      [row[f"z{nums.index(c)}"] == 0 for c in surviving])
+                for b in surviving:
+                    if any(rs.get((idx[a], idx[b])) is not None and abs(rs[(idx[a], idx[b])]) > correlation_threshold
+                           for a in surviving[: idx[b]]):
+                        correlated.append(b)
+    final = [c for c in order if c not in low_var and c not in correlated]
+
+    exprs = []
+    for c in final:
+        e = q(c).cast("int") if is_bool(types[c]) else q(c)
+        if c in frequent:
+            e = F.when(q(c).isNull() | q(c).isin(frequent[c]), q(c)).otherwise(F.lit(OTHER))
+        exprs.append(e.alias(c))
+    shaped = out.select(*exprs, q(target))
+    shaped = interaction_features(shaped, interaction_pairs)
+    shaped = fill_zero(shaped, cols=[c for c in shaped.columns if c != target])
     selected = None
     if select_k is not None and problem_type is not None:
-        out = select_k_best(out, target, problem_type, select_k)
-        selected = feats(out)
-    data = out if keep_target else out.drop(target)
-    generated = [c for c in feats(out) if c not in original]
-    removed = [c for c in original if c not in out.columns]
+        shaped = select_k_best(shaped, target, problem_type, select_k)
+        selected = [c for c in shaped.columns if c != target]
+    data = shaped if keep_target else shaped.drop(target)
+    generated = [c for c in shaped.columns if c != target and c not in original]
+    removed = [c for c in original if c not in shaped.columns]
     rows = ([(c, "removed") for c in removed] + [(c, "generated") for c in generated]
             + [(c, "selected") for c in (selected or [])])
     ledger = df.sparkSession.createDataFrame(rows, "column string, status string")

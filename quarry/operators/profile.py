@@ -17,7 +17,7 @@ from quarry.functions.frames import (
     field_types, is_bool, is_numeric, is_string, is_temporal, nan_to_null, one_row_join, q, render_value,
     top_k, value_counts,
 )
-from quarry.functions.stats import moments, outlier_counts, quartiles, with_fences
+from quarry.functions.stats import numeric_summary
 
 # Thresholds of the column classifier and the score.
 SAMPLE_ROWS = 50
@@ -127,35 +127,28 @@ def sample_values(df: DataFrame, k: int = 4) -> DataFrame:
     return ranked.select("column", "rank", render_value(F.col("kind"), F.col("num"), F.col("str")).alias("value"))
 
 
-def profile_numeric(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
-    """Per numeric column: mean, median, std, min, max, q1, q3, skewness (4 dp) and IQR outlier count."""
-    df = nan_to_null(df)
+def _summary(df: DataFrame, cols: Sequence[str] | None, approx: bool) -> DataFrame:
     types = field_types(df)
-    cols = [c for c in (cols or df.columns) if is_numeric(types[c])]
-    m = moments(df, cols).where(F.col("n") > 0)
-    qw = with_fences(quartiles(df, cols, approx=approx), zero_iqr="none")
-    oc = outlier_counts(df, qw, cols)
-    j = m.join(qw, "column").join(oc, "column", "left")
-    return j.select(
+    return numeric_summary(df, [c for c in (cols or df.columns) if is_numeric(types[c])], approx=approx)
+
+
+def profile_numeric(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = False,
+                    summary: DataFrame | None = None) -> DataFrame:
+    """Per numeric column: mean, median, std, min, max, q1, q3, skewness (4 dp) and IQR outlier count."""
+    s = summary if summary is not None else _summary(nan_to_null(df), cols, approx)
+    return s.where(F.col("n") > 0).select(
         "column", "position",
         *[F.round(F.col(c), 4).alias(c) for c in ("mean", "median", "std", "min", "max", "q1", "q3")],
-        F.round(F.col("skew"), 4).alias("skewness"),
-        F.coalesce(F.col("outliers"), F.lit(0)).cast("bigint").alias("outliers"),
+        F.round(F.col("skew"), 4).alias("skewness"), "outliers",
     )
 
 
-def iqr_outlier_count(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
+def iqr_outlier_count(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = False,
+                      summary: DataFrame | None = None) -> DataFrame:
     """``(column, q1, q3, lower, upper, outliers)`` with 1.5 IQR fences and no zero-IQR guard."""
-    df = nan_to_null(df)
-    types = field_types(df)
-    cols = [c for c in (cols or df.columns) if is_numeric(types[c])]
-    qw = with_fences(quartiles(df, cols, approx=approx), zero_iqr="none")
-    oc = outlier_counts(df, qw, cols)
-    return qw.join(oc, "column", "left").select(
-        "column",
-        *[F.round(F.col(c), 4).alias(c) for c in ("q1", "q3", "lower", "upper")],
-        F.coalesce(F.col("outliers"), F.lit(0)).cast("bigint").alias("outliers"),
-    )
+    s = summary if summary is not None else _summary(nan_to_null(df), cols, approx)
+    return s.where(F.col("q1").isNotNull()).select(
+        "column", *[F.round(F.col(c), 4).alias(c) for c in ("q1", "q3", "lower", "upper")], "outliers")
 
 
 def categorical_columns(df: DataFrame) -> list[str]:
@@ -228,16 +221,18 @@ def profile_columns(df: DataFrame, approx: bool = False) -> DataFrame:
     )
 
 
-def column_facts(df: DataFrame, approx: bool = False) -> DataFrame:
-    """Everything the rule-based steps need, one row per column.
+def column_facts(df: DataFrame, approx: bool = False, summary: DataFrame | None = None) -> DataFrame:
+    """Everything the rule-based steps need, one row per column (small; cached).
 
     ``column, position, dtype, class, missing_count, missing_pct, n_unique,
-    n_rows, outliers, skewness`` (numeric stats null elsewhere).
+    n_rows, outliers, skewness, median`` (numeric stats null elsewhere).
     """
     df = nan_to_null(df)
+    s = summary if summary is not None else _summary(df, None, approx)
     pc = profile_columns(df, approx=approx)
     cl = classify_columns(df).select("column", "class")
-    pn = profile_numeric(df, approx=approx).select("column", "outliers", "skewness")
+    pn = profile_numeric(df, summary=s).select("column", "outliers", "skewness").join(
+        s.select("column", "median"), "column")
     n = _rows(df)
     return (
         pc.join(cl, "column")
@@ -245,7 +240,7 @@ def column_facts(df: DataFrame, approx: bool = False) -> DataFrame:
         .withColumn("_one", F.lit(1))
         .join(F.broadcast(n.withColumn("_one", F.lit(1))), "_one")
         .drop("_one")
-    )
+    ).cache()
 
 
 def column_recommendation(df: DataFrame, facts: DataFrame | None = None) -> DataFrame:
