@@ -144,3 +144,7 @@ ORACLE["leaderboard_upsert"] = oio.leaderboard()
 ORACLE["leaderboard_load"] = f"SELECT * FROM ({oio.leaderboard()}) WHERE run_name = 'clf_binary'"
 ORACLE["table_summary"] = oio.table_summary("dirty")
 ORACLE["preview"] = "SELECT * FROM orders ORDER BY o_orderkey LIMIT 10"
+
+ORACLE["select_k_best"] = of.select_k_best(3)
+ORACLE["assemble_features"] = op.assemble_features()
+ORACLE["validate_scoring_input"] = op.validate_scoring_input()

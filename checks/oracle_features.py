@@ -123,3 +123,19 @@ SELECT '{c}' AS "column", sum(pxy * ln(pxy / (px * py))) AS mi FROM (
           FROM (SELECT {x} AS v, CAST({qi(target)} AS VARCHAR) AS y FROM {table} WHERE {qi(target)} IS NOT NULL))
         GROUP BY bin, y))""")
     return wrap(f"SELECT \"column\", round(mi, 6) AS mi FROM ({union(parts)})", table)
+
+
+def select_k_best(k: int = 3) -> str:
+    """fe_input, target status: top-k numeric columns by binned MI, after the sorted non-numeric ones."""
+    mi = mutual_information("fe_input", "status")
+    numeric = [c for c, t in SCHEMAS["fe_input"] if t in ("bigint", "int", "double")]
+    others = sorted(c for c, t in SCHEMAS["fe_input"] if c not in numeric and c != "status")
+    pos = " ".join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(numeric))
+    return f"""
+WITH m AS ({mi}),
+top AS (SELECT "column", CASE "column" {pos} END AS p FROM m
+        QUALIFY row_number() OVER (ORDER BY mi DESC, CASE "column" {pos} END) <= {k}),
+cols AS (SELECT * FROM (VALUES {', '.join(f"('{c}', {i})" for i, c in enumerate(others))}) v("column", o)
+         UNION ALL SELECT "column", {len(others)} + row_number() OVER (ORDER BY p) - 1 FROM top
+         UNION ALL SELECT 'status', {len(others) + k})
+SELECT CAST(o AS BIGINT) AS position, "column" FROM cols"""

@@ -119,3 +119,33 @@ def stratified_split(table: str, key: str, label: str) -> str:
 SELECT {k}, (row_number() OVER (PARTITION BY {y} ORDER BY {bucket(k)}, {k}) - 1)
              < round(count(*) OVER (PARTITION BY {y}) * 0.2) AS is_test
 FROM {table}""", table)
+
+
+def assemble_features() -> str:
+    """orders: scaled o_totalprice (median fill, population std), then one-hot status and priority (sorted)."""
+    def parts(col, tag):
+        return (f"m_{tag} AS (SELECT {col} AS m FROM orders WHERE {col} IS NOT NULL GROUP BY {col} "
+                f"ORDER BY count(*) DESC, {col} LIMIT 1),\n"
+                f"l_{tag} AS (SELECT list(v ORDER BY v) AS l FROM (SELECT DISTINCT {col} AS v FROM orders "
+                f"WHERE {col} IS NOT NULL))")
+
+    def onehot(col, tag):
+        return (f"list_transform(l_{tag}.l, lambda x: CASE WHEN x = COALESCE({col}, m_{tag}.m) "
+                f"THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END)")
+    return f"""
+WITH s AS (SELECT md, avg(COALESCE(o_totalprice, md)) AS mn,
+                  CASE WHEN stddev_pop(COALESCE(o_totalprice, md)) > 0 THEN stddev_pop(COALESCE(o_totalprice, md))
+                       ELSE 1.0 END AS sc
+           FROM orders, (SELECT quantile_cont(o_totalprice, 0.5) AS md FROM orders) GROUP BY md),
+{parts('o_orderstatus', 'st')},
+{parts('o_orderpriority', 'pr')}
+SELECT o_orderkey, list_concat([round((COALESCE(o_totalprice, s.md) - s.mn) / s.sc, 9)],
+                               {onehot('o_orderstatus', 'st')}, {onehot('o_orderpriority', 'pr')}) AS features
+FROM orders, s, m_st, l_st, m_pr, l_pr"""
+
+
+def validate_scoring_input() -> str:
+    return """
+SELECT * FROM (VALUES
+ ('has_rows', (SELECT count(*) > 0 FROM documents d JOIN labels l USING (doc_id)), ''),
+ ('required_columns', false, 'toxic')) v("check", passed, detail)"""

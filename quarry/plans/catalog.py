@@ -210,7 +210,9 @@ simple("train_test_split_stratified", lambda df: dp.mark_split(df, "o_orderkey",
 
 def _assemble(df):
     out = dp.assemble_features(df, ["o_totalprice"], ["o_orderstatus", "o_orderpriority"])
-    return out.select("o_orderkey", vector_to_array("features").alias("features"))
+    arr = vector_to_array("features")
+    # the scaled slot is rounded to 9 dp so the comparison is not at the mercy of the last bit
+    return out.select("o_orderkey", F.concat(F.array(F.round(arr[0], 9)), F.slice(arr, 2, 1 << 20)).alias("features"))
 
 
 simple("assemble_features", _assemble, "orders")
