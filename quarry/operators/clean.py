@@ -179,10 +179,12 @@ class Issues:
 
 def analyze_issues(df: DataFrame, approx: bool = False) -> Issues:
     """All detection tables, sharing one numeric summary, one column-facts table and one overview."""
+    from quarry.functions.table_stats import table_stats
+
     df = nan_to_null(df)
-    types = field_types(df)
-    summary = numeric_summary(df, [c for c in df.columns if is_numeric(types[c])], approx=approx)
-    facts = column_facts(df, summary=summary)
+    st = table_stats(df, approx=approx)
+    summary = st.numeric
+    facts = column_facts(df, stats=st)
     overview = profile_overview(df).cache()
     counts = type_parse_counts(df).cache()
     return Issues(

@@ -17,7 +17,7 @@ from quarry.functions.frames import (
     field_types, is_bool, is_numeric, is_string, is_temporal, nan_to_null, one_row_join, q, render_value,
     top_k, value_counts,
 )
-from quarry.functions.stats import numeric_summary
+from quarry.functions.table_stats import TableStats, table_stats, text_sample
 
 # Thresholds of the column classifier and the score.
 SAMPLE_ROWS = 50
@@ -69,12 +69,13 @@ def _dtype_class(dt: T.DataType) -> str | None:
     return "categorical"
 
 
-def classify_columns(df: DataFrame) -> DataFrame:
+def classify_columns(df: DataFrame, stats: TableStats | None = None) -> DataFrame:
     """``(column, position, dtype, class)``; class in numeric / categorical / datetime / text.
 
-    Strings: a deterministic 50-value sample (non-null values ordered by md5,
-    then value) all parsing as timestamps -> datetime; else sample mean length
-    > 40 or distinct/rows > 0.85 -> text; else categorical.
+    Strings: a deterministic 50-row sample (non-null rows ordered by md5 of
+    the value, then the value) all parsing as timestamps -> datetime; else
+    sample mean length > 40 or distinct/rows > 0.85 -> text; else categorical.
+    Built from the table's VF pass (``table_stats``).
     """
     df = nan_to_null(df)
     types = field_types(df)
@@ -89,47 +90,35 @@ def classify_columns(df: DataFrame) -> DataFrame:
     str_cols = [c for c in df.columns if is_string(types[c])]
     if not str_cols:
         return fixed_df
-    pos = {c: i for i, c in enumerate(df.columns)}
-    cells = [F.struct(F.lit(c).alias("column"), F.lit(pos[c]).alias("position"), q(c).alias("s")) for c in str_cols]
-    n_rows = _rows(df)
-    long = df.select(F.inline(F.array(*cells)))
-    present = long.where(F.col("s").isNotNull())
-    sample = top_k(present, ["column"], [F.md5(F.col("s")), F.col("s")], SAMPLE_ROWS)
-    sample_stats = sample.groupBy("column", "position").agg(
-        F.count(F.lit(1)).alias("ns"),
-        F.count_if(parse_ts(F.col("s")).isNull()).alias("bad"),
-        F.avg(F.length("s")).alias("avg_len"),
+    st = stats if stats is not None else table_stats(df)
+    sample = text_sample(st, SAMPLE_ROWS).groupBy("column").agg(
+        F.sum(F.when(parse_ts(F.col("value")).isNull(), F.col("taken")).otherwise(0)).alias("bad"),
+        (F.sum(F.length("value") * F.col("taken")) / F.sum("taken")).alias("avg_len"),
     )
-    distinct = present.groupBy("column", "s").agg(F.lit(1).alias("_x")).groupBy("column").agg(
-        F.count(F.lit(1)).alias("n_unique")
-    )
-    base = spark.createDataFrame([(c, pos[c]) for c in str_cols], "column string, position int")
-    s = (
-        base.join(sample_stats.drop("position"), "column", "left")
-        .join(distinct, "column", "left")
-        .withColumn("_one", F.lit(1))
-        .join(F.broadcast(n_rows.withColumn("_one", F.lit(1))), "_one")
-    )
-    ratio = F.coalesce(F.col("n_unique"), F.lit(0)) / F.greatest(F.col("n_rows"), F.lit(1))
+    base = st.columns.where(F.col("column").isin(str_cols)).select("column", "position", "n_unique")
+    s_ = base.join(sample, "column", "left")
+    ratio = F.col("n_unique") / F.lit(max(st.n_rows, 1))
     cls = (
         F.when(F.coalesce(F.col("bad"), F.lit(0)) == 0, "datetime")
         .when((F.col("avg_len") > TEXT_MEAN_LENGTH) | (ratio > TEXT_UNIQUE_RATIO), "text")
         .otherwise("categorical")
     )
-    strings = s.select("column", "position", F.lit("string").alias("dtype"), cls.alias("class"))
+    strings = s_.select("column", "position", F.lit("string").alias("dtype"), cls.alias("class"))
     return fixed_df.unionByName(strings)
 
 
-def sample_values(df: DataFrame, k: int = 4) -> DataFrame:
+def sample_values(df: DataFrame, k: int = 4, stats: TableStats | None = None) -> DataFrame:
     """``(column, rank, value)``: the k smallest distinct non-null values per column; floats at 4 dp."""
-    vf = value_counts(nan_to_null(df))
-    ranked = top_k(vf, ["column"], [F.col("num"), F.col("str")], k)
+    st = stats if stats is not None else table_stats(df)
+    ranked = top_k(st.vf.where(~F.col("is_null")), ["column"], [F.col("num"), F.col("str")], k)
     return ranked.select("column", "rank", render_value(F.col("kind"), F.col("num"), F.col("str")).alias("value"))
 
 
 def _summary(df: DataFrame, cols: Sequence[str] | None, approx: bool) -> DataFrame:
+    """Numeric summary from a VF pass over the numeric columns only (the scan reads nothing else)."""
     types = field_types(df)
-    return numeric_summary(df, [c for c in (cols or df.columns) if is_numeric(types[c])], approx=approx)
+    wanted = [c for c in (cols or df.columns) if is_numeric(types[c])]
+    return table_stats(df.select(*[q(c) for c in wanted]), approx=approx).numeric
 
 
 def profile_numeric(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = False,
@@ -151,41 +140,36 @@ def iqr_outlier_count(df: DataFrame, cols: Sequence[str] | None = None, approx:
         "column", *[F.round(F.col(c), 4).alias(c) for c in ("q1", "q3", "lower", "upper")], "outliers")
 
 
-def categorical_columns(df: DataFrame) -> list[str]:
-    classes = classify_columns(df).where(F.col("class") == "categorical").orderBy("position").collect()
+def categorical_columns(df: DataFrame, stats: TableStats | None = None) -> list[str]:
+    classes = classify_columns(df, stats).where(F.col("class") == "categorical").orderBy("position").collect()
     return [r["column"] for r in classes]
 
 
-def top_values(df: DataFrame, cols: Sequence[str] | None = None, k: int = 5) -> DataFrame:
+def top_values(df: DataFrame, cols: Sequence[str] | None = None, k: int = 5,
+               stats: TableStats | None = None) -> DataFrame:
     """``(column, rank, value, count, pct, n_unique)``: top k non-null values, % of all rows (1 dp).
 
     Default columns are those classed categorical. Ties break on the value.
     """
     df = nan_to_null(df)
-    cols = list(cols) if cols is not None else categorical_columns(df)
-    vf = value_counts(df, cols)
-    nu = vf.groupBy("column").agg(F.count(F.lit(1)).alias("n_unique"))
+    st = stats if stats is not None else table_stats(df)
+    cols = list(cols) if cols is not None else categorical_columns(df, st)
+    vf = st.vf.where(~F.col("is_null") & F.col("column").isin(cols))
     ranked = top_k(vf, ["column"], [F.col("cnt").desc(), F.col("num"), F.col("str")], k)
-    n = _rows(df)
-    return (
-        ranked.join(nu, "column")
-        .withColumn("_one", F.lit(1))
-        .join(F.broadcast(n.withColumn("_one", F.lit(1))), "_one")
-        .select(
-            "column", "rank",
-            render_value(F.col("kind"), F.col("num"), F.col("str")).alias("value"),
-            F.col("cnt").cast("bigint").alias("count"),
-            F.round(F.col("cnt") / F.col("n_rows") * 100, 1).alias("pct"),
-            F.col("n_unique").cast("bigint").alias("n_unique"),
-        )
+    return ranked.join(st.columns.select("column", "n_unique"), "column").select(
+        "column", "rank",
+        render_value(F.col("kind"), F.col("num"), F.col("str")).alias("value"),
+        F.col("cnt").cast("bigint").alias("count"),
+        F.round(F.col("cnt") / F.lit(max(st.n_rows, 1)) * 100, 1).alias("pct"),
+        F.col("n_unique").cast("bigint").alias("n_unique"),
     )
 
 
-def profile_columns(df: DataFrame, approx: bool = False) -> DataFrame:
+def profile_columns(df: DataFrame, approx: bool = False, stats: TableStats | None = None) -> DataFrame:
     """``(column, position, dtype, missing_count, missing_pct, n_unique)``.
 
-    One VF pass with the null group gives missing and distinct counts for every
-    column. ``approx=True`` replaces exact distinct counts by ``approx_count_distinct``.
+    Exact counts come from the table's single VF pass; ``approx=True`` uses
+    one aggregate with ``approx_count_distinct`` instead.
     """
     df = nan_to_null(df)
     types = field_types(df)
@@ -194,52 +178,46 @@ def profile_columns(df: DataFrame, approx: bool = False) -> DataFrame:
         [(c, i, types[c].simpleString()) for i, c in enumerate(df.columns)],
         "column string, position int, dtype string",
     )
-    n = _rows(df)
-    if approx:
-        aggs = []
+    if approx and stats is None:
+        aggs = [F.count(F.lit(1)).alias("_n")]
         for i, c in enumerate(df.columns):
             aggs += [F.count_if(q(c).isNull()).alias(f"m{i}"), F.approx_count_distinct(q(c)).alias(f"u{i}")]
-        row = df.agg(*aggs)
-        cells = [F.struct(F.lit(c).alias("column"), F.col(f"m{i}").alias("missing_count"),
-                          F.col(f"u{i}").alias("n_unique")) for i, c in enumerate(df.columns)]
-        stats = row.select(F.inline(F.array(*cells)))
+        row = df.agg(*aggs).first()
+        n = row["_n"]
+        counts = spark.createDataFrame([(c, row[f"m{i}"], row[f"u{i}"]) for i, c in enumerate(df.columns)],
+                                       "column string, missing_count long, n_unique long")
     else:
-        vf = value_counts(df, include_nulls=True)
-        stats = vf.groupBy("column").agg(
-            F.sum(F.when(F.col("is_null"), F.col("cnt")).otherwise(0)).alias("missing_count"),
-            F.count_if(~F.col("is_null")).alias("n_unique"),
-        )
-    out = meta.join(stats, "column", "left").withColumn("_one", F.lit(1)).join(
-        F.broadcast(n.withColumn("_one", F.lit(1))), "_one"
-    )
+        st = stats if stats is not None else table_stats(df)
+        n = st.n_rows
+        counts = st.columns.select("column", "missing_count", "n_unique")
+    out = meta.join(counts, "column", "left")
     miss = F.coalesce(F.col("missing_count"), F.lit(0)).cast("bigint")
     return out.select(
         "column", "position", "dtype",
         miss.alias("missing_count"),
-        F.when(F.col("n_rows") > 0, F.round(miss / F.col("n_rows") * 100, 2)).otherwise(F.lit(0.0)).alias("missing_pct"),
+        (F.round(miss / F.lit(n) * 100, 2) if n else F.lit(0.0)).alias("missing_pct"),
         F.coalesce(F.col("n_unique"), F.lit(0)).cast("bigint").alias("n_unique"),
     )
 
 
-def column_facts(df: DataFrame, approx: bool = False, summary: DataFrame | None = None) -> DataFrame:
+def column_facts(df: DataFrame, approx: bool = False, summary: DataFrame | None = None,
+                 stats: TableStats | None = None) -> DataFrame:
     """Everything the rule-based steps need, one row per column (small; cached).
 
     ``column, position, dtype, class, missing_count, missing_pct, n_unique,
     n_rows, outliers, skewness, median`` (numeric stats null elsewhere).
     """
     df = nan_to_null(df)
-    s = summary if summary is not None else _summary(df, None, approx)
-    pc = profile_columns(df, approx=approx)
-    cl = classify_columns(df).select("column", "class")
-    pn = profile_numeric(df, summary=s).select("column", "outliers", "skewness").join(
-        s.select("column", "median"), "column")
-    n = _rows(df)
+    st = stats if stats is not None else table_stats(df, approx=approx)
+    s_ = summary if summary is not None else st.numeric
+    pc = profile_columns(df, stats=st)
+    cl = classify_columns(df, st).select("column", "class")
+    pn = profile_numeric(df, summary=s_).select("column", "outliers", "skewness").join(
+        s_.select("column", "median"), "column")
     return (
         pc.join(cl, "column")
         .join(pn, "column", "left")
-        .withColumn("_one", F.lit(1))
-        .join(F.broadcast(n.withColumn("_one", F.lit(1))), "_one")
-        .drop("_one")
+        .withColumn("n_rows", F.lit(st.n_rows).cast("bigint"))
     ).cache()
 
 
@@ -302,9 +280,9 @@ def quality_score(df: DataFrame, facts: DataFrame | None = None, overview: DataF
     return out.withColumn("grade", grade)
 
 
-def class_counts(df: DataFrame) -> DataFrame:
+def class_counts(df: DataFrame, stats: TableStats | None = None) -> DataFrame:
     """``(class, n_columns)``."""
-    return classify_columns(df).groupBy("class").agg(F.count(F.lit(1)).alias("n_columns"))
+    return classify_columns(df, stats).groupBy("class").agg(F.count(F.lit(1)).alias("n_columns"))
 
 
 def target_candidates(df: DataFrame, facts: DataFrame | None = None, limit: int = 6) -> DataFrame:
