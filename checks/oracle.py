@@ -307,8 +307,8 @@ p AS (SELECT least(ov.missing_pct * 1.5, 40.0) AS missing_penalty,
              least(CASE WHEN numeric_cols > 0 THEN affected_cols / numeric_cols ELSE 0.0 END * 10
                    + CASE WHEN numeric_cols > 0 AND affected_cols > 0 THEN severity / affected_cols ELSE 0.0 END * 10,
                    20.0) AS outlier_penalty,
-             least(text_cols * 2.0, 10.0) AS datatype_penalty,
-             least(constant_cols * 2.0, 10.0) AS constant_penalty
+             least(CAST(text_cols * 2 AS DOUBLE), 10.0) AS datatype_penalty,
+             least(CAST(constant_cols * 2 AS DOUBLE), 10.0) AS constant_penalty
       FROM ov, pc),
 s AS (SELECT *, greatest(0.0, round(100.0 - missing_penalty - duplicate_penalty - outlier_penalty
                                      - datatype_penalty - constant_penalty, 1)) AS score FROM p)
