@@ -148,3 +148,22 @@ ORACLE["preview"] = "SELECT * FROM orders ORDER BY o_orderkey LIMIT 10"
 ORACLE["select_k_best"] = of.select_k_best(3)
 ORACLE["assemble_features"] = op.assemble_features()
 ORACLE["validate_scoring_input"] = op.validate_scoring_input()
+
+
+# ---------------------------------------------------------------- computed doubles rounded to 6 dp (both sides)
+_DOUBLES = {
+    "fill_median": ["amount"], "fill_mean": ["amount"], "winsorize": ["amount"],
+    "cap_outliers": ["o_orderkey", "amount", "const_one"],
+    "apply_cleaning": ["o_orderkey", "amount", "cust_txt"], "auto_clean": ["amount", "cust_txt"],
+    "monthly_totals": ["value"],
+}
+
+
+def _round_doubles(sql: str, doubles: list[str]) -> str:
+    """Wrap an oracle so the listed double columns are rounded to 6 dp (the query rounds them too)."""
+    return (f"SELECT * REPLACE ({', '.join(f'round({o.qi(c)}, 6) AS {o.qi(c)}' for c in doubles)}) "
+            f"FROM ({sql})")
+
+
+for _k, _cols in _DOUBLES.items():
+    ORACLE[_k] = _round_doubles(ORACLE[_k], _cols)

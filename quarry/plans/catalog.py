@@ -40,6 +40,17 @@ def simple(name: str, op: Callable[[DataFrame], DataFrame], source: str) -> None
     QUERIES[name] = lambda spark, sf: op(load(spark, sf))
 
 
+def rounded(op: Callable[[DataFrame], DataFrame], digits: int = 6) -> Callable[[DataFrame], DataFrame]:
+    """Round the double columns of an operator's output (computed fills, fences, sums) for comparison."""
+    from pyspark.sql import functions as F_
+
+    def run(df):
+        out = op(df)
+        return out.select(*[F_.round(F_.col(f"`{c}`"), digits).alias(c) if d == "double" else F_.col(f"`{c}`")
+                            for c, d in out.dtypes])
+    return run
+
+
 # ---------------------------------------------------------------- 2.2 profiling
 simple("profile_overview", pr.profile_overview, "dirty")
 simple("classify_columns", pr.classify_columns, "dirty")
@@ -75,18 +86,18 @@ simple("datetime_type_issues", cl.datetime_type_issues, "dirty")
 simple("issue_summary", lambda df: cl.issue_summary(cl.analyze_issues(df)), "dirty")
 simple("convert_numeric", lambda df: cl.convert_numeric(df, "cust_txt"), "dirty")
 simple("convert_datetime", lambda df: cl.convert_datetime(df, "date_txt"), "dirty")
-simple("fill_median", lambda df: cl.fill_median(df, "amount"), "dirty")
-simple("fill_mean", lambda df: cl.fill_mean(df, "amount"), "dirty")
+simple("fill_median", rounded(lambda df: cl.fill_median(df, "amount")), "dirty")
+simple("fill_mean", rounded(lambda df: cl.fill_mean(df, "amount")), "dirty")
 simple("fill_mode", lambda df: cl.fill_mode(df, "priority"), "dirty")
 simple("fill_constant", lambda df: cl.fill_constant(df, "priority", "Unknown"), "dirty")
 simple("drop_column", lambda df: cl.drop_column(df, "mostly_null"), "dirty")
 simple("drop_rows_missing", lambda df: cl.drop_rows_missing(df, ["amount", "priority"]), "dirty")
 simple("drop_duplicates", cl.drop_duplicates, "dirty")
-simple("winsorize", lambda df: cl.winsorize(df, "amount"), "dirty")
+simple("winsorize", rounded(lambda df: cl.winsorize(df, "amount")), "dirty")
 simple("drop_outlier_rows", lambda df: cl.drop_outlier_rows(df, "amount"), "dirty")
-simple("apply_cleaning", lambda df: cl.apply_cleaning(df, APPLY_PLAN).data, "dirty")
+simple("apply_cleaning", rounded(lambda df: cl.apply_cleaning(df, APPLY_PLAN).data), "dirty")
 simple("cleaning_report", lambda df: cl.apply_cleaning(df, APPLY_PLAN).report, "dirty")
-simple("auto_clean", lambda df: cl.auto_clean(df).data, "dirty")
+simple("auto_clean", rounded(lambda df: cl.auto_clean(df).data), "dirty")
 
 # ---------------------------------------------------------------- 2.5 exploratory analysis
 from quarry.operators import eda as ed  # noqa: E402
@@ -105,7 +116,7 @@ simple("histograms", ed.histograms, "lineitem")
 simple("categorical_breakdown", ed.categorical_breakdown, "dirty")
 QUERIES["pick_value_column"] = lambda spark, sf: spark.createDataFrame(
     [(ed.pick_value_column(table(spark, sf, "orders"), target="o_totalprice"),)], "value_column string")
-simple("monthly_totals", lambda df: ed.monthly_totals(df, "o_totalprice"), "orders")
+simple("monthly_totals", rounded(lambda df: ed.monthly_totals(df, "o_totalprice")), "orders")
 simple("monthly_moving_avg", lambda df: ed.monthly_moving_avg(ed.monthly_totals(df, "o_totalprice")), "orders")
 simple("weekly_totals", lambda df: ed.weekly_totals(df, "value"), "events")
 simple("missing_ranking", ed.missing_ranking, "dirty")
@@ -262,7 +273,7 @@ QUERIES["drop_low_variance"] = _low_variance
 QUERIES["drop_correlated"] = lambda spark, sf: _columns_df(spark, fe.correlated_columns(t("fe_input")(spark, sf)))
 simple("interaction_features", lambda df: fe.interaction_features(
     df, [("total_price", "acct_balance"), ("acct_balance", "nation"), ("missing", "nation")]), "fe_input")
-simple("cap_outliers", fe.cap_outliers, "dirty")
+simple("cap_outliers", rounded(fe.cap_outliers), "dirty")
 simple("fill_zero", fe.fill_zero, "dirty")
 simple("mutual_information", lambda df: fe.mutual_information(df, "status", "classification").select(
     "column", F.round("mi", 6).alias("mi")), "fe_input")
