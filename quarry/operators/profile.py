@@ -118,7 +118,10 @@ def _summary(df: DataFrame, cols: Sequence[str] | None, approx: bool) -> DataFra
     """Numeric summary from a VF pass over the numeric columns only (the scan reads nothing else)."""
     types = field_types(df)
     wanted = [c for c in (cols or df.columns) if is_numeric(types[c])]
-    return table_stats(df.select(*[q(c) for c in wanted]), approx=approx).numeric
+    st = table_stats(df.select(*[q(c) for c in wanted]), approx=approx)
+    st.numeric.count()  # materialise the small cached summary, then release the VF table
+    st.vf.unpersist()
+    return st.numeric
 
 
 def profile_numeric(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = False,
@@ -208,17 +211,22 @@ def column_facts(df: DataFrame, approx: bool = False, summary: DataFrame | None
     n_rows, outliers, skewness, median`` (numeric stats null elsewhere).
     """
     df = nan_to_null(df)
-    st = stats if stats is not None else table_stats(df, approx=approx)
+    own = stats is None
+    st = table_stats(df, approx=approx) if own else stats
     s_ = summary if summary is not None else st.numeric
     pc = profile_columns(df, stats=st)
     cl = classify_columns(df, st).select("column", "class")
     pn = profile_numeric(df, summary=s_).select("column", "outliers", "skewness").join(
         s_.select("column", "median"), "column")
-    return (
+    facts = (
         pc.join(cl, "column")
         .join(pn, "column", "left")
         .withColumn("n_rows", F.lit(st.n_rows).cast("bigint"))
     ).cache()
+    if own:
+        facts.count()  # one row per column; once materialised the VF table is no longer needed
+        st.vf.unpersist()
+    return facts
 
 
 def column_recommendation(df: DataFrame, facts: DataFrame | None = None) -> DataFrame:
