@@ -235,6 +235,28 @@ def mean_of(df: DataFrame, col: str):
     return _scalar(df.agg(F.avg(q(col))))
 
 
+def _typed_modes(df: DataFrame, cols: list[str]) -> dict:
+    """Most frequent non-null value per column (smallest on ties), from one VF job for all columns."""
+    if not cols:
+        return {}
+    types = field_types(df)
+    vf = value_counts(df, cols)
+    best = {r["column"]: r for r in
+            top_k(vf, ["column"], [F.col("cnt").desc(), F.col("num"), F.col("str")], 1).collect()}
+    out = {}
+    for c in cols:
+        r = best.get(c)
+        if r is None:
+            out[c] = None
+        elif is_string(types[c]):
+            out[c] = r["str"]
+        elif is_numeric(types[c]):
+            out[c] = r["num"]
+        else:  # booleans and timestamps keep their own type
+            out[c] = mode_of(df, c)
+    return out
+
+
 def mode_of(df: DataFrame, col: str):
     """Most frequent non-null value (typed), ties to the smallest; None when all null."""
     counts = df.where(q(col).isNotNull()).groupBy(q(col).alias("v")).agg(F.count(F.lit(1)).alias("cnt"))
@@ -368,7 +390,6 @@ def apply_cleaning(df: DataFrame, plan: dict, checkpoint_outlier_steps: int = 2)
     df = nan_to_null(df)
     steps: list[tuple] = []
     cols_before = len(df.columns)
-    rows_before = df.count()
     cur = df
 
     # 1. types
@@ -384,25 +405,31 @@ def apply_cleaning(df: DataFrame, plan: dict, checkpoint_outlier_steps: int = 2)
             raise ValueError(f"unknown type action {action}")
         steps.append(("Type Fix", col, action, "done", None, col))
     converted = [st[1] for st in steps]
-    if converted:
-        valid = cur.agg(*[F.count(q(c)).alias(c) for c in converted]).first().asDict()
-        steps = [(a, c, act, stt, v, valid[c]) for a, c, act, stt, v, _ in steps]
 
-    # 2. missing: one job for all null counts, one per statistic family
+    # one aggregate on the converted table: row count, valid values after conversion,
+    # nulls of every planned column and the means a mean fill could need
     missing_plan = {c: cfg for c, cfg in plan.get("missing", {}).items()
                     if cfg.get("action", "keep") != "keep" and c in cur.columns}
-    if missing_plan:
-        nulls = cur.agg(*[F.count_if(q(c).isNull()).alias(c) for c in missing_plan]).first().asDict()
-    else:
-        nulls = {}
+    mean_cols = [c for c, cfg in missing_plan.items() if cfg["action"] == "fill_mean"]
+    row = cur.agg(F.count(F.lit(1)).alias("__rows"),
+                  *[F.count(q(c)).alias(f"__valid_{i}") for i, c in enumerate(converted)],
+                  *[F.count_if(q(c).isNull()).alias(f"__null_{i}") for i, c in enumerate(missing_plan)],
+                  *[F.avg(q(c)).alias(f"__mean_{i}") for i, c in enumerate(mean_cols)]).first()
+    rows_before = int(row["__rows"])
+    valid = {c: row[f"__valid_{i}"] for i, c in enumerate(converted)}
+    steps = [(a_, c, act, stt, v, valid[c]) for a_, c, act, stt, v, _ in steps]
+    nulls = {c: row[f"__null_{i}"] for i, c in enumerate(missing_plan)}
+    mean_vals = {c: row[f"__mean_{i}"] for i, c in enumerate(mean_cols)}
+
+    # 2. missing values (statistics of the converted table, before any row drop)
     todo = {c: cfg for c, cfg in missing_plan.items() if nulls.get(c, 0) > 0}
     medians = [c for c, cfg in todo.items() if cfg["action"] == "fill_median"]
-    means = [c for c, cfg in todo.items() if cfg["action"] == "fill_mean"]
     med_vals = {}
     if medians:
         med_vals = {r["column"]: r["median"] for r in
                     quartiles(cur, medians, probs=(0.5,), names=("median",)).collect()}
-    mean_vals = cur.agg(*[F.avg(q(c)).alias(c) for c in means]).first().asDict() if means else {}
+    mode_cols = [c for c, cfg in todo.items() if cfg["action"] == "fill_mode"]
+    mode_vals = _typed_modes(cur, mode_cols)
     drop_cols, drop_row_cols, fills = [], [], {}
     for col, cfg in todo.items():
         action, n = cfg["action"], nulls[col]
@@ -419,7 +446,7 @@ def apply_cleaning(df: DataFrame, plan: dict, checkpoint_outlier_steps: int = 2)
             fills[col] = F.lit(float(mean_vals[col]))
             steps.append(("Missing Values", col, action, "filled", f"{mean_vals[col]:.4f}", n))
         elif action == "fill_mode":
-            v = mode_of(cur, col)
+            v = mode_vals.get(col)
             if v is None:
                 v = DEFAULT_CONSTANT
             fills[col] = _typed_literal(v, field_types(cur)[col])
@@ -438,14 +465,14 @@ def apply_cleaning(df: DataFrame, plan: dict, checkpoint_outlier_steps: int = 2)
         cur = drop_rows_missing(cur, drop_row_cols)
         steps.append(("Missing Values", "(multiple)", "drop_rows", "removed", None, flagged))
 
-    # 3. duplicates
+    # 3. duplicates: rows and distinct rows from one grouping job
     dup_action = plan.get("duplicates", {}).get("action", "keep")
     if dup_action == "drop_duplicates":
-        n_all = cur.count()
-        deduped = drop_duplicates(cur)
-        n_dup = n_all - deduped.count()
+        g = cur.groupBy(*[q(c) for c in cur.columns]).agg(F.count(F.lit(1)).alias("__c"))
+        counts = g.agg(F.coalesce(F.sum("__c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("d")).first()
+        n_dup = int(counts["n"]) - int(counts["d"])
         if n_dup > 0:
-            cur = deduped
+            cur = drop_duplicates(cur)
             steps.append(("Duplicates", "-", "drop_duplicates", "removed", None, n_dup))
     else:
         steps.append(("Duplicates", "-", "keep", "skipped", None, 0))
