@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from quarry.functions.dates import parse_ts
 from quarry.functions.frames import (
     field_types, is_bool, is_numeric, is_string, is_temporal, nan_to_null, one_row_join, q, render_value,
-    top_k, value_counts,
+    top_k,
 )
 from quarry.functions.table_stats import TableStats, table_stats, text_sample
 
