@@ -1,8 +1,8 @@
 """Session helpers: a configured SparkSession and a shared scratch folder.
 
-On a cluster the scratch folder is derived from ``spark.checkpoint.dir`` (a
-shared, reliable filesystem). Only when that setting is absent -- local runs
-and tests -- do we create one under the system temp folder and register it.
+Intermediate tables lie under ``spark.checkpoint.dir``, a reliable filesystem
+that driver and executors share. A cluster without that setting is refused;
+only a local master gets a folder of its own.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -35,14 +36,24 @@ def get_spark(master: str | None = None, app: str = "quarry", shuffle_partitions
     return spark
 
 
-def checkpoint_root(spark: SparkSession) -> str:
-    """The shared checkpoint folder; set a local one only when none is configured."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+def checkpoint_root(spark: SparkSession, path: str | None = None) -> str:
+    """The shared folder for intermediate tables.
+
+    It is the folder in ``spark.checkpoint.dir``, else the one the application
+    has already set on its context, else ``path``. Only a local master may go
+    without any of them; it gets a folder of its own, since driver and
+    executors are one process there. On a cluster a missing folder is an error.
+    """
+    context = spark.sparkContext
+    current = context._jsc.sc().getCheckpointDir()
+    configured = spark.conf.get("spark.checkpoint.dir", None) or (current.get() if current.isDefined() else path)
     if not configured:
+        master = context.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         configured = tempfile.mkdtemp(prefix="quarry-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(configured)
+    if not current.isDefined():
+        context.setCheckpointDir(configured)
     return configured
 
 
@@ -51,3 +62,20 @@ def scratch_dir(spark: SparkSession, name: str = "scratch") -> str:
     root = checkpoint_root(spark)
     path = f"{root.rstrip('/')}/quarry-{name}-{uuid.uuid4().hex[:12]}"
     return path
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, so Python workers can import it anywhere."""
+    context = spark.sparkContext
+    if getattr(context, "_quarry_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="quarry-code-"), "quarry_code.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, os.path.dirname(package)))
+    context.addPyFile(archive)
+    context._quarry_shipped = True
