@@ -33,6 +33,8 @@ from quarry.llm.textkit import list_column, mix, shingle_sets, slices, utf8_rows
 COMMON_DOCS = 48
 #: ... the most frequent so many of them; the order only steers cost, never results.
 COMMON_TOKENS = 1_000_000
+#: Tokens are counted by their upper 40 bits; the order stays total, ties go by the whole token.
+TOKEN_SHIFT = np.uint64(24)
 #: Shared prefix tokens that a group needs to be opened.
 SHARED = 3
 #: Node ids up to which a list of wanted documents is broadcast.
@@ -93,7 +95,7 @@ def _fitting(a: str, b: str, percent: int) -> Column:
 class _Join:
     def __init__(self, docs: DataFrame, k: int, percent: int, id_col: str, text_col: str):
         self.docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-        self.k, self.percent = k, percent
+        self.k, self.percent, self.repeated = k, percent, True
         small_batches(docs.sparkSession)
 
     def sets(self, nodes: DataFrame) -> DataFrame:
@@ -104,10 +106,14 @@ class _Join:
         docs = self.docs.join(ids, F.col("doc_id").eqNullSafe(F.col("doc")), "left_semi")
         full = _arrow_sets(docs, self.k, "h array<bigint>", lambda sets: [list_column(sets)])
         same = (full["d1"] == wanted["d1"]) & (full["d2"] == wanted["d2"]) & full["doc_id"].eqNullSafe(wanted["doc"])
-        return stored(full.join(sized(wanted, WANTED_ROWS), same).select("node", "h").dropDuplicates(["node"]))
+        sets = full.join(sized(wanted, WANTED_ROWS), same).select("node", "h")
+        return sets.dropDuplicates(["node"]) if self.repeated else sets
 
     def verified(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-        """The pairs ``(a, b)`` of nodes that are similar, by exact intersection."""
+        """The pairs ``(a, b)`` of nodes that are similar, by exact intersection.
+
+        Both joins read one exchange of the sets by node.
+        """
         pairs = stored(pairs)
         used = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         sets = self.sets(nodes.join(used, "node").select("node", "doc", "d1", "d2"))
@@ -131,6 +137,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     """
     job = _Join(docs, k, percent, id_col, text_col)
     found = stored(_arrow_sets(job.docs, k, "n bigint, m1 bigint, m2 bigint, m3 bigint", _signatures))
+    # only rows that repeat an id can repeat a set's document
+    job.repeated = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").limit(1).count() > 0
     nodes = stored(found.where("n > 0").groupBy("d1", "d2").agg(
         F.min("doc_id").alias("doc"), F.first("n").alias("n"), *[F.first(m).alias(m) for m in ("m1", "m2", "m3")])
         .withColumn("node", F.monotonically_increasing_id()))
@@ -173,7 +181,7 @@ def _between_groups(job: _Join, nodes: DataFrame, members: DataFrame) -> DataFra
         for batch in batches:
             parts = [s[:_prefix_length(len(s), percent, SHARED)] for s in _shingles(batch, k)]
             if sum(map(len, parts)):
-                t, c = np.unique(np.concatenate(parts), return_counts=True)
+                t, c = np.unique(np.concatenate(parts) >> TOKEN_SHIFT, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(c)], ["token", "c"])
     counts = (job.docs.select("text").mapInArrow(first_tokens, "token bigint, c bigint")
               .groupBy("token").agg(F.sum("c").alias("c")).where(F.col("c") > COMMON_DOCS))
@@ -189,8 +197,9 @@ def _between_groups(job: _Join, nodes: DataFrame, members: DataFrame) -> DataFra
         for s in sets:
             n = _prefix_length(len(s), percent, SHARED) if len(s) > 3 else 0  # sets up to 3 match equal ones only
             if n and len(known):
-                at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                cost = np.where(known[at] == s, weight[at], 0)
+                short = s >> TOKEN_SHIFT
+                at = np.minimum(np.searchsorted(known, short), len(known) - 1)
+                cost = np.where(known[at] == short, weight[at], 0)
                 s = s[np.argsort(cost, kind="stable")]
             out.append(s[:n])
         return [list_column(out)]
