@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,3 +85,55 @@ def small_batches(spark: SparkSession) -> None:
     conf.set("spark.sql.execution.arrow.maxRecordsPerBatch",
              str(min(1000, int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")))))
     conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+
+
+def solve_runs(keys: Sequence[str], solve: Callable[[pa.Table], pa.RecordBatch | None]):
+    """For ``mapInArrow`` on input sorted by the long columns ``keys``: apply ``solve`` to every run of equal keys."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = pa.Table.from_batches([batch])
+            key = np.stack([t.column(c).to_numpy() for c in keys])
+            cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1), t.num_rows]
+            for a, b in zip(cuts, cuts[1:]):
+                now = tuple(key[:, a])
+                if now != last and held:
+                    out = solve(pa.concat_tables(held))
+                    held = []
+                    if out:
+                        yield out
+                last = now
+                held.append(t.slice(a, b - a))
+        if held:
+            out = solve(pa.concat_tables(held))
+            if out:
+                yield out
+    return run
+
+
+def block_pairs(rows: DataFrame, keys: Sequence[str], node: str, fill: str, block: int) -> DataFrame:
+    """Cut groups of more than ``block`` rows (size in ``fill``) into blocks and give every pair of blocks its rows.
+
+    Adds ``side`` (the row's block) and the pair ``lo <= hi`` of blocks.
+    """
+    spread = rows.withColumn("parts", F.ceil(F.col(fill) / block)).withColumn(
+        "side", F.pmod(F.xxhash64(node), F.col("parts")))
+    spread = spread.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("other")).withColumns(
+        {"lo": F.least("side", "other"), "hi": F.greatest("side", "other")}).drop("parts", "other", fill)
+    order = [*keys, "lo", "hi"]
+    return spread.repartition(*order).sortWithinPartitions(*order)
+
+
+def forest(left: np.ndarray, right: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """Smallest name reachable from every position of ``names`` over index pairs ``left, right``."""
+    label = names.copy()
+    while True:
+        new = label.copy()
+        np.minimum.at(new, left, label[right])
+        np.minimum.at(new, right, label[left])
+        if (new == label).all():
+            return label
+        label = new

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import connected_components, sized, small_batches, stored
+from quarry.llm.common import block_pairs, connected_components, forest, sized, small_batches, solve_runs, stored
 
 #: Vectors expected in a band's bucket, and compared at once in a task.
 BUCKET, BLOCK = 64, 1_024
@@ -136,44 +136,11 @@ def _bucket_rows(threshold: float, eps: float):
         node = np.concatenate([left, right])
         links = np.concatenate([b["copies"][y], a["copies"][x]])
         ids, inverse = np.unique(node, return_inverse=True)
-        peer = np.full(len(ids), np.iinfo(np.int64).max)
-        # a spanning forest of this block: repeatedly take the smallest label next door
-        label = ids.copy()
-        l, r = inverse[:len(left)], inverse[len(left):]
-        while True:
-            new = label.copy()
-            np.minimum.at(new, l, label[r])
-            np.minimum.at(new, r, label[l])
-            if (new == label).all():
-                break
-            label = new
-        peer = label
+        peer = forest(inverse[:len(left)], inverse[len(left):], ids)
         return pa.RecordBatch.from_arrays(
             [pa.array(ids), pa.array(np.bincount(inverse, links).astype(np.int64)), pa.array(peer)], ["node", "links", "peer"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
-        last = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            t = pa.Table.from_batches([batch])
-            key = np.stack([t.column(c).to_numpy() for c in ("grp", "band", "bucket", "lo", "hi")])
-            cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1), t.num_rows]
-            for a, b in zip(cuts, cuts[1:]):
-                now = tuple(key[:, a])
-                if now != last and held:
-                    out = solve(pa.concat_tables(held))
-                    held = []
-                    if out:
-                        yield out
-                last = now
-                held.append(t.slice(a, b - a))
-        if held:
-            out = solve(pa.concat_tables(held))
-            if out:
-                yield out
-    return run
+    return solve_runs(("grp", "band", "bucket", "lo", "hi"), solve)
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.93, recall: float = 0.99, eps: float = 4.5,
@@ -217,13 +184,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, recall: float =
     every = coded.select("*", F.posexplode("bands").alias("band", "bucket"))
     fill = stored(every.groupBy(*keys).agg(F.count(F.lit(1)).alias("fill")).where("fill > 1"))
     crowded = stored(fill.where(F.col("fill") > BLOCK))
-    blocks = F.ceil(F.coalesce("fill", F.lit(1)) / BLOCK)
-    spread = every.join(sized(crowded, CROWDED_ROWS), keys, "left").withColumn("parts", blocks).withColumn(
-        "side", F.pmod(F.xxhash64("node"), F.col("parts")))
-    spread = spread.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("other")).withColumns(
-        {"lo": F.least("side", "other"), "hi": F.greatest("side", "other")}).drop("parts", "other", "fill")
-    order = [*keys, "lo", "hi"]
-    found = stored(spread.repartition(*order).sortWithinPartitions(*order)
+    spread = every.join(sized(crowded, CROWDED_ROWS), keys, "left").withColumn("fill", F.coalesce("fill", F.lit(1)))
+    found = stored(block_pairs(spread, keys, "node", "fill", BLOCK)
                    .mapInArrow(_bucket_rows(threshold, eps), "node bigint, links bigint, peer bigint"))
     components = connected_components(found.select(F.col("node").alias("a"), F.col("peer").alias("b")).distinct())
     links = found.groupBy("node").agg(F.sum("links").alias("links"))

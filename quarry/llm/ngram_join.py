@@ -1,8 +1,9 @@
 """Exact Jaccard join of word shingle sets through a token-group matrix.
 
 1. Equal sets collapse to one node.
-2. Nodes that share a minimum hash with a leader and are verified similar to
-   it form the groups (connected by verified links).
+2. Nodes that share a minimum hash with a leader and agree with it in enough
+   of 16 minimum hashes are put into its group; each group is compared inside,
+   exactly, by one matrix product of its sets.
 3. The matrix holds, per group, the union of its members' prefix tokens. In a
    common order of all tokens (rare first), two sets of Jaccard >= t share at
    least k tokens among their first ``n - ceil(t n) + k``; so the overlap of a
@@ -10,7 +11,7 @@
    with fewer than k common tokens holds no partner.
 4. Only qualifying groups are opened: their members of fitting size are
    verified exactly against the query set.
-5. Links and groups are joined to components.
+5. All links are joined to components.
 
 Only the grouping is heuristic; steps 3 and 4 find every link between
 different groups whatever the groups are.
@@ -26,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import connected_components, sized, small_batches, stored
-from quarry.llm.textkit import list_column, mix, shingle_sets, slices, utf8_rows, words_of
+from quarry.llm.common import block_pairs, connected_components, forest, sized, small_batches, solve_runs, stored
+from quarry.llm.textkit import list_column, shingle_sets, slices, utf8_rows, words_of
 
 #: Tokens in more than so many prefixes go to the end of the common order ...
 COMMON_DOCS = 48
@@ -40,7 +41,11 @@ SHARED = 3
 #: Node ids up to which a list of wanted documents is broadcast.
 WANTED_ROWS = 2_000_000
 
-_SEEDS = [np.uint64(x) for x in (0x5851F42D4C957F2D, 0x14057B7EF767814F, 0x2545F4914F6CDD1D)]
+#: Minimum hashes per set, how many of them name buckets, and how many must agree with a leader's.
+SIGNATURE, KEYS, AGREE = 16, 6, 6
+#: Sets of a group that one task compares with as many others.
+BLOCK = 512
+_MULTIPLIERS = np.random.default_rng(99).integers(1, 2**63, SIGNATURE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _needed(n: np.ndarray | int, percent: int):
@@ -75,8 +80,8 @@ def _arrow_sets(docs: DataFrame, k: int, schema: str, emit) -> DataFrame:
 
 
 def _signatures(sets: list[np.ndarray]) -> list[pa.Array]:
-    mins = [[int(mix(s ^ seed).min().view(np.int64)) if len(s) else 0 for s in sets] for seed in _SEEDS]
-    return [pa.array([len(s) for s in sets], pa.int64()), *[pa.array(m, pa.int64()) for m in mins]]
+    mins = [np.array([(s * m).min() for m in _MULTIPLIERS]) if len(s) else s for s in sets]
+    return [pa.array([len(s) for s in sets], pa.int64()), list_column(mins)]
 
 
 def _prefix_length(n: int, percent: int, shared: int) -> int:
@@ -98,15 +103,15 @@ class _Join:
         self.k, self.percent, self.repeated = k, percent, True
         small_batches(docs.sparkSession)
 
-    def sets(self, nodes: DataFrame) -> DataFrame:
-        """``(node, h)``: the full shingle sets of ``nodes (node, doc, d1, d2)``, from their documents' texts."""
+    def sets(self, nodes: DataFrame, *more: str) -> DataFrame:
+        """``(node, h, more...)``: the full shingle sets of ``nodes (node, doc, d1, d2, more...)``, from their documents' texts."""
         wanted = stored(nodes)
         ids = wanted.select("doc").distinct()
         ids = F.broadcast(ids) if wanted.count() <= WANTED_ROWS else ids
         docs = self.docs.join(ids, F.col("doc_id").eqNullSafe(F.col("doc")), "left_semi")
         full = _arrow_sets(docs, self.k, "h array<bigint>", lambda sets: [list_column(sets)])
         same = (full["d1"] == wanted["d1"]) & (full["d2"] == wanted["d2"]) & full["doc_id"].eqNullSafe(wanted["doc"])
-        sets = full.join(sized(wanted, WANTED_ROWS), same).select("node", "h")
+        sets = full.join(sized(wanted, WANTED_ROWS), same).select("node", "h", *more)
         return sets.dropDuplicates(["node"]) if self.repeated else sets
 
     def verified(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -136,14 +141,14 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     null. An empty table gives no rows; other columns are ignored.
     """
     job = _Join(docs, k, percent, id_col, text_col)
-    found = stored(_arrow_sets(job.docs, k, "n bigint, m1 bigint, m2 bigint, m3 bigint", _signatures))
+    found = stored(_arrow_sets(job.docs, k, "n bigint, sig array<bigint>", _signatures))
     # only rows that repeat an id can repeat a set's document
     job.repeated = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").limit(1).count() > 0
     nodes = stored(found.where("n > 0").groupBy("d1", "d2").agg(
-        F.min("doc_id").alias("doc"), F.first("n").alias("n"), *[F.first(m).alias(m) for m in ("m1", "m2", "m3")])
+        F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"))
         .withColumn("node", F.monotonically_increasing_id()))
-    groups = _groups(job, nodes)
-    edges = groups["edges"].union(_between_groups(job, nodes, groups["members"]))
+    members = _groups(nodes)
+    edges = _within_groups(job, members).union(_between_groups(job, nodes, members))
     components = stored(connected_components(edges).withColumnRenamed("node", "n_node"))
     named = nodes.join(components, F.col("node") == F.col("n_node"), "left").select(
         "d1", "d2", "doc", F.coalesce("component", "node").alias("component"))
@@ -154,22 +159,87 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _groups(job: _Join, nodes: DataFrame) -> dict[str, DataFrame]:
-    """Groups of similar sets: verified links of every node to leaders of its minimum-hash buckets."""
-    keys = nodes.select("node", "n", F.posexplode(F.array("m1", "m2", "m3")).alias("i", "m"))
+def _least_common(percent: int) -> Column:
+    """Prefix tokens that a set of ``na`` must share with a group of sizes ``n_lo`` to ``n_hi`` that holds a partner.
+
+    Of all common tokens of two similar sets, those not in both prefixes lie
+    behind one of them, so they are at most ``n - prefix`` of that set. The
+    bound is concave in the partner's size: its least is at an end.
+    """
+    def needed(n: Column) -> Column:
+        return F.ceil(n * percent / 100)
+
+    def bound(nb: Column) -> Column:
+        overlap = F.ceil((F.col("na") + nb) * percent / (100 + percent) - 1e-6)
+        return overlap - F.greatest(needed(F.col("na")), needed(nb)) + SHARED - 1
+    lo = F.greatest(F.col("n_lo"), needed(F.col("na")))
+    hi = F.least(F.col("n_hi"), F.floor(F.col("na") * 100 / percent))
+    return F.least(bound(lo), bound(hi))
+
+
+def _groups(nodes: DataFrame) -> DataFrame:
+    """``nodes`` with ``grp``: nodes of one minimum-hash bucket join the bucket's leaders they agree with.
+
+    Leaders are the set of most copies and the set of smallest node, so the
+    original of many altered copies gathers them.
+    """
+    keys = nodes.select("node", "copies", "sig", F.posexplode(F.slice("sig", 1, KEYS)).alias("i", "m"))
+    one = F.struct("node", "sig")
     leaders = keys.groupBy("i", "m").agg(
-        F.count(F.lit(1)).alias("size"), F.min("node").alias("l1"), F.max("node").alias("l2"),
-        F.min_by("node", F.xxhash64("node")).alias("l3")).where("size > 1")
-    pairs = (keys.join(leaders, ["i", "m"]).select("node", "n", F.explode(F.array_distinct(F.array("l1", "l2", "l3"))).alias("leader"))
-             .where("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct())
-    sizes = nodes.select("node", "n")
-    pairs = (pairs.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b")
-             .where(_fitting("na", "nb", job.percent)).select("a", "b"))
-    edges = job.verified(pairs, nodes)
-    components = connected_components(edges)
-    members = stored(nodes.join(components, "node", "left").select(
+        F.count(F.lit(1)).alias("size"), F.max_by(one, F.struct("copies", "node")).alias("l1"), F.min_by(one, "node").alias("l2")
+    ).where("size > 1")
+    agree = F.size(F.filter(F.zip_with("sig", F.col("l.sig"), lambda a, b: a == b), lambda x: x))
+    edges = (keys.join(leaders, ["i", "m"]).select("node", "sig", F.explode(F.array("l1", "l2")).alias("l"))
+             .where((F.col("node") != F.col("l.node")) & (agree >= AGREE))
+             .select(F.col("node").alias("a"), F.col("l.node").alias("b")).distinct())
+    components = connected_components(edges).withColumnRenamed("node", "_node")
+    return stored(nodes.join(components, F.col("node") == F.col("_node"), "left").select(
         "node", "doc", "d1", "d2", "n", F.coalesce("component", "node").alias("grp")))
-    return {"edges": edges, "members": members}
+
+
+def _solve_group(percent: int):
+    """Exact links inside one block, or between two, of a group; a spanning forest of them is returned."""
+    def solve(t: pa.Table) -> pa.RecordBatch | None:
+        rows, lo, hi = t.num_rows, t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
+        if rows < 2:
+            return None
+        column = t.column("h").combine_chunks()
+        n = np.diff(column.offsets.to_numpy())
+        tokens, inverse, seen = np.unique(column.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(rows), n)
+        several = seen > 1
+        rank = np.cumsum(several) - 1
+        keep = several[inverse]
+        owner, place = owner[keep], rank[inverse[keep]]
+        order = np.argsort(place, kind="stable")
+        owner, place = owner[order], place[order]
+        width = max(1024, (1 << 23) // rows)
+        common = np.zeros((rows, rows), np.float32)
+        for first in range(0, int(several.sum()), width):
+            a, b = np.searchsorted(place, (first, first + width))
+            m = np.zeros((rows, width), np.float32)
+            m[owner[a:b], place[a:b] - first] = 1
+            common += m @ m.T
+        links = 100 * common >= percent * (n[:, None] + n[None, :] - common)
+        if lo != hi:
+            side = t.column("side").to_numpy()
+            links &= side[:, None] != side[None, :]
+        i, j = np.nonzero(np.triu(links, 1))
+        if not len(i):
+            return None
+        ids, inverse = np.unique(t.column("node").to_numpy()[np.concatenate([i, j])], return_inverse=True)
+        label = forest(inverse[:len(i)], inverse[len(i):], ids)
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(label)], ["a", "b"])
+    return solve
+
+
+def _within_groups(job: _Join, members: DataFrame) -> DataFrame:
+    """Links between sets of one group: every set is sent once per block of its group."""
+    sizes = stored(members.groupBy("grp").agg(F.count(F.lit(1)).alias("fill")).where("fill > 1"))
+    inside = members.join(sized(sizes), "grp")
+    sets = job.sets(inside.select("node", "doc", "d1", "d2", "grp", "fill"), "grp", "fill")
+    return stored(block_pairs(sets, ["grp"], "node", "fill", BLOCK).mapInArrow(
+        solve_runs(("grp", "lo", "hi"), _solve_group(job.percent)), "a bigint, b bigint"))
 
 
 def _between_groups(job: _Join, nodes: DataFrame, members: DataFrame) -> DataFrame:
@@ -211,16 +281,17 @@ def _between_groups(job: _Join, nodes: DataFrame, members: DataFrame) -> DataFra
     # the matrix without tokens of one group only
     matrix = stored(postings.withColumn("lo", F.min("grp").over(across)).withColumn("hi", F.max("grp").over(across))
                     .where("lo < hi").select("token", "node", "grp").distinct())
-    sizes = members.groupBy("grp").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    ranked = matrix.join(sizes, "grp", "left").withColumn("size", F.coalesce("size", F.lit(1)))
+    sizes = members.groupBy("grp").agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("n_lo"), F.max("n").alias("n_hi"))
+    ranked = matrix.join(sizes.select("grp", "size"), "grp")
     query = ranked.select("token", F.col("node").alias("q"), F.struct("size", "grp").alias("qg"))
     union = ranked.select("token", F.struct("size", "grp").alias("ug")).distinct()
+    asking = members.select(F.col("node").alias("q"), F.col("n").alias("na"))
     # the smaller group asks
     opened = (query.join(union, "token").where("qg < ug").groupBy("q", F.col("ug.grp").alias("grp"))
-              .agg(F.count(F.lit(1)).alias("common")).where(F.col("common") >= SHARED))
+              .agg(F.count(F.lit(1)).alias("common")).where(F.col("common") >= SHARED)
+              .join(asking, "q").join(sizes.drop("size"), "grp").where(F.col("common") >= _least_common(percent)))
     inside = members.select("grp", F.col("node").alias("b"), F.col("n").alias("nb"))
-    asking = members.select(F.col("node").alias("q"), F.col("n").alias("na"))
-    pairs = (opened.join(asking, "q").join(inside, "grp").where(_fitting("na", "nb", percent))
+    pairs = (opened.join(inside, "grp").where(_fitting("na", "nb", percent))
              .select(F.col("q").alias("a"), "b").distinct())
     return job.verified(pairs, nodes)
 
