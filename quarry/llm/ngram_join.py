@@ -88,15 +88,6 @@ def _prefix_length(n: int, percent: int, shared: int) -> int:
     return min(n, n - _needed(n, percent) + shared)
 
 
-def _similar(inter: Column, a: Column, b: Column, percent: int) -> Column:
-    return 100 * inter >= percent * (a + b - inter)
-
-
-def _fitting(a: str, b: str, percent: int) -> Column:
-    """Sizes that allow the similarity at all."""
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
-
-
 class _Join:
     def __init__(self, docs: DataFrame, k: int, percent: int, id_col: str, text_col: str):
         self.docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -114,19 +105,6 @@ class _Join:
         sets = full.join(sized(wanted, WANTED_ROWS), same).select("node", "h", *more)
         return sets.dropDuplicates(["node"]) if self.repeated else sets
 
-    def verified(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-        """The pairs ``(a, b)`` of nodes that are similar, by exact intersection.
-
-        Both joins read one exchange of the sets by node.
-        """
-        pairs = stored(pairs)
-        used = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        sets = self.sets(nodes.join(used, "node").select("node", "doc", "d1", "d2"))
-        with_a = pairs.join(sets.toDF("a", "ha"), "a")
-        both = with_a.join(sets.toDF("b", "hb"), "b")
-        inter = F.size(F.array_intersect("ha", "hb"))
-        return stored(both.where(_similar(inter, F.size("ha"), F.size("hb"), self.percent)).select("a", "b"))
-
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row.
@@ -289,11 +267,35 @@ def _between_groups(job: _Join, nodes: DataFrame, members: DataFrame) -> DataFra
     # the smaller group asks
     opened = (query.join(union, "token").where("qg < ug").groupBy("q", F.col("ug.grp").alias("grp"))
               .agg(F.count(F.lit(1)).alias("common")).where(F.col("common") >= SHARED)
-              .join(asking, "q").join(sizes.drop("size"), "grp").where(F.col("common") >= _least_common(percent)))
-    inside = members.select("grp", F.col("node").alias("b"), F.col("n").alias("nb"))
-    pairs = (opened.join(inside, "grp").where(_fitting("na", "nb", percent))
-             .select(F.col("q").alias("a"), "b").distinct())
-    return job.verified(pairs, nodes)
+              .join(asking, "q").join(sizes.drop("size"), "grp")
+              .where((F.col("n_lo") * percent <= F.col("na") * 100) & (F.col("na") * percent <= F.col("n_hi") * 100))
+              .where(F.col("common") >= _least_common(percent)))
+    return _open(job, members, stored(opened.select("q", "grp")))
+
+
+def _open(job: _Join, members: DataFrame, opened: DataFrame) -> DataFrame:
+    """Exact links between asking sets and all members of the groups ``opened (q, grp)``.
+
+    Members and askers of a group are cut into blocks; every pair of blocks is
+    one matrix product, so no pairs are written out and no task holds more.
+    """
+    groups = stored(opened.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("askers")).join(
+        members.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("hosts")), "grp"))
+
+    def block(parts: str) -> Column:
+        return F.pmod(F.xxhash64("node"), F.col(parts)).cast("bigint")
+
+    def every(parts: str) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(parts) - 1))
+    hosts = members.select("node", "grp").join(groups, "grp").select(
+        "node", "grp", F.lit(0).alias("side"), block("hosts").alias("host"), every("askers").alias("asker"))
+    askers = opened.select(F.col("q").alias("node"), "grp").join(groups, "grp").select(
+        "node", "grp", F.lit(1).alias("side"), every("hosts").alias("host"), block("askers").alias("asker"))
+    roles = stored(hosts.union(askers).withColumns({"lo": F.lit(0), "hi": F.lit(1)}))
+    sets = job.sets(members.join(roles.select("node").distinct(), "node").select("node", "doc", "d1", "d2"))
+    order = ["grp", "host", "asker"]
+    rows = roles.join(sets, "node").repartition(*order).sortWithinPartitions(*order)
+    return stored(rows.mapInArrow(solve_runs(order, _solve_group(job.percent)), "a bigint, b bigint"))
 
 
 def keep_one_per_group(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
