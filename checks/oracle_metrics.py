@@ -90,8 +90,8 @@ def regression_scores(table: str = "scored_regression", pred: str = "prediction"
 SELECT round(mae, 4) AS mae, round(mse, 4) AS mse, round(sqrt(mse), 4) AS rmse,
        round(CASE WHEN vy > 0 THEN 1 - mse / vy WHEN mse = 0 THEN 1.0 ELSE 0.0 END, 4) AS r2,
        explained_variance, median_absolute_error, mape
-FROM (SELECT CAST(sum(CAST(abs(e) AS DECIMAL(38, 6))) / count(*) AS DOUBLE) AS mae,
-             CAST(sum(CAST(e * e AS DECIMAL(38, 6))) / count(*) AS DOUBLE) AS mse, var_pop(y) AS vy,
+FROM (SELECT avg(abs(e)) AS mae,
+             avg(e * e) AS mse, var_pop(y) AS vy,
        round(CASE WHEN var_pop(y) > 0 THEN 1 - var_pop(e) / var_pop(y) WHEN var_pop(e) = 0 THEN 1.0 ELSE 0.0 END, 4)
          AS explained_variance,
        round(quantile_cont(abs(e), 0.5), 4) AS median_absolute_error,

@@ -181,12 +181,8 @@ def _reg_parts(df: DataFrame, label: str, prediction: str) -> DataFrame:
 def regression_scores(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """One row: mae, mse, rmse, r2, explained_variance, median_absolute_error (4 dp), mape (2 dp)."""
     t = _reg_parts(df, label, prediction)
-    # per-row terms rounded to 1e-6 and summed as decimals: exact, so the
-    # metrics do not drift with partitioning or summation order
-    dec = "decimal(38,6)"
     agg = t.agg(
-        (F.sum(F.abs("e").cast(dec)) / F.count(F.lit(1))).cast("double").alias("mae"),
-        (F.sum((F.col("e") * F.col("e")).cast(dec)) / F.count(F.lit(1))).cast("double").alias("mse"),
+        F.avg(F.abs("e")).alias("mae"), F.avg(F.col("e") * F.col("e")).alias("mse"),
         F.var_pop("y").alias("vy"), F.var_pop("e").alias("ve"), F.count(F.lit(1)).alias("n"),
         F.avg(F.abs("e") / F.greatest(F.abs("y"), F.lit(EPS))).alias("mape"),
     )
