@@ -37,7 +37,8 @@ INTEGRAL = {"bigint", "int", "smallint", "tinyint"}
 VIEW_TABLES = {"dirty", "scored_binary", "scored_multi", "scored_regression", "scored_proba", "fe_input"}
 
 # The timestamp formats accepted when parsing strings (strftime form).
-DATE_FORMATS = ["%Y-%m-%d %H:%M:%S", "%Y-%m-%dT%H:%M:%S", "%Y-%m-%d", "%Y/%m/%d", "%m/%d/%Y"]
+DATE_FORMATS = ["%Y-%m-%d %H:%M:%S", "%Y-%m-%dT%H:%M:%S", "%Y-%m-%d", "%Y/%m/%d", "%m/%d/%Y", "%Y-%m-%d %H:%M:%S.%f",
+                "%Y-%m-%dT%H:%M:%S.%f", "%d-%m-%Y", "%d %b %Y", "%b %d, %Y", "%Y-%m"]
 
 
 def parse_ts(expr: str) -> str:

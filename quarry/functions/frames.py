@@ -96,7 +96,12 @@ def str_expr(name: str, dt: T.DataType) -> Column:
     if kind == "float":
         return F.lit(None).cast("string")
     if kind == "time":
-        return F.date_format(q(name), "yyyy-MM-dd HH:mm:ss")
+        if isinstance(dt, T.DateType):
+            return F.date_format(q(name), "yyyy-MM-dd HH:mm:ss")
+        # whole seconds as such, others with all six digits
+        whole = F.date_format(q(name), "yyyy-MM-dd HH:mm:ss")
+        micros = F.date_format(q(name), "SSSSSS")
+        return F.when(micros == "000000", whole).otherwise(F.concat(whole, F.lit("."), micros))
     return q(name).cast("string")
 
 

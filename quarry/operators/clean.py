@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from decimal import Decimal
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from pyspark.sql import types as T
 
 from quarry.functions.dates import parse_ts
 from quarry.functions.frames import (
-    field_types, is_numeric, is_string, nan_to_null, one_row_join, q, top_k, value_counts,
+    field_types, is_integral, is_numeric, is_string, nan_to_null, one_row_join, q, top_k, value_counts,
 )
 from quarry.functions.stats import numeric_summary, outlier_counts, quartiles, with_fences
 from quarry.operators.profile import column_facts, profile_overview
@@ -250,9 +251,11 @@ def _typed_modes(df: DataFrame, cols: list[str]) -> dict:
             out[c] = None
         elif is_string(types[c]):
             out[c] = r["str"]
-        elif is_numeric(types[c]):
+        elif is_integral(types[c]):
+            out[c] = int(r["str"])
+        elif is_numeric(types[c]) and not isinstance(types[c], T.DecimalType):
             out[c] = r["num"]
-        else:  # booleans and timestamps keep their own type
+        else:  # booleans, decimals and timestamps keep their own type
             out[c] = mode_of(df, c)
     return out
 
@@ -278,6 +281,9 @@ def fill_mean(df: DataFrame, col: str, value=None) -> DataFrame:
 def _typed_literal(value, dt: T.DataType):
     """Constant as a literal of the column's type; refuse a constant that does not fit."""
     if is_numeric(dt):
+        # exact where a double would lose digits
+        if isinstance(value, int) and is_integral(dt) or isinstance(value, Decimal) and isinstance(dt, T.DecimalType):
+            return F.lit(value).cast(dt)
         try:
             num = float(value)
         except (TypeError, ValueError) as e:

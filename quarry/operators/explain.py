@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from quarry.functions.frames import field_types, q
 from quarry.functions.ranks import prefix_counts
 from quarry.operators.prepare import SEED
+from quarry.session import checkpoint_root
 
 # How many features are shown and how many rows / draws explanations use.
 TOP_FEATURES = 10
@@ -97,19 +98,22 @@ def permutation_importance(model: PipelineModel, df: DataFrame, key: str, target
     """Mean score drop when one input column is shuffled, over ``repeats`` shuffles; / sum of abs; top 10 by value."""
     spark = df.sparkSession
     pred = "predicted_label" if problem_type == "classification" else "prediction"
-    base_rows = df.select(q(key), q(target), *[q(c) for c in features if c != key])
-    # position of each row: rank of its key (distributed prefix counts, one group)
-    pos = prefix_counts(base_rows.groupBy(q(key).alias("_k")).agg(F.count(F.lit(1)).alias("cnt"))
-                        .withColumn("_g", F.lit(0)), ["_g"], "_k", "cnt").select(F.col("_k"), F.col("before").alias("_pos"))
-    base = base_rows.join(pos, base_rows[f"`{key}`"] == pos["_k"]).drop("_k")
+    checkpoint_root(spark)
+    # rows of one key are told apart by a row number of the stored table
+    base_rows = df.select(q(key), q(target), *[q(c) for c in features if c != key]).withColumn(
+        "_id", F.monotonically_increasing_id()).checkpoint(eager=True)
+    # position of each row: rank of its key, then row (distributed prefix counts, one group)
+    pos = prefix_counts(base_rows.select(F.struct(q(key), "_id").alias("_k"), F.lit(1).alias("cnt"), F.lit(0).alias("_g")),
+                        ["_g"], "_k", "cnt").select(F.col("_k._id").alias("_id"), F.col("before").alias("_pos"))
+    base = base_rows.join(pos, "_id").drop("_id")
     # donors: for each (feature, repeat), rows re-ranked by a seeded hash of the key
     cells = [F.struct(F.lit(c).alias("_f"), q(c).cast("string").alias("_v")) for c in features]
     donor_src = base.select("_pos", q(key).alias("_key"), F.inline(F.array(*cells))).withColumn(
         "_r", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    donor_src = donor_src.withColumn("_h", F.xxhash64(F.lit(seed), "_key", "_f", "_r"))
-    d = donor_src.groupBy("_f", "_r", "_h").agg(F.count(F.lit(1)).alias("cnt"))
-    ranked = prefix_counts(d, ["_f", "_r"], "_h", "cnt").select("_f", "_r", "_h", F.col("before").alias("_slot"))
-    donors = donor_src.join(ranked, ["_f", "_r", "_h"]).select("_f", "_r", "_slot", "_v")
+    # the position makes equal hashes (repeated keys) distinct: every slot gets one donor
+    donor_src = donor_src.withColumn("_h", F.struct(F.xxhash64(F.lit(seed), "_key", "_f", "_r").alias("h"), "_pos"))
+    donors = prefix_counts(donor_src.withColumn("cnt", F.lit(1)), ["_f", "_r"], "_h", "cnt").select(
+        "_f", "_r", F.col("before").alias("_slot"), "_v")
     variants = base.join(donors, base["_pos"] == donors["_slot"]).drop("_slot")
     types = field_types(base)
     variants = variants.withColumns({c: F.when(F.col("_f") == c, F.col("_v").cast(types[c])).otherwise(q(c))

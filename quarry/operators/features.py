@@ -367,7 +367,8 @@ def engineer_features(df: DataFrame, target: str, *, correlation_threshold: floa
         st = stats[c]
         if c in frequent:
             rare = st["n_distinct"] > len(frequent[c])
-            return len(frequent[c]) + int(rare) + int(st["has_null"] or 0)
+            # a frequent value that is called like the merged ones is one value with them
+            return len({*frequent[c], OTHER} if rare else set(frequent[c])) + int(st["has_null"] or 0)
         return st["n_distinct"] + int(st["has_null"] or 0)
     constants = [c for c in kept if distinct_after(c) <= 1]
     kept = [c for c in kept if c not in constants]

@@ -102,7 +102,7 @@ def candidate_models(problem_type: str, n_train: int | None = None, class_weight
                 featureSubsetStrategy="sqrt", **_weight_col(class_weight, "Random Forest"))],
                 ("numTrees", "maxDepth", "minInstancesPerNode")),
             "Extra Trees": Candidate("Extra Trees", lambda d: [ExtraTreesClassifier(
-                featuresCol=fc, labelCol=lc, numTrees=p["trees"], maxDepth=min(p["depth"], 12), seed=SEED,
+                featuresCol=fc, labelCol=lc, numTrees=p["trees"], maxDepth=p["depth"], seed=SEED,
                 **_weight_col(class_weight, "Extra Trees"))], ("numTrees", "maxDepth", "minInstancesPerNode")),
             "Gradient Boosting": Candidate("Gradient Boosting", gbt, ("maxIter", "stepSize", "maxDepth")),
             "AdaBoost": Candidate("AdaBoost", lambda d: [AdaBoostClassifier(featuresCol=fc, labelCol=lc,
@@ -132,7 +132,7 @@ def candidate_models(problem_type: str, n_train: int | None = None, class_weight
                 featuresCol=fc, labelCol=lab, numTrees=p["trees"], maxDepth=p["depth"], seed=SEED,
                 featureSubsetStrategy="all")], ("numTrees", "maxDepth", "minInstancesPerNode")),
             "Extra Trees": Candidate("Extra Trees", lambda d: [ExtraTreesRegressor(
-                featuresCol=fc, labelCol=lab, numTrees=p["trees"], maxDepth=min(p["depth"], 12), seed=SEED)],
+                featuresCol=fc, labelCol=lab, numTrees=p["trees"], maxDepth=p["depth"], seed=SEED)],
                 ("numTrees", "maxDepth", "minInstancesPerNode")),
             "Gradient Boosting": Candidate("Gradient Boosting", lambda d: [GBTRegressor(
                 featuresCol=fc, labelCol=lab, maxIter=p["boost_iter"], maxDepth=3, stepSize=0.1, seed=SEED)],
@@ -308,7 +308,7 @@ def train_one(prep: PreparedData, cand: Candidate, problem_type: str, cv: int =
 def train_all(prep: PreparedData, cv: int = CV_FOLDS, tune: bool = False, class_weight: bool = False,
               profile: str = "reference", only: Sequence[str] | None = None, parallelism: int = 1,
               progress: Callable[[int, int, str], None] | None = None) -> list[TrainResult]:
-    """Every candidate of the problem type; failures skipped; error if all fail."""
+    """Every candidate of the problem type; failed ones come last, with their ``error``; error if all fail."""
     n_classes = 2
     if prep.problem_type == "classification":
         n_classes = prep.train.select(q(prep.target)).distinct().count()
@@ -331,14 +331,14 @@ def train_all(prep: PreparedData, cv: int = CV_FOLDS, tune: bool = False, class_
     ok = [r for r in results if r.error is None]
     if not ok:
         raise RuntimeError(f"All candidate models failed: {[(r.name, r.error) for r in results]}")
-    return ok
+    return ok + [r for r in results if r.error is not None]
 
 
 LEADERBOARD_SCHEMA_C = ("model string, accuracy double, precision double, recall double, f1 double, cv_mean double, "
-                        "cv_std double, train_time_sec double, predict_time_sec double, feature_count int")
+                        "cv_std double, train_time_sec double, predict_time_sec double, feature_count int, error string")
 LEADERBOARD_SCHEMA_R = ("model string, mae double, mse double, rmse double, r2 double, explained_variance double, "
                         "median_absolute_error double, mape double, cv_mean double, cv_std double, "
-                        "train_time_sec double, predict_time_sec double, feature_count int")
+                        "train_time_sec double, predict_time_sec double, feature_count int, error string")
 
 
 def results_table(spark, results: Sequence[TrainResult], problem_type: str) -> DataFrame:
@@ -347,7 +347,7 @@ def results_table(spark, results: Sequence[TrainResult], problem_type: str) -> D
     else:
         keys, schema = ["mae", "mse", "rmse", "r2", "explained_variance", "median_absolute_error", "mape"], LEADERBOARD_SCHEMA_R
     rows = [(r.name, *[r.metrics.get(k) for k in keys], r.cv_mean, r.cv_std, r.train_time_sec, r.predict_time_sec,
-             r.feature_count) for r in results]
+             r.feature_count, r.error) for r in results]
     return spark.createDataFrame(rows, schema)
 
 

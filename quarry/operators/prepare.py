@@ -302,7 +302,7 @@ def assemble_features(df: DataFrame, numerical: Sequence[str], categorical: Sequ
 
 def prepare_dataset(df: DataFrame, target: str | None = None, key: str | None = None, test_size: float = TEST_SIZE,
                     seed: int = SEED, problem_type: str | None = None, min_rows: int = MIN_ROWS,
-                    max_classes: int = 100) -> PreparedData:
+                    max_classes: int | None = None) -> PreparedData:
     """validate -> target -> problem type -> convert dates -> drop IDs -> preprocessor -> split -> imbalance."""
     # the input is read by a dozen small jobs (checks, type detection, split):
     # materialise it once in the shared checkpoint folder
@@ -315,7 +315,7 @@ def prepare_dataset(df: DataFrame, target: str | None = None, key: str | None =
     if bad:
         raise UnsupportedTargetError(f"target {tgt} failed: {bad}")
     ptype = problem_type or detect_problem_type(df, tgt)
-    if ptype == "classification":
+    if ptype == "classification" and max_classes is not None:
         n_classes = target_stats(df, tgt).first()["n_unique"]
         if n_classes > max_classes:
             raise UnsupportedTargetError(f"{n_classes} classes; pass problem_type='regression' or raise max_classes")

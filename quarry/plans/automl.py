@@ -39,7 +39,7 @@ def run_analysis(spark: SparkSession, df: DataFrame, target: str, key: str, runs
     reg.save_run(spark, run_dir, best.model, meta, best.metrics, prep.feature_columns, best.params)
     score = best.metrics.get("accuracy", best.metrics.get("r2", best.metrics.get("f1")))
     record = spark.createDataFrame(
-        [(best.name, prep.problem_type, target, float(score) if score is not None else None, len(comp.results),
+        [(best.name, prep.problem_type, target, float(score) if score is not None else None, sum(r.error is None for r in comp.results),
           explained["method"], best.feature_count)],
         "best_model string, problem_type string, target string, best_score double, models_trained int, "
         "explain_method string, feature_count int")

@@ -421,7 +421,7 @@ def _search(spark, sf):
 
 QUERIES["cross_validate"] = _cv
 QUERIES["random_search"] = _search
-QUERIES["cluster_table"] = lambda spark, sf: md.cluster_table(t("fe_input")(spark, sf), k=3, n_init=3)
+QUERIES["cluster_table"] = lambda spark, sf: md.cluster_table(t("fe_input")(spark, sf), k=3)
 
 # ---------------------------------------------------------------- 2.1 sources and sinks
 from quarry.session import scratch_dir  # noqa: E402
@@ -591,7 +591,7 @@ QUERIES["tree_importance"] = lambda spark, sf: (lambda pm: ex.tree_importance(pm
 QUERIES["linear_importance"] = lambda spark, sf: (lambda pm: ex.linear_importance(pm[1], _names(pm)))(
     _run_model(spark, sf, "Logistic Regression"))
 QUERIES["permutation_importance"] = lambda spark, sf: (lambda pm: ex.permutation_importance(
-    pm[1], pm[0].test, "doc_id", "quality", "classification", pm[0].feature_columns, repeats=3))(
+    pm[1], pm[0].test, "doc_id", "quality", "classification", pm[0].feature_columns))(
     _run_model(spark, sf, "Naive Bayes"))
 
 
@@ -619,7 +619,7 @@ QUERIES["explain_model"] = _explain_model
 
 
 def _stream(spark, sf):
-    from quarry.streaming.scoring import score_stream
+    from quarry.streaming.scoring import score_stream, start_scoring
 
     prep, model, _ = _run_model(spark, sf)
     labels = table(spark, sf, "labels")
@@ -635,11 +635,9 @@ def _stream(spark, sf):
 
     schema = table(spark, sf, "documents").schema
     scored = score_stream(spark, model, f"{sf}/documents*.parquet", schema, prepare=features)
-    name = f"scored_{abs(hash((sf, id(spark)))) % 10 ** 8}"
-    q_ = scored.select("doc_id", "prediction").writeStream.format("memory").queryName(name).outputMode(
-        "append").option("checkpointLocation", scratch_dir(spark, "stream-ckpt")).trigger(availableNow=True).start()
-    q_.awaitTermination()
-    return spark.table(name)
+    sink = f"{scratch_dir(spark, 'stream-out')}/scored"
+    start_scoring(scored.select("doc_id", "prediction"), sink, scratch_dir(spark, "stream-ckpt"), once=True).awaitTermination()
+    return spark.read.parquet(sink)
 
 
 QUERIES["score_stream"] = _stream

@@ -20,6 +20,8 @@ from quarry.functions.frames import q
 NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A",
              "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 BOOL_TOKENS = ["True", "False", "true", "false", "TRUE", "FALSE"]
+# Doubled quotes and kept outer spaces, on both ways.
+CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
 class EmptyInputError(ValueError):
@@ -50,18 +52,23 @@ def _infer(df: DataFrame) -> DataFrame:
 
 
 def scan_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, infer: bool = True,
-             na_tokens=NA_TOKENS, training: bool = False) -> DataFrame:
-    """Read a comma CSV with a header; refuse non-``.csv`` paths and (for training) empty input."""
+             na_tokens=NA_TOKENS, training: bool = False, multi_line: bool = True) -> DataFrame:
+    """Read a comma CSV with a header; refuse non-``.csv`` paths and (for training) empty input.
+
+    Quotes inside quoted fields are doubled, and fields may hold line breaks.
+    A file that may hold line breaks is read by one task; pass
+    ``multi_line=False`` to split large files whose fields hold none.
+    """
     if not path.rstrip("/").lower().endswith(".csv"):
         raise ValueError(f"not a .csv path: {path}")
-    reader = spark.read.option("header", True).option("mode", "FAILFAST").option("multiLine", False)
+    reader = spark.read.options(**CSV_OPTIONS).option("mode", "FAILFAST").option("multiLine", multi_line)
     if schema is not None:
         df = reader.schema(schema).csv(path)
         strings = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-        df = df.withColumns({c: F.when(F.trim(q(c)).isin(list(na_tokens)), None).otherwise(q(c)) for c in strings})
+        df = df.withColumns({c: F.when(q(c).isin(list(na_tokens)), None).otherwise(q(c)) for c in strings})
     else:
         raw = reader.option("inferSchema", False).csv(path)
-        df = raw.select(*[F.when(q(c).isNull() | F.trim(q(c)).isin(list(na_tokens)), None).otherwise(q(c)).alias(c)
+        df = raw.select(*[F.when(q(c).isNull() | q(c).isin(list(na_tokens)), None).otherwise(q(c)).alias(c)
                           for c in raw.columns])
         if infer:
             df = _infer(df)
@@ -71,8 +78,8 @@ def scan_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
 
 
 def sink_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
-    """Write with a header and no index column (Spark writes one file per partition)."""
-    df.write.mode(mode).option("header", True).csv(path)
+    """Write with a header and no index column; ``scan_csv`` reads every text back (Spark writes one file per partition)."""
+    df.write.mode(mode).options(**CSV_OPTIONS).csv(path)
     return path
 
 

@@ -13,6 +13,7 @@ import datetime as _dt
 import json
 from collections.abc import Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +28,10 @@ class RunNotFoundError(FileNotFoundError):
     pass
 
 
+def _is_missing(e: AnalysisException) -> bool:
+    return e.getCondition() == "PATH_NOT_FOUND"
+
+
 def _json_table(spark: SparkSession, record: Mapping, path: str) -> None:
     spark.createDataFrame([(json.dumps(record, default=str),)], "j string").coalesce(1).write.mode("overwrite").text(path)
 
@@ -34,7 +39,9 @@ def _json_table(spark: SparkSession, record: Mapping, path: str) -> None:
 def _read_json_table(spark: SparkSession, path: str) -> dict:
     try:
         rows = spark.read.text(path).collect()
-    except Exception as e:  # noqa: BLE001 - Spark raises AnalysisException for a missing path
+    except AnalysisException as e:
+        if not _is_missing(e):
+            raise
         raise RunNotFoundError(path) from e
     return json.loads(rows[0]["value"]) if rows else {}
 
@@ -57,7 +64,9 @@ def load_run(spark: SparkSession, run_dir: str) -> tuple[PipelineModel, dict, di
     meta = _read_json_table(spark, f"{run_dir}/metadata")
     try:
         model = PipelineModel.load(f"{run_dir}/model")
-    except Exception as e:  # noqa: BLE001
+    except AnalysisException as e:
+        if not _is_missing(e):
+            raise
         raise RunNotFoundError(f"{run_dir}/model") from e
     try:
         metrics = _read_json_table(spark, f"{run_dir}/metrics")
@@ -75,7 +84,10 @@ def run_registry(spark: SparkSession, root: str) -> DataFrame:
         metrics = spark.read.text(f"{root}/*/metrics").select(
             F.regexp_extract(F.url_decode(F.col("_metadata.file_path")), r"/([^/]+)/metrics/[^/]+$", 1).alias("run_name"),
             F.col("value").alias("metrics"))
-    except Exception:  # noqa: BLE001 - no run has metrics yet
+    except AnalysisException as e:
+        if not _is_missing(e):
+            raise
+        # no run has metrics yet
         metrics = spark.createDataFrame([], "run_name string, metrics string")
     return (meta.join(metrics, "run_name", "left")
             .select("run_name", F.get_json_object("metadata", "$.model").alias("model"),
@@ -97,25 +109,49 @@ def leaderboard_row(spark: SparkSession, run_name: str, metadata: Mapping, metri
 
 
 def leaderboard_load(spark: SparkSession, path: str) -> DataFrame:
-    """The board, or an empty table with the base columns when none exists yet."""
-    try:
-        return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - missing path
-        return spark.createDataFrame([], BOARD_SCHEMA)
+    """The board, or an empty table with the base columns when none exists yet.
+
+    A board that cannot be read is an error. Where an upsert was cut off
+    between its two renames, the board it set aside is read.
+    """
+    for place in (path, _aside(path)):
+        try:
+            return spark.read.parquet(place)
+        except AnalysisException as e:
+            if not _is_missing(e):
+                raise
+    return spark.createDataFrame([], BOARD_SCHEMA)
+
+
+def _aside(path: str) -> str:
+    return f"{path.rstrip('/')}.previous"
+
+
+def _switch(spark: SparkSession, new: str, path: str) -> None:
+    """Make ``new`` the folder ``path``; a whole board stands under ``path`` or aside at every moment."""
+    to_path = spark._jvm.org.apache.hadoop.fs.Path
+    here, aside = to_path(path), to_path(_aside(path))
+    fs = here.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(here):
+        fs.delete(aside, True)
+        if not fs.rename(here, aside):
+            raise OSError(f"cannot set {path} aside")
+    if not fs.rename(to_path(new), here):
+        raise OSError(f"cannot rename {new} to {path}")
 
 
 def leaderboard_upsert(spark: SparkSession, path: str, row: DataFrame) -> DataFrame:
     """Replace the rows of the same run, keep the others; column sets may differ between runs.
 
-    The new board is written to a fresh sibling folder and then becomes the
-    board, so a failure mid-write never leaves a half-written table.
+    The new board is written to a sibling folder and then renamed into place;
+    the one before is kept aside, so a failure never leaves a half-written board.
     """
     current = leaderboard_load(spark, path)
     kept = current.join(row.select("run_name"), "run_name", "left_anti")
     board = kept.unionByName(row, allowMissingColumns=True)
     tmp = f"{path.rstrip('/')}.next"
     board.write.mode("overwrite").parquet(tmp)
-    spark.read.parquet(tmp).write.mode("overwrite").parquet(path)
+    _switch(spark, tmp, path)
     return spark.read.parquet(path)
 
 

@@ -46,12 +46,16 @@ def start_scoring(scored: DataFrame, sink_dir: str, checkpoint_dir: str, fmt: st
 def score_batches(spark: SparkSession, model: PipelineModel, source_dir: str, schema: T.StructType | str,
                   sink_dir: str, checkpoint_dir: str, prepare: Callable[[DataFrame], DataFrame] | None = None,
                   fmt: str = "parquet") -> StreamingQuery:
-    """Score each micro-batch as a static DataFrame (for learners with joins / cogroups)."""
+    """Score each micro-batch as a static DataFrame (for learners with joins / cogroups).
+
+    A batch owns the folder ``batch_id=<n>`` of the sink and overwrites it, so
+    a batch that is run again after a failure is not written twice.
+    """
     rows = spark.readStream.format(fmt).schema(schema).load(source_dir)
 
     def run(batch: DataFrame, batch_id: int) -> None:
         data = prepare(batch) if prepare is not None else batch
-        predict(model, data).write.mode("append").parquet(sink_dir)
+        predict(model, data).write.mode("overwrite").parquet(f"{sink_dir}/batch_id={batch_id}")
 
     return rows.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint_dir).trigger(
         availableNow=True).start()
