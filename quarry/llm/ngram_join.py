@@ -259,8 +259,10 @@ def _between_groups(job: _Join, nodes: DataFrame, members: DataFrame) -> DataFra
     # the matrix without tokens of one group only
     matrix = stored(postings.withColumn("lo", F.min("grp").over(across)).withColumn("hi", F.max("grp").over(across))
                     .where("lo < hi").select("token", "node", "grp").distinct())
-    sizes = members.groupBy("grp").agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("n_lo"), F.max("n").alias("n_hi"))
-    ranked = matrix.join(sizes.select("grp", "size"), "grp")
+    sizes = stored(members.groupBy("grp").agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("n_lo"), F.max("n").alias("n_hi")))
+    # most groups have one member; the sizes of the others come without a shuffle on the group, which can be hot
+    crowds = sizes.where("size > 1").select("grp", "size")
+    ranked = matrix.join(sized(crowds), "grp", "left").withColumn("size", F.coalesce("size", F.lit(1).cast("bigint")))
     query = ranked.select("token", F.col("node").alias("q"), F.struct("size", "grp").alias("qg"))
     union = ranked.select("token", F.struct("size", "grp").alias("ug")).distinct()
     asking = members.select(F.col("node").alias("q"), F.col("n").alias("na"))
@@ -281,6 +283,7 @@ def _open(job: _Join, members: DataFrame, opened: DataFrame) -> DataFrame:
     """
     groups = stored(opened.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("askers")).join(
         members.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("hosts")), "grp"))
+    groups = sized(groups)
 
     def block(parts: str) -> Column:
         return F.pmod(F.xxhash64("node"), F.col(parts)).cast("bigint")
