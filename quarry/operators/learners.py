@@ -135,8 +135,10 @@ class GaussianNBModel(Model, _NBParams, DefaultParamsReadable, DefaultParamsWrit
         out = []
         for c in range(k):
             const = lp[c] - 0.5 * sum(math.log(2 * math.pi * var[c * p + j]) for j in range(p))
-            quad = sum(((x[j] - F.lit(mu[c * p + j])) ** 2) / F.lit(2 * var[c * p + j]) for j in range(p))
-            out.append(F.lit(const) - quad)
+            # array literals keep the generated code the same size for any number of features
+            offsets = F.zip_with(x, F.lit(mu[c * p:(c + 1) * p]), lambda v, m: (v - m) * (v - m))
+            terms = F.zip_with(offsets, F.lit([2 * v for v in var[c * p:(c + 1) * p]]), lambda o, v: o / v)
+            out.append(F.lit(const) - F.aggregate(terms, F.lit(0.0), lambda acc, v: acc + v))
         return out
 
     def _transform(self, df: DataFrame) -> DataFrame:

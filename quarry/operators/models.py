@@ -28,11 +28,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.frames import q
+from quarry.functions.ranks import prefix_counts
 from quarry.operators.learners import (
     AdaBoostClassifier, GaussianNB, KNNClassifier, RandomFourierFeatures, rbf_gamma_scale,
 )
 from quarry.operators.metrics import evaluate
 from quarry.operators.prepare import SEED, PreparedData, hash_bucket
+from quarry.session import checkpoint_root
 
 # Training defaults of the reference (library defaults) and the tuning grids.
 CV_FOLDS = 5
@@ -88,8 +90,9 @@ def candidate_models(problem_type: str, n_train: int | None = None, class_weight
 
         def svm(d):
             gamma, dim = rbf_gamma_scale(d, fc)
-            svc = LinearSVC(featuresCol="rff", labelCol=lc, maxIter=100, regParam=1.0 / max(d.count(), 1))
-            model = svc if n_classes <= 2 else OneVsRest(classifier=svc, featuresCol="rff", labelCol=lc)
+            weight = _weight_col(class_weight, "SVM")
+            svc = LinearSVC(featuresCol="rff", labelCol=lc, maxIter=100, regParam=1.0 / max(d.count(), 1), **weight)
+            model = svc if n_classes <= 2 else OneVsRest(classifier=svc, featuresCol="rff", labelCol=lc, **weight)
             return [RandomFourierFeatures(featuresCol=fc, outputCol="rff", numComponents=p["rff"], gamma=gamma,
                                           numFeatures=dim, seed=SEED), model]
 
@@ -191,18 +194,37 @@ def _scores(scored: DataFrame, problem_type: str, target: str) -> dict:
     return m.first().asDict()
 
 
-def fold_column(df: DataFrame, key: str, k: int, seed: int = SEED) -> DataFrame:
-    return df.withColumn("_fold", (hash_bucket(q(key), seed, salt=":fold") % k).cast("int"))
+def fold_column(df: DataFrame, key: str, k: int, seed: int = SEED, stratify: str | None = None) -> DataFrame:
+    """Add ``_fold`` in 0..k-1: a hash of the key, or with ``stratify`` each class dealt out in hash order.
+
+    Dealing keeps the class shares of all folds within one key of each other;
+    rows of one key and class share a fold. Ranks come from the distributed prefix
+    counts, so a class holding most rows is spread over many tasks.
+    """
+    bucket = hash_bucket(q(key), seed, salt=":fold")
+    if stratify is None:
+        return df.withColumn("_fold", (bucket % k).cast("int"))
+    keyed = df.withColumns({"_cls": F.coalesce(q(stratify).cast("string"), F.lit("\u0000null")),
+                            "_ord": F.struct(bucket.alias("b"), q(key).alias("k"))})
+    units = keyed.select("_cls", "_ord").distinct().withColumn("cnt", F.lit(1))
+    ranked = prefix_counts(units, ["_cls"], "_ord", "cnt").select(
+        F.col("_cls").alias("_c"), F.col("_ord").alias("_o"), (F.col("before") % k).cast("int").alias("_fold"))
+    return keyed.join(ranked, (F.col("_cls") == F.col("_c")) & F.col("_ord").eqNullSafe(F.col("_o"))).drop(
+        "_cls", "_ord", "_c", "_o")
 
 
 def cross_validate(df: DataFrame, key: str, build: Callable[[DataFrame], Pipeline], problem_type: str, target: str,
                    k: int = CV_FOLDS) -> dict:
-    """k-fold CV on hash folds: mean and population std of accuracy (fraction) or r2; None below 2 rows."""
-    n = df.count()
-    folds = min(k, n) if n < k else k
+    """k-fold CV: mean and population std of accuracy (fraction) or r2; None below 2 rows.
+
+    Classifiers get folds stratified by class, regressors plain hash folds.
+    """
+    folds = min(k, df.count())
     if folds < 2:
         return {"mean": None, "std": None}
-    data = fold_column(df, key, folds)
+    checkpoint_root(df.sparkSession)
+    stratify = target if problem_type == "classification" else None
+    data = fold_column(df, key, folds, stratify=stratify).checkpoint(eager=True)
     scores = []
     for i in range(folds):
         train, valid = data.where(F.col("_fold") != i), data.where(F.col("_fold") == i)

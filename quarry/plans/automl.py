@@ -18,13 +18,16 @@ class RunResult:
     leaderboard: DataFrame
     importance: DataFrame | None
     run_dir: str
+    shap: DataFrame | None = None
 
 
 def run_analysis(spark: SparkSession, df: DataFrame, target: str, key: str, runs_root: str, *, cv: int = 5,
                  tune: bool = False, class_weight: bool = False, profile: str = "reference",
-                 only=None, parallelism: int = 1, problem_type: str | None = None, progress=None) -> RunResult:
+                 only=None, parallelism: int = 1, problem_type: str | None = None, progress=None,
+                 with_shap: bool = True) -> RunResult:
     """Train every candidate, keep the best, explain it, persist it, return one result row.
 
+    The explanation holds sampled Shapley values unless ``with_shap`` is off.
     Best score = accuracy (classification) or r2 (regression), else f1.
     """
     prep = prepare_dataset(df, target=target, key=key, problem_type=problem_type)
@@ -32,7 +35,7 @@ def run_analysis(spark: SparkSession, df: DataFrame, target: str, key: str, runs
                                 parallelism=parallelism, progress=progress)
     best = comp.best
     explained = ex.explain_model(best.model, prep.test, prep.train, key, target, prep.problem_type,
-                                 prep.feature_columns, with_shap=False)
+                                 prep.feature_columns, with_shap=with_shap)
     run_dir = f"{runs_root}/{best.name.replace(' ', '%20')}_{prep.problem_type}"
     meta = {"model": best.name, "model_type": type(ex.learner_stage(best.model)).__name__,
             "problem_type": prep.problem_type, "target": target}
@@ -43,4 +46,4 @@ def run_analysis(spark: SparkSession, df: DataFrame, target: str, key: str, runs
           explained["method"], best.feature_count)],
         "best_model string, problem_type string, target string, best_score double, models_trained int, "
         "explain_method string, feature_count int")
-    return RunResult(record, comp.leaderboard, explained["importance"], run_dir)
+    return RunResult(record, comp.leaderboard, explained["importance"], run_dir, explained["shap"])

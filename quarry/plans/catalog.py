@@ -345,10 +345,10 @@ def _prep_orders(spark, sf):
     return dp.prepare_dataset(t("order_model")(spark, sf), target="o_totalprice", key="o_orderkey")
 
 
-def _fit_one(name: str, problem: str):
+def _fit_one(name: str, problem: str, profile: str = "reference"):
     def run(spark, sf):
         prep = _prep_docs(spark, sf) if problem == "classification" else _prep_orders(spark, sf)
-        cands = md.candidate_models(problem, profile="fast")
+        cands = md.candidate_models(problem, profile=profile)
         res = md.train_one(prep, cands[name], problem, cv=0)
         if res.error:
             raise RuntimeError(res.error)
@@ -366,7 +366,8 @@ for _key, _name in [("fit_logistic", "Logistic Regression"), ("fit_rf_classifier
 for _key, _name in [("fit_rf_regressor", "Random Forest"), ("fit_extra_trees_regressor", "Extra Trees"),
                     ("fit_gbt_regressor", "Gradient Boosting"), ("fit_tree_regressor", "Decision Tree"),
                     ("fit_svr", "SVR")]:
-    QUERIES[_key] = _fit_one(_name, "regression")
+    # forests on all orders are the one place of the fast profile here: 100 trees of depth 30 take minutes even at sf0.01
+    QUERIES[_key] = _fit_one(_name, "regression", "fast" if _name in ("Random Forest", "Extra Trees") else "reference")
 
 
 def _kmeans(spark, sf):
@@ -406,14 +407,14 @@ QUERIES["compact_leaderboard"] = lambda spark, sf: md.compact_leaderboard(
 
 def _cv(spark, sf):
     prep = _prep_docs(spark, sf)
-    res = md.train_one(prep, md.candidate_models("classification", profile="fast")["Decision Tree"],
+    res = md.train_one(prep, md.candidate_models("classification")["Decision Tree"],
                        "classification", cv=5)
     return spark.createDataFrame([(res.name, res.cv_mean, res.cv_std)], "model string, cv_mean double, cv_std double")
 
 
 def _search(spark, sf):
     prep = _prep_docs(spark, sf)
-    res = md.train_one(prep, md.candidate_models("classification", profile="fast")["Decision Tree"],
+    res = md.train_one(prep, md.candidate_models("classification")["Decision Tree"],
                        "classification", cv=0, tune=True)
     return spark.createDataFrame([(res.name, str(res.params.get("maxDepth")), str(res.params.get("minInstancesPerNode")))],
                                  "model string, max_depth string, min_instances string")
@@ -516,7 +517,7 @@ def _trained(spark, sf, name: str = "Decision Tree"):
     k = (id(spark), sf, name)
     if k not in _RUNS:
         prep = _prep_docs(spark, sf)
-        res = md.train_one(prep, md.candidate_models("classification", profile="fast")[name], "classification", cv=0)
+        res = md.train_one(prep, md.candidate_models("classification")[name], "classification", cv=0)
         if res.error:
             raise RuntimeError(res.error)
         root = scratch_dir(spark, "runs")
@@ -597,8 +598,7 @@ QUERIES["permutation_importance"] = lambda spark, sf: (lambda pm: ex.permutation
 
 def _shap(spark, sf, name="Decision Tree"):
     prep, model, _ = _run_model(spark, sf, name)
-    return ex.shapley_values(model, prep.test, prep.train, "doc_id", prep.feature_columns, "classification",
-                             rows=20, permutations=4, background_rows=20)
+    return ex.shapley_values(model, prep.test, prep.train, "doc_id", prep.feature_columns, "classification")
 
 
 QUERIES["shapley_values"] = _shap
@@ -610,9 +610,9 @@ QUERIES["shap_summary"] = lambda spark, sf: ex.shap_summary(_shap(spark, sf))
 
 def _explain_model(spark, sf):
     prep, model, _ = _run_model(spark, sf, "Naive Bayes")
-    out = ex.explain_model(model, prep.test, prep.train, "doc_id", "quality", "classification",
-                           prep.feature_columns, with_shap=False)
-    return out["importance"].withColumn("method", F.lit(out["method"]))
+    out = ex.explain_model(model, prep.test, prep.train, "doc_id", "quality", "classification", prep.feature_columns)
+    mean_abs = ex.shap_summary(out["shap"])
+    return out["importance"].join(mean_abs, "feature", "left").withColumn("method", F.lit(out["method"]))
 
 
 QUERIES["explain_model"] = _explain_model
@@ -648,7 +648,7 @@ from quarry.plans.automl import run_analysis  # noqa: E402
 
 def _build_pipeline(spark, sf):
     prep = _prep_docs(spark, sf)
-    cand = md.candidate_models("classification", profile="fast")["Decision Tree"]
+    cand = md.candidate_models("classification")["Decision Tree"]
     pipe = md.build_pipeline(prep, cand.stages(prep.train), "classification", ["0", "1"])
     return spark.createDataFrame([(i, type(s).__name__) for i, s in enumerate(pipe.getStages())],
                                  "position int, stage string")
@@ -656,7 +656,7 @@ def _build_pipeline(spark, sf):
 
 def _train_one(spark, sf):
     prep = _prep_docs(spark, sf)
-    r = md.train_one(prep, md.candidate_models("classification", profile="fast")["Naive Bayes"], "classification", cv=3)
+    r = md.train_one(prep, md.candidate_models("classification")["Naive Bayes"], "classification")
     return spark.createDataFrame([(r.name, r.metrics.get("accuracy"), r.cv_mean, r.cv_std, r.feature_count, r.error)],
                                  "model string, accuracy double, cv_mean double, cv_std double, feature_count int, "
                                  "error string")

@@ -29,6 +29,25 @@ def test_folds_cover_rows(spark, prep):
     assert len(f) == 5 and sum(r["count"] for r in f) == prep.train.count()
 
 
+def test_stratified_folds_deal_out_every_class(spark):
+    rows = [(i, "rare" if i < 7 else None if i < 20 else "common") for i in range(500)]
+    df = spark.createDataFrame(rows + rows[:3], "id int, label string")
+    folds = md.fold_column(df, "id", 5, stratify="label")
+    assert folds.count() == 503
+    assert folds.select("id", "_fold").distinct().count() == 500  # rows of one key stay together
+    for label, n in (("rare", 7), (None, 13), ("common", 480)):
+        sizes = [r["count"] for r in folds.where(F.col("label").eqNullSafe(F.lit(label))).dropDuplicates(["id"])
+                 .groupBy("_fold").count().collect()]
+        assert sum(sizes) == n and len(sizes) == 5 and max(sizes) - min(sizes) <= 1
+
+
+def test_svm_uses_class_weights(spark, prep):
+    train = prep.preprocessor.fit(prep.train).transform(prep.train)
+    for weighted in (False, True):
+        stage = md.candidate_models("classification", profile="fast", class_weight=weighted)["SVM"].stages(train)[-1]
+        assert stage.isSet("weightCol") is weighted
+
+
 def test_tree_beats_majority_and_roundtrips(spark, prep, tmp_path):
     res = md.train_one(prep, md.candidate_models("classification", profile="fast")["Decision Tree"],
                        "classification", cv=0)
