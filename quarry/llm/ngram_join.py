@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.llm.common import block_pairs, connected_components, forest, sized, small_batches, solve_runs, stored
 from quarry.llm.textkit import list_column, shingle_sets, slices, utf8_rows, words_of
@@ -79,6 +80,19 @@ def _arrow_sets(docs: DataFrame, k: int, schema: str, emit) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {id_type}, d1 bigint, d2 bigint, {schema}")
 
 
+def _with_digests(docs: DataFrame, k: int, text_col: str) -> DataFrame:
+    """``docs`` with ``_n, _d1, _d2``: size and digest of every row's shingle set."""
+    added = [T.StructField(c, T.LongType()) for c in ("_n", "_d1", "_d2")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pa.RecordBatch.from_arrays([batch.column(text_col)], ["text"])
+            found = [(len(s), *_digest(s)) for s in _shingles(texts, k)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array([f[i] for f in found], pa.int64()) for i in range(3)]],
+                                             [*batch.schema.names, "_n", "_d1", "_d2"])
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
+
+
 def _signatures(sets: list[np.ndarray]) -> list[pa.Array]:
     mins = [np.array([(s * m).min() for m in _MULTIPLIERS]) if len(s) else s for s in sets]
     return [pa.array([len(s) for s in sets], pa.int64()), list_column(mins)]
@@ -118,6 +132,15 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     null ids are linked but never name a component, unless all its ids are
     null. An empty table gives no rows; other columns are ignored.
     """
+    return _labelled(docs, k, percent, id_col, text_col).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def _labelled(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, d1, d2, n, component_id, keep`` for every row.
+
+    ``keep`` holds for rows without words and for the rows of one id and one
+    set per component: the smallest id (nulls last), then the smallest digest.
+    """
     job = _Join(docs, k, percent, id_col, text_col)
     found = stored(_arrow_sets(job.docs, k, "n bigint, sig array<bigint>", _signatures))
     # only rows that repeat an id can repeat a set's document
@@ -130,11 +153,14 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     components = stored(connected_components(edges).withColumnRenamed("node", "n_node"))
     named = nodes.join(components, F.col("node") == F.col("n_node"), "left").select(
         "d1", "d2", "doc", F.coalesce("component", "node").alias("component"))
-    names = named.groupBy("component").agg(F.min("doc").alias("component_id"))
-    labels = stored(named.join(names, "component").select(F.col("d1").alias("_d1"), F.col("d2").alias("_d2"), "component_id"))
-    return found.join(labels, (F.col("d1") == F.col("_d1")) & (F.col("d2") == F.col("_d2")) & (F.col("n") > 0), "left").select(
-        "doc_id", F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    names = named.groupBy("component").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "d1", "d2")).alias("first"))
+    chosen = (F.col("d1") == F.col("first.d1")) & (F.col("d2") == F.col("first.d2"))
+    labels = stored(named.join(names, "component").select(
+        F.col("d1").alias("_d1"), F.col("d2").alias("_d2"), F.col("first.doc").alias("component_id"), chosen.alias("chosen")))
+    some = F.col("n") > 0
+    return found.join(labels, (F.col("d1") == F.col("_d1")) & (F.col("d2") == F.col("_d2")) & some, "left").select(
+        "doc_id", "d1", "d2", "n", F.when(some, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(some, F.col("chosen") & F.col("doc_id").eqNullSafe(F.col("component_id"))).otherwise(True).alias("keep"))
 
 
 def _least_common(percent: int) -> Column:
@@ -302,17 +328,29 @@ def _open(job: _Join, members: DataFrame, opened: DataFrame) -> DataFrame:
 
 
 def keep_one_per_group(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose id is not their component's smallest; all columns unchanged.
+    """One row of ``docs`` per component, the one of smallest id; all columns unchanged.
 
-    Rows that repeat one id and text leave one; rows that share an id and
-    differ in text stay.
+    A row is known by its id and text: of rows that share an id, or have none,
+    each stays or goes by its own component. Null ids come last. Where several
+    sets of a component share the smallest id, the smallest digest is kept, and
+    of rows with equal id and set the smallest text. Rows without words all
+    stay, but those that repeat one id and text leave one.
     """
-    found = stored(jaccard_components(docs, k, percent, id_col, text_col))
-    gone = stored(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct())
-    rest = docs.join(sized(gone, WANTED_ROWS), F.col(id_col).eqNullSafe(F.col("_id")), "left_anti")
-    again = stored(found.groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("_id"))
+    found = stored(_labelled(docs, k, percent, id_col, text_col))
+    # a row whose id occurs once is known by it; the others are told apart by their sets
+    ids = found.groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("c"), F.bool_and("keep").alias("keep"))
+    apart = stored(ids.where("c > 1 or not keep"))
+    again = stored(apart.where("c > 1").select("_id"))
+    same = F.col(id_col).eqNullSafe(F.col("_id"))
+    rest = docs.join(sized(apart.select("_id"), WANTED_ROWS), same, "left_anti")
     if not again.count():
         return rest
-    same = F.col(id_col).eqNullSafe(F.col("_id"))
-    once = rest.join(sized(again, WANTED_ROWS), same, "left_semi").dropDuplicates([id_col, text_col])
-    return rest.join(sized(again, WANTED_ROWS), same, "left_anti").unionByName(once)
+    kept = stored(found.where("keep and n > 0").join(sized(again, WANTED_ROWS), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+                  .select(F.col("doc_id").alias("_id"), F.col("d1").alias("_k1"), F.col("d2").alias("_k2"), F.lit(True).alias("_kept")).distinct())
+    rows = _with_digests(docs.join(sized(again, WANTED_ROWS), same, "left_semi"), k, text_col)
+    rows = rows.join(sized(kept), same & (F.col("_d1") == F.col("_k1")) & (F.col("_d2") == F.col("_k2")), "left")
+    text = F.col(text_col)
+    once = (rows.where("_n = 0 or _kept").groupBy(
+        F.col(id_col).alias("_i"), "_d1", "_d2", F.when(F.col("_n") == 0, text).alias("_t"))
+        .agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.coalesce(text, F.lit(""))).alias("_row")).select("_row.*"))
+    return rest.unionByName(once)

@@ -91,6 +91,24 @@ def test_jaccard_brute_force(spark, documents, odd_documents, monkeypatch):
     assert ngram_join.jaccard_components(odd_documents.limit(0)).count() == 0
 
 
+def test_keep_one_by_id_and_text(spark, documents):
+    """Rows of one id, or of none, go by their own texts: one stays per component, unrelated texts all stay."""
+    def words(name, n=40):
+        return " ".join(f"{name}{i}" for i in range(n))
+    a, b, c, d, e = (words(x) for x in "abcde")
+    docs = documents([(i, t, "en", "a") for i, t in [
+        (3, a), (6, a + " tail"), (6, b), (6, b.upper()), (None, a + " end"), (None, c), (None, c + " more"), (None, c), (None, d),
+        (7, e + " x"), (7, e), (7, e), (8, e), (9, None), (9, None), (9, ""), (None, None), (None, None), (10, words("f"))]])
+    got = ngram_join.keep_one_per_group(docs)
+    assert got.columns == docs.columns
+    kept = Counter((r.doc_id, r.text) for r in got.collect())
+    assert set(kept.values()) == {1}
+    assert {(3, a), (6, b.upper()), (None, d), (9, None), (9, ""), (None, None), (10, words("f"))} <= set(kept)
+    assert len([k for k in kept if k[0] is None and k[1] in (c, c + " more")]) == 1
+    assert len([k for k in kept if k[0] == 7]) == 1 and (8, e) not in kept
+    assert len(kept) == 9
+
+
 def test_lattice_brute_force():
     logs = {p: math.log(x) for p, x in {"▁": 0.1, "▁a": 0.2, "a": 0.05, "b": 0.1, "ab": 0.15, "▁ab": 0.1, "<0x63>": 0.01}.items()}
 
