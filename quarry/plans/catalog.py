@@ -390,19 +390,28 @@ def _candidates(spark, sf):
 QUERIES["candidate_models"] = _candidates
 
 
-def _compare(spark, sf, **kw):
-    prep = _prep_docs(spark, sf)
-    return md.train_and_compare(prep, profile="fast", **kw)
+_RESULTS: dict[tuple, str] = {}
+
+
+def _shared_results(spark, sf, view: str, train) -> DataFrame:
+    """The stored table of ``train()``, trained once per application and content of ``view``."""
+    source = t(view)(spark, sf)
+    seen = source.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*source.columns).cast("decimal(38,0)"))).first()
+    key = (spark.sparkContext.applicationId, view, *seen)
+    if key not in _RESULTS:
+        path = scratch_dir(spark, f"results-{view}")
+        train().write.parquet(path)
+        _RESULTS[key] = path
+    return spark.read.parquet(_RESULTS[key])
+
+
+def _compare(spark, sf):
+    return _shared_results(spark, sf, "doc_model", lambda: md.train_and_compare(_prep_docs(spark, sf), parallelism=4).leaderboard)
 
 
-QUERIES["train_and_compare"] = lambda spark, sf: _compare(spark, sf, cv=0, parallelism=4).leaderboard.drop(
-    "train_time_sec", "predict_time_sec")
-QUERIES["select_best"] = lambda spark, sf: md.select_best(
-    _compare(spark, sf, cv=0, parallelism=4, only=["Decision Tree", "Naive Bayes", "Logistic Regression"]).leaderboard
-).select("model", "rank")
-QUERIES["compact_leaderboard"] = lambda spark, sf: md.compact_leaderboard(
-    _compare(spark, sf, cv=0, parallelism=4, only=["Decision Tree", "Naive Bayes"]).leaderboard).select(
-    "model", "score", "rank")
+QUERIES["train_and_compare"] = lambda spark, sf: _compare(spark, sf).drop("train_time_sec", "predict_time_sec")
+QUERIES["select_best"] = lambda spark, sf: md.select_best(_compare(spark, sf)).select("model", "rank")
+QUERIES["compact_leaderboard"] = lambda spark, sf: md.compact_leaderboard(_compare(spark, sf)).select("model", "score", "rank")
 
 
 def _cv(spark, sf):
@@ -663,8 +672,9 @@ def _train_one(spark, sf):
 
 
 def _train_all(spark, sf):
-    results = md.train_all(_prep_orders(spark, sf), cv=0, profile="fast", parallelism=4)
-    return md.results_table(spark, results, "regression").drop("train_time_sec", "predict_time_sec")
+    def train():
+        return md.results_table(spark, md.train_all(_prep_orders(spark, sf), parallelism=4), "regression")
+    return _shared_results(spark, sf, "order_model", train).drop("train_time_sec", "predict_time_sec")
 
 
 QUERIES["build_pipeline"] = _build_pipeline
@@ -673,5 +683,4 @@ QUERIES["train_all"] = _train_all
 QUERIES["model_leaderboard"] = lambda spark, sf: md.model_leaderboard(_train_all(spark, sf), "regression").select(
     "model", "r2", "rank")
 QUERIES["run_pipeline"] = lambda spark, sf: run_analysis(
-    spark, t("doc_model")(spark, sf), "quality", "doc_id", scratch_dir(spark, "runs"), cv=0, profile="fast",
-    parallelism=4).record
+    spark, t("doc_model")(spark, sf), "quality", "doc_id", scratch_dir(spark, "runs"), parallelism=4).record

@@ -9,7 +9,7 @@ from quarry.operators import prepare as dp
 from quarry.plans.fixtures import doc_model
 from quarry.sources import registry as reg
 
-from conftest import SF01
+from conftest import SF001, SF01
 
 
 @pytest.fixture(scope="module")
@@ -81,3 +81,29 @@ def test_shapley_sums_to_prediction_minus_base(spark, prep):
 def test_unknown_problem_type(spark):
     with pytest.raises(ValueError):
         md.candidate_models("ranking")
+
+
+def test_training_queries_run_the_whole_job(spark, monkeypatch):
+    """All learners, reference profile, 5 folds; queries of one table share one training run."""
+    from types import SimpleNamespace
+
+    from quarry.plans import catalog
+
+    calls = []
+
+    def train_all(prep, cv=md.CV_FOLDS, tune=False, class_weight=False, profile="reference", only=None, parallelism=1, progress=None):
+        calls.append((prep.problem_type, cv, profile, only))
+        return [md.TrainResult(n, None, {"accuracy": i / 10, "r2": i / 10}, 0.5, 0.1, 1.0, 1.0, 3)
+                for i, n in enumerate(md.candidate_models(prep.problem_type))]
+    monkeypatch.setattr(md, "train_all", train_all)
+    monkeypatch.setattr(catalog, "_RESULTS", {})
+    boards = {k: catalog.QUERIES[k](spark, SF001).collect() for k in (
+        "train_and_compare", "select_best", "compact_leaderboard", "train_all", "model_leaderboard")}
+    assert calls == [("classification", 5, "reference", None), ("regression", 5, "reference", None)]
+    assert {k: len(v) for k, v in boards.items()} == {
+        "train_and_compare": 9, "select_best": 1, "compact_leaderboard": 9, "train_all": 6, "model_leaderboard": 6}
+    assert boards["select_best"][0].model == "Naive Bayes"
+    seen = {}
+    monkeypatch.setattr(catalog, "run_analysis", lambda *a, **kw: seen.update(kw) or SimpleNamespace(record=None))
+    catalog.QUERIES["run_pipeline"](spark, SF001)
+    assert not {"cv", "profile", "only"} & set(seen)
