@@ -132,6 +132,18 @@ def nnpu_fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
     return ToxicityModel(ids, w[:-1].copy(), float(w[-1]))
 
 
+def _sample_texts(docs: DataFrame, positives: DataFrame, ids: DataFrame, id_col: str, text_col: str, max_positive: int,
+                  max_unlabelled: int) -> DataFrame:
+    """``positive, text``: one text per sampled id, at most ``max_positive`` and ``max_unlabelled`` of them."""
+    first = positives.distinct().orderBy(F.xxhash64("_id"), "_id").limit(max_positive).withColumn("positive", F.lit(1))
+    others = ids.distinct().orderBy(F.xxhash64(F.lit(1), "_id"), "_id").limit(max_unlabelled).withColumn("positive", F.lit(0))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    # the sample has max_positive + max_unlabelled rows at most
+    found = docs.select(F.col(id_col).alias("_id"), F.struct(F.xxhash64(text).alias("h"), text.alias("text")).alias("t")).join(
+        F.broadcast(first.union(others)), "_id")
+    return found.groupBy("positive", "_id").agg(F.min("t").alias("t")).select("positive", "t.text")
+
+
 def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    folds: int = 5, max_positive: int = 4_000, max_unlabelled: int = 8_000, **fit) -> ToxicityModel:
     """Fit the classifier on a bounded sample.
@@ -139,6 +151,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     Positives are at most ``max_positive`` documents whose label ``toxic`` is
     1, unlabelled texts at most ``max_unlabelled`` documents, both the first
     by a hash of the id, only from ids whose crc32 modulo ``folds`` is not 0.
+    An id that repeats counts once, by its text of smallest hash.
     The class prior is the share of toxic among all labelled training rows.
     The sample is gathered in one task. Without positives the model gives every
     text the prior.
@@ -148,13 +161,9 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     known = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic")).where(
         F.col("toxic").isNotNull() & learnable("_id"))
     prior = known.agg(F.avg(F.col("toxic").cast("double"))).first()[0] or 0.0
-    positives = known.where("toxic = 1").select("_id").distinct().orderBy(F.xxhash64("_id"), "_id").limit(max_positive)
-    ids = docs.select(F.col(id_col).alias("_id")).where(learnable("_id")).orderBy(F.xxhash64(F.lit(1), "_id"), "_id").limit(max_unlabelled)
-    sample = positives.withColumn("positive", F.lit(1)).union(ids.distinct().withColumn("positive", F.lit(0)))
+    texts = _sample_texts(docs, known.where("toxic = 1").select("_id"), docs.select(F.col(id_col).alias("_id")).where(learnable("_id")),
+                          id_col, text_col, max_positive, max_unlabelled)
     small_batches(docs.sparkSession)
-    # the sample has max_positive + max_unlabelled rows at most
-    texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(
-        F.broadcast(sample), "_id").select("positive", "text")
     rows = texts.mapInArrow(_feature_rows, "positive int, features binary")
 
     def fit_all(part: pd.DataFrame) -> pd.DataFrame:

@@ -16,7 +16,7 @@ from quarry.llm import ngram_join
 from quarry.llm.lattice import Lattice, score_documents
 from quarry.llm.near_embeddings import band_plan, near_duplicates
 from quarry.llm.pieces import CharacterMap, codec, default_model, encode_documents, normalise
-from quarry.llm.toxicity import drop_toxic, nnpu_fit, score_toxicity, train_toxicity
+from quarry.llm.toxicity import _sample_texts, drop_toxic, nnpu_fit, score_toxicity, train_toxicity
 
 SF001 = "/root/testdata/sf0.001"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -209,6 +209,15 @@ def test_toxicity(spark, documents, odd_documents):
     assert len(nnpu_fit([], [], 0.1).features) == 0 and score_toxicity(docs.limit(0), model).count() == 0
 
 
+def test_toxicity_sample_of_repeated_ids(spark, documents):
+    """An id of many rows gives one text to each side and takes no other id's place."""
+    docs = documents([(7, f"copy {i}", "en", "a") for i in range(200)] + [(i, f"text {i}", "en", "a") for i in range(20, 60)])
+    ids = docs.select(F.col("doc_id").alias("_id"))
+    got = _sample_texts(docs, ids.where("_id in (7, 20)"), ids, "doc_id", "text", 5, 50).collect()
+    assert Counter(r.positive for r in got) == {1: 2, 0: 41}
+    assert sum(r.text.startswith("copy") for r in got) == 2
+
+
 def test_pipeline(spark):
     got = corpus_pipeline.run(spark, SF001)
     assert got.columns == ["doc_id", "n_tokens", "ids"] and got.count() > 50
