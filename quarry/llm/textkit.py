@@ -37,13 +37,17 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS[0]) < n + 1:
-        inverse = _U(pow(int(_MULT), -1, 2**64))
-        for i, base in enumerate((_MULT, inverse)):
-            p = np.full(n + 1, base, _U)
-            p[0] = 1
-            _POWERS[i] = np.cumprod(p, dtype=_U)
-    return _POWERS[0], _POWERS[1]
+    """Powers 0..n of the multiplier and of its inverse; kept for slices of usual size only."""
+    if len(_POWERS[0]) > n:
+        return _POWERS[0], _POWERS[1]
+    both = []
+    for base in (_MULT, _U(pow(int(_MULT), -1, 2**64))):
+        p = np.full(n + 1, base, _U)
+        p[0] = 1
+        both.append(np.cumprod(p, dtype=_U))
+    if n <= SLICE_BYTES:
+        _POWERS[:] = both
+    return both[0], both[1]
 
 
 def utf8_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -119,8 +123,9 @@ def shingle_sets(words: Words, k: int = 5) -> list[np.ndarray]:
     n = len(h)
     rows = len(words.offsets) - 1
     full = np.zeros(max(n - k + 1, 0), _U)
-    for i in range(k):
-        full += h[i:n - k + 1 + i] * _STEP[i]
+    if n >= k:
+        for i in range(k):
+            full += h[i:n - k + 1 + i] * _STEP[i]
     full = mix(full)
     out = []
     for r in range(rows):
