@@ -9,7 +9,7 @@ from quarry.operators import prepare as dp
 from quarry.plans.fixtures import doc_model
 from quarry.sources import registry as reg
 
-from conftest import SF001, SF01
+from data_dirs import SF001, SF01
 
 
 @pytest.fixture(scope="module")

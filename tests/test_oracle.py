@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as entry
 from checks.compare import TABLES
 
-from conftest import SF001
+from data_dirs import SF001
 
 FAST = ["profile_overview", "profile_columns", "quality_score", "missing_issues", "apply_cleaning", "auto_clean",
         "descriptive_stats", "spearman_matrix_nulls", "histograms", "categorical_breakdown", "weekly_totals",

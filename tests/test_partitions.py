@@ -5,7 +5,7 @@ from quarry.operators import metrics as ev
 from quarry.operators import profile as pr
 from quarry.plans.fixtures import dirty, scored_binary
 
-from conftest import SF01
+from data_dirs import SF01
 
 
 def _rows(df):

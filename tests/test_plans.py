@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from quarry.functions.frames import top_k, value_counts
 from quarry.sources.files import preview
 
-from conftest import SF001
+from data_dirs import SF001
 
 
 def _plan(df) -> str:
