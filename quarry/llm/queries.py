@@ -14,6 +14,7 @@ from quarry.llm.mixing import mix
 from quarry.llm.near_embeddings import near_duplicates
 from quarry.llm.ngram_join import jaccard_components
 from quarry.llm.oracles import ORACLE  # noqa: F401
+from quarry.llm.packing import pack_documents
 from quarry.llm.pieces import encoding_digests
 from quarry.llm.quality import quality_verdicts
 from quarry.llm.secret_scan import KINDS, find_secrets, joined_spans
@@ -76,7 +77,16 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    pieces = pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                            public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id",
+                         "offset", "cost")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_embedding_near_dedup, op2_quality_rules, op3_sharding, op4_lm_scoring, op5_mixing, op6_url_filters,
-        op7_sentencepiece, op8_secret_scans, op9_toxicity, op10_ngram_jaccard_join)}
+        op7_sentencepiece, op8_secret_scans, op9_toxicity, op10_ngram_jaccard_join, op11_packing)}
