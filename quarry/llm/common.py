@@ -32,6 +32,13 @@ def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
+def sized_bytes(df: DataFrame, limit: int = 32 << 20) -> DataFrame:
+    """Broadcast a stored table of at most ``limit`` bytes (strings counted in full); leave a larger one to a shuffle join."""
+    text = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema.fields if f.dataType.typeName() == "string"]
+    width = sum(text, F.lit(16 * len(df.columns))).cast("long")
+    return F.broadcast(df) if (df.agg(F.sum(width)).first()[0] or 0) <= limit else df
+
+
 def words(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text; null gives none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_BREAK), lambda w: w != "")

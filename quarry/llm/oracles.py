@@ -138,9 +138,44 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN joined USING (rid)"""
 
 
+def _collocations() -> str:
+    return r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(piece, '[^ \t]+') AS w
+  FROM (SELECT lang, unnest(regexp_split_to_array(
+          translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+          '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+spots AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM pieces),
+f1 AS (SELECT lang, w[i] AS w1, count(*) AS f FROM spots GROUP BY ALL),
+f2 AS (SELECT lang, w[i] AS w1, w[i + 1] AS w2, count(*) AS f FROM spots WHERE i + 1 <= len(w) GROUP BY ALL),
+f3 AS (SELECT lang, w[i] AS w1, w[i + 1] AS w2, w[i + 2] AS w3, count(*) AS f FROM spots WHERE i + 2 <= len(w)
+       GROUP BY ALL HAVING count(*) >= 10),
+longer AS (SELECT lang, w1, w2, max(f) AS f FROM (SELECT lang, w1, w2, f FROM f3 UNION ALL
+                                                  SELECT lang, w2, w3, f FROM f3) GROUP BY ALL),
+cuts AS (
+  SELECT p.lang, p.w1 || ' ' || p.w2 AS phrase, p.f AS a, 1 AS k, x.f AS l, y.f AS r
+  FROM f2 p JOIN f1 x ON x.lang = p.lang AND x.w1 = p.w1 JOIN f1 y ON y.lang = p.lang AND y.w1 = p.w2
+       LEFT JOIN longer g ON g.lang = p.lang AND g.w1 = p.w1 AND g.w2 = p.w2
+  WHERE p.f >= 10 AND (g.f IS NULL OR 100 * g.f < 50 * p.f)
+  UNION ALL
+  SELECT p.lang, p.w1 || ' ' || p.w2 || ' ' || p.w3, p.f, 1, x.f, y.f
+  FROM f3 p JOIN f1 x ON x.lang = p.lang AND x.w1 = p.w1
+       JOIN f2 y ON y.lang = p.lang AND y.w1 = p.w2 AND y.w2 = p.w3
+  UNION ALL
+  SELECT p.lang, p.w1 || ' ' || p.w2 || ' ' || p.w3, p.f, 2, x.f, y.f
+  FROM f3 p JOIN f2 x ON x.lang = p.lang AND x.w1 = p.w1 AND x.w2 = p.w2
+       JOIN f1 y ON y.lang = p.lang AND y.w1 = p.w3),
+scored AS (SELECT *, 1000000 * a::HUGEINT * a // (l::HUGEINT * r) AS score FROM cuts),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM f1 GROUP BY lang)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000"""
+
+
 ORACLE: dict[str, str] = {
     "op2_quality_rules": _quality(),
     "op5_mixing": _mixing(),
     "op6_url_filters": _urls(),
     "op8_secret_scans": _secrets(),
+    "op13_collocations": _collocations(),
 }

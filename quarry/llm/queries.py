@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.llm.collocations import mine_collocations
 from quarry.llm.common import table
 from quarry.llm.hosts import judge_urls
 from quarry.llm.lattice import score_documents
@@ -86,7 +87,12 @@ def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "offset", "cost")
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_embedding_near_dedup, op2_quality_rules, op3_sharding, op4_lm_scoring, op5_mixing, op6_url_filters,
-        op7_sentencepiece, op8_secret_scans, op9_toxicity, op10_ngram_jaccard_join, op11_packing)}
+        op7_sentencepiece, op8_secret_scans, op9_toxicity, op10_ngram_jaccard_join, op11_packing,
+        op13_collocations)}
