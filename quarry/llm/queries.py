@@ -20,6 +20,7 @@ from quarry.llm.pieces import encoding_digests
 from quarry.llm.quality import quality_verdicts
 from quarry.llm.secret_scan import KINDS, find_secrets, joined_spans
 from quarry.llm.sharding import shard_rows
+from quarry.llm.spelling import spelling_variants
 from quarry.llm.toxicity import score_toxicity, train_toxicity
 
 
@@ -87,6 +88,10 @@ def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "offset", "cost")
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine_collocations(table(spark, sf_dir, "documents"))
 
@@ -95,4 +100,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_embedding_near_dedup, op2_quality_rules, op3_sharding, op4_lm_scoring, op5_mixing, op6_url_filters,
         op7_sentencepiece, op8_secret_scans, op9_toxicity, op10_ngram_jaccard_join, op11_packing,
-        op13_collocations)}
+        op12_spelling_variants, op13_collocations)}

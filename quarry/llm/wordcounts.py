@@ -70,8 +70,13 @@ class HashFilter:
         return (self.words[(at >> _U(6)).astype(np.int64)] >> (at & _U(63))) & _U(1) != 0
 
 
-def hash_filter(keys: DataFrame, columns: Sequence[str], n_keys: int) -> HashFilter:
-    """Bit set of the key columns' combined hashes.
+def column_hashes(columns: Sequence[pa.Array]) -> np.ndarray:
+    return combined([string_hashes(c) for c in columns])
+
+
+def hash_filter(keys: DataFrame, columns: Sequence[str], n_keys: int,
+                hashes: Callable[[Sequence[pa.Array]], np.ndarray] = column_hashes) -> HashFilter:
+    """Bit set of the key columns' hashes.
 
     The bits are set and merged in Spark; the driver receives at most one
     number per 64 bits (``MOST_BITS / 64`` rows), however many keys there are.
@@ -82,7 +87,7 @@ def hash_filter(keys: DataFrame, columns: Sequence[str], n_keys: int) -> HashFil
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = combined([string_hashes(c) for c in b.columns]) & _U(bits - 1)
+            at = hashes(b.columns) & _U(bits - 1)
             yield pa.RecordBatch.from_arrays(
                 [pa.array((at >> _U(6)).astype(np.int64)), pa.array((_U(1) << (at & _U(63))).view(np.int64))],
                 names=["slot", "mask"])
