@@ -7,9 +7,6 @@
   of blocks is one bounded group scored with NumPy, emitting only the local
   top k per test row; a final top k per test row merges the B partial lists.
   No pair rows are materialised and no group holds a whole side.
-* ``AdaBoostClassifier`` -- SAMME over weighted decision stumps; each round
-  finds the best stump with one ``groupBy(feature, bin, label)`` over
-  quantile-binned features and updates weights as a column.
 * ``RandomFourierFeatures`` -- RBF kernel approximation (Rahimi & Recht, 2007)
   via an Arrow-batched pandas UDF, used with ``LinearSVC`` (one-vs-rest) and
   Huber ``LinearRegression`` for the kernel SVM / SVR re-aims.
@@ -26,8 +23,8 @@ from pyspark.ml import Estimator, Model, Transformer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasPredictionCol, HasProbabilityCol, HasSeed
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -202,7 +199,8 @@ class KNNClassifier(Estimator, _KNNParams, DefaultParamsReadable, DefaultParamsW
                           .alias("tid"), _features_array(df, self.getFeaturesCol()).alias("x"),
                           F.col(self.getLabelCol()).cast("int").alias("y"))
         path = self.getOrDefault(self.trainPath) if self.isDefined(self.trainPath) else scratch_dir(df.sparkSession, "knn")
-        train.write.mode("overwrite").parquet(path)
+        # blocks go by row number, so equal rows spread over them
+        train.withColumn("row", F.monotonically_increasing_id()).write.mode("overwrite").parquet(path)
         stats = df.agg(F.max(F.col(self.getLabelCol()).cast("int")).alias("k"), F.count(F.lit(1)).alias("n")).first()
         return KNNModel(featuresCol=self.getFeaturesCol(), labelCol=self.getLabelCol(),
                         predictionCol=self.getPredictionCol(), probabilityCol=self.getProbabilityCol(),
@@ -210,7 +208,30 @@ class KNNClassifier(Estimator, _KNNParams, DefaultParamsReadable, DefaultParamsW
                         blockRows=self.getOrDefault(self.blockRows), trainRows=int(stats["n"]), trainPath=path)
 
 
+class _KNNWriter(DefaultParamsWriter):
+    def saveImpl(self, path: str) -> None:
+        super().saveImpl(path)
+        SparkSession.getActiveSession().read.parquet(
+            self.instance.getOrDefault(self.instance.trainPath)).write.parquet(f"{path}/train")
+
+
+class _KNNReader(DefaultParamsReader):
+    def load(self, path: str):
+        model = super().load(path)
+        model._set(trainPath=f"{path}/train")
+        return model
+
+
 class KNNModel(Model, _KNNParams, DefaultParamsReadable, DefaultParamsWritable):
+    """The training rows are saved and loaded with the model."""
+
+    def write(self) -> _KNNWriter:
+        return _KNNWriter(self)
+
+    @classmethod
+    def read(cls) -> _KNNReader:
+        return _KNNReader(cls)
+
     @keyword_only
     def __init__(self, *, featuresCol="features", labelCol="label", predictionCol="prediction",
                  probabilityCol="probability", k=KNN_K, numClasses=None, blockRows=4096, trainRows=None,
@@ -232,7 +253,7 @@ class KNNModel(Model, _KNNParams, DefaultParamsReadable, DefaultParamsWritable):
         B = max(1, math.ceil(self.getOrDefault(self.trainRows) / rows))
         test_rep = test.withColumn("a", F.pmod(F.xxhash64("qid"), F.lit(A))).withColumn(
             "b", F.explode(F.sequence(F.lit(0), F.lit(B - 1))))
-        train_rep = train.withColumn("b", F.pmod(F.xxhash64("tid"), F.lit(B))).withColumn(
+        train_rep = train.withColumn("b", F.pmod(F.xxhash64("row"), F.lit(B))).drop("row").withColumn(
             "a", F.explode(F.sequence(F.lit(0), F.lit(A - 1))))
         local = test_rep.groupBy("a", "b").cogroup(train_rep.groupBy("a", "b")).applyInPandas(
             _block_topk(k), "qid long, tid long, dist double, y int")
@@ -251,126 +272,6 @@ class KNNModel(Model, _KNNParams, DefaultParamsReadable, DefaultParamsWritable):
         return keyed.join(scored, "__qid", "left").drop("__qid")
 
 
-# ---------------------------------------------------------------- AdaBoost (SAMME) over stumps
-
-class _AdaParams(_ClassifierParams, HasSeed):
-    numRounds = Param(Params._dummy(), "numRounds", "boosting rounds", typeConverter=TypeConverters.toInt)
-    numBins = Param(Params._dummy(), "numBins", "candidate thresholds per feature", typeConverter=TypeConverters.toInt)
-    numClasses = Param(Params._dummy(), "numClasses", "number of classes", typeConverter=TypeConverters.toInt)
-    stumps = Param(Params._dummy(), "stumps", "feature, threshold, left class, right class per round",
-                   typeConverter=TypeConverters.toListFloat)
-    alphas = Param(Params._dummy(), "alphas", "stump weights", typeConverter=TypeConverters.toListFloat)
-    checkpointInterval = Param(Params._dummy(), "checkpointInterval", "rounds between checkpoints",
-                               typeConverter=TypeConverters.toInt)
-
-
-class AdaBoostClassifier(Estimator, _AdaParams, DefaultParamsReadable, DefaultParamsWritable):
-    @keyword_only
-    def __init__(self, *, featuresCol="features", labelCol="label", predictionCol="prediction",
-                 probabilityCol="probability", numRounds=50, numBins=32, checkpointInterval=5, seed=42):
-        super().__init__()
-        self._setDefault(numRounds=50, numBins=32, checkpointInterval=5)
-        self._set(**self._input_kwargs)
-
-    def _fit(self, df: DataFrame) -> "AdaBoostModel":
-        from pyspark.ml.feature import Bucketizer
-
-        from quarry.session import checkpoint_root
-
-        checkpoint_root(df.sparkSession)
-        data = df.select(_features_array(df, self.getFeaturesCol()).alias("x"),
-                         F.col(self.getLabelCol()).cast("int").alias("y"))
-        p = len(data.select("x").first()["x"])
-        k = data.agg(F.max("y")).first()[0] + 1
-        nb = self.getOrDefault(self.numBins)
-        # candidate thresholds: approximate quantiles per feature (one agg, bounded by features x bins)
-        qs = [i / nb for i in range(1, nb)]
-        row = data.agg(*[F.percentile_approx(F.col("x")[j], qs, 1000).alias(f"t{j}") for j in range(p)]).first()
-        cuts = [sorted(set(float(v) for v in (row[f"t{j}"] or []))) for j in range(p)]
-        # bin b of feature j = number of cuts <= x_j, so "x_j < cuts[j][i]" <=> b <= i
-        flat = data.select("y", *[F.col("x")[j].alias(f"x{j}") for j in range(p)])
-        binned = Bucketizer(inputCols=[f"x{j}" for j in range(p)], outputCols=[f"b{j}" for j in range(p)],
-                            splitsArray=[[-math.inf] + c + [math.inf] for c in cuts],
-                            handleInvalid="keep").transform(flat)
-        n = data.count()
-        cur = binned.withColumn("w", F.lit(1.0 / n)).checkpoint(eager=True)
-        cells = F.array(*[F.struct(F.lit(j).alias("f"), F.col(f"b{j}").cast("int").alias("bin")) for j in range(p)])
-        stumps, alphas = [], []
-        for rnd in range(self.getOrDefault(self.numRounds)):
-            mass = cur.select("y", "w", F.inline(cells)).groupBy("f", "bin", "y").agg(F.sum("w").alias("m")).collect()
-            best = _best_stump(mass, cuts, k)
-            if best is None:
-                break
-            f, cut, lc, rc = best
-            pred = F.when(F.col(f"x{f}") < F.lit(cut), F.lit(lc)).otherwise(F.lit(rc))
-            err_row = cur.agg(F.sum(F.when(pred != F.col("y"), F.col("w")).otherwise(0.0)).alias("e"),
-                              F.sum("w").alias("s")).first()
-            err = err_row["e"] / err_row["s"]
-            if err >= 1.0 - 1.0 / k:
-                break
-            stumps += [f, cut, lc, rc]
-            if err <= 0:
-                alphas.append(1.0)
-                break
-            alpha = math.log((1 - err) / err) + math.log(k - 1)
-            alphas.append(alpha)
-            cur = cur.withColumn("w", F.when(pred != F.col("y"), F.col("w") * math.exp(alpha)).otherwise(F.col("w")))
-            if (rnd + 1) % self.getOrDefault(self.checkpointInterval) == 0:
-                cur = cur.checkpoint(eager=True)
-        return AdaBoostModel(featuresCol=self.getFeaturesCol(), labelCol=self.getLabelCol(),
-                             predictionCol=self.getPredictionCol(), probabilityCol=self.getProbabilityCol(),
-                             numClasses=k, stumps=[float(v) for v in stumps], alphas=alphas)
-
-
-def _best_stump(mass_rows, cuts, k: int):
-    """Lowest weighted-error stump ``x_f < cut`` from per-(feature, bin, class) weight sums.
-
-    Each side votes its heaviest class. Returns ``(feature, cut, left class, right class)``.
-    """
-    table: dict = {}
-    for r in mass_rows:
-        table.setdefault(r["f"], {}).setdefault(r["bin"], [0.0] * k)[r["y"]] += r["m"]
-    best = None
-    for f, bins in sorted(table.items()):
-        total = [sum(v[c] for v in bins.values()) for c in range(k)]
-        left = [0.0] * k
-        for i, cut in enumerate(cuts[f]):
-            add = bins.get(i)
-            if add:
-                left = [a + b for a, b in zip(left, add)]
-            right = [t - a for t, a in zip(total, left)]
-            if sum(left) <= 0 or sum(right) <= 0:
-                continue
-            lc, rc = int(np.argmax(left)), int(np.argmax(right))
-            err = (sum(left) - left[lc]) + (sum(right) - right[rc])
-            if best is None or err < best[0] - 1e-15:
-                best = (err, f, cut, lc, rc)
-    return None if best is None else best[1:]
-
-
-class AdaBoostModel(Model, _AdaParams, DefaultParamsReadable, DefaultParamsWritable):
-    @keyword_only
-    def __init__(self, *, featuresCol="features", labelCol="label", predictionCol="prediction",
-                 probabilityCol="probability", numClasses=None, stumps=None, alphas=None):
-        super().__init__()
-        self._set(**self._input_kwargs)
-
-    def _transform(self, df: DataFrame) -> DataFrame:
-        tmp = "__ada_x"
-        d = df.withColumn(tmp, _features_array(df, self.getFeaturesCol()))
-        k = self.getOrDefault(self.numClasses)
-        st, al = self.getOrDefault(self.stumps), self.getOrDefault(self.alphas)
-        x = F.col(tmp)
-        scores = [F.lit(0.0)] * k
-        for r, a in enumerate(al):
-            f, cut, lc, rc = int(st[4 * r]), st[4 * r + 1], int(st[4 * r + 2]), int(st[4 * r + 3])
-            vote = F.when(x[f] < F.lit(cut), F.lit(lc)).otherwise(F.lit(rc))
-            scores = [s + F.when(vote == c, F.lit(a)).otherwise(F.lit(0.0)) for c, s in enumerate(scores)]
-        # SAMME decision scores; probabilities are shares of the total stump weight
-        out = _score_outputs(d, scores, self.getPredictionCol(), self.getProbabilityCol(), softmax=False)
-        return out.drop(tmp)
-
-
 # ---------------------------------------------------------------- random Fourier features
 
 class RandomFourierFeatures(Transformer, HasFeaturesCol, HasSeed, DefaultParamsReadable, DefaultParamsWritable):

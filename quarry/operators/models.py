@@ -3,8 +3,13 @@
 A candidate is a list of stages placed after the fitted preprocessor; the
 full ``Pipeline`` is preprocessor + label indexer (classification) + model +
 label decoder, so one ``PipelineModel`` scores raw rows end to end. Cross
-validation uses hash folds of a key (deterministic, no shuffle). Candidates
-can train concurrently (Spark runs jobs from several driver threads).
+validation uses hash folds of a key (deterministic, no shuffle).
+
+Comparing models works on a ``TrainingStore``: the preprocessor is fitted once
+per fold (and once on all training rows), and the assembled features of every
+fold are stored once; all learners and all settings of a search read them.
+Forests, single trees and boosted stumps grow all folds and settings in the
+same jobs; the other learners fit fold by fold from several driver threads.
 """
 
 from __future__ import annotations
@@ -18,41 +23,43 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (
-    DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier,
-)
+from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, OneVsRest
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.frames import q
 from quarry.functions.ranks import prefix_counts
+from quarry.operators.forest import (
+    ForestClassifier, ForestEstimator, ForestRegressor, grow_forests, held_out_values, stored_rows,
+)
 from quarry.operators.learners import (
-    AdaBoostClassifier, GaussianNB, KNNClassifier, RandomFourierFeatures, rbf_gamma_scale,
+    GaussianNB, KNNClassifier, RandomFourierFeatures, _features_array, rbf_gamma_scale,
 )
 from quarry.operators.metrics import evaluate
 from quarry.operators.prepare import SEED, PreparedData, hash_bucket
+from quarry.operators.stumps import AdaBoostClassifier, boost
 from quarry.session import checkpoint_root
 
 # Training defaults of the reference (library defaults) and the tuning grids.
 CV_FOLDS = 5
 PRIMARY = {"classification": "accuracy", "regression": "r2"}
 CLASS_WEIGHT_CAPABLE = {"Logistic Regression", "Random Forest", "Extra Trees", "Decision Tree", "SVM"}
-MAX_TREE_DEPTH = 30  # MLlib's ceiling stands in for "unlimited"
+NO_LIMIT = 0  # of tree depth
 PARAM_GRIDS = {
-    "Random Forest": {"numTrees": [100, 200, 300], "maxDepth": [MAX_TREE_DEPTH, 8, 16, 24],
+    "Random Forest": {"numTrees": [100, 200, 300], "maxDepth": [NO_LIMIT, 8, 16, 24],
                       "minInstancesPerNode": [1, 2, 5]},
-    "Extra Trees": {"numTrees": [100, 200, 300], "maxDepth": [MAX_TREE_DEPTH, 8, 16, 24],
+    "Extra Trees": {"numTrees": [100, 200, 300], "maxDepth": [NO_LIMIT, 8, 16, 24],
                     "minInstancesPerNode": [1, 2, 5]},
     "Gradient Boosting": {"maxIter": [100, 200], "stepSize": [0.01, 0.05, 0.1], "maxDepth": [2, 3, 4]},
-    "Decision Tree": {"maxDepth": [MAX_TREE_DEPTH, 5, 10, 20], "minInstancesPerNode": [1, 2, 5]},
+    "Decision Tree": {"maxDepth": [NO_LIMIT, 5, 10, 20], "minInstancesPerNode": [1, 2, 5]},
 }
 # Named size profiles: "reference" mirrors the library defaults; "fast" keeps every
 # learner but shrinks ensembles and iteration counts (used by examples and the bench).
 PROFILES = {
-    "reference": {"trees": 100, "depth": MAX_TREE_DEPTH, "boost_iter": 100, "ada_rounds": 50, "lr_iter": 1000,
+    "reference": {"trees": 100, "depth": NO_LIMIT, "boost_iter": 100, "ada_rounds": 50, "lr_iter": 1000,
                   "rff": 300},
     "fast": {"trees": 20, "depth": 8, "boost_iter": 20, "ada_rounds": 10, "lr_iter": 100, "rff": 100},
 }
@@ -65,7 +72,6 @@ class Candidate:
     name: str
     stages: Callable[[DataFrame], list]  # builds model stages from the training data
     tunable: Sequence[str] = ()
-    needs_features: bool = False  # the builder reads the preprocessed features (kernel width)
 
 
 def _weight_col(class_weight: bool, name: str) -> dict:
@@ -96,25 +102,21 @@ def candidate_models(problem_type: str, n_train: int | None = None, class_weight
             return [RandomFourierFeatures(featuresCol=fc, outputCol="rff", numComponents=p["rff"], gamma=gamma,
                                           numFeatures=dim, seed=SEED), model]
 
-        from quarry.operators.extra_trees import ExtraTreesClassifier
+        def trees(name, kind):
+            return Candidate(name, lambda d: [ForestClassifier(
+                featuresCol=fc, labelCol=lc, kind=kind, numTrees=p["trees"], maxDepth=p["depth"], seed=SEED,
+                **_weight_col(class_weight, name))], tuple(PARAM_GRIDS[name]))
 
         return {
             "Logistic Regression": Candidate("Logistic Regression", lr),
-            "Random Forest": Candidate("Random Forest", lambda d: [RandomForestClassifier(
-                featuresCol=fc, labelCol=lc, numTrees=p["trees"], maxDepth=p["depth"], seed=SEED,
-                featureSubsetStrategy="sqrt", **_weight_col(class_weight, "Random Forest"))],
-                ("numTrees", "maxDepth", "minInstancesPerNode")),
-            "Extra Trees": Candidate("Extra Trees", lambda d: [ExtraTreesClassifier(
-                featuresCol=fc, labelCol=lc, numTrees=p["trees"], maxDepth=p["depth"], seed=SEED,
-                **_weight_col(class_weight, "Extra Trees"))], ("numTrees", "maxDepth", "minInstancesPerNode")),
+            "Random Forest": trees("Random Forest", "forest"),
+            "Extra Trees": trees("Extra Trees", "extra"),
             "Gradient Boosting": Candidate("Gradient Boosting", gbt, ("maxIter", "stepSize", "maxDepth")),
             "AdaBoost": Candidate("AdaBoost", lambda d: [AdaBoostClassifier(featuresCol=fc, labelCol=lc,
                                                                            numRounds=p["ada_rounds"], seed=SEED)]),
-            "Decision Tree": Candidate("Decision Tree", lambda d: [DecisionTreeClassifier(
-                featuresCol=fc, labelCol=lc, maxDepth=p["depth"], seed=SEED,
-                **_weight_col(class_weight, "Decision Tree"))], ("maxDepth", "minInstancesPerNode")),
+            "Decision Tree": trees("Decision Tree", "tree"),
             "KNN": Candidate("KNN", lambda d: [KNNClassifier(featuresCol=fc, labelCol=lc, k=5)]),
-            "SVM": Candidate("SVM", svm, needs_features=True),
+            "SVM": Candidate("SVM", svm),
             "Naive Bayes": Candidate("Naive Bayes", lambda d: [GaussianNB(featuresCol=fc, labelCol=lc)]),
         }
     if problem_type == "regression":
@@ -126,23 +128,21 @@ def candidate_models(problem_type: str, n_train: int | None = None, class_weight
                                           numFeatures=dim, seed=SEED),
                     LinearRegression(featuresCol="rff", labelCol=lab, loss="huber", maxIter=100, regParam=1e-4)]
 
-        from quarry.operators.extra_trees import ExtraTreesRegressor
+        def trees(name, kind):
+            return Candidate(name, lambda d: [ForestRegressor(
+                featuresCol=fc, labelCol=lab, kind=kind, numTrees=p["trees"], maxDepth=p["depth"], seed=SEED)],
+                tuple(PARAM_GRIDS[name]))
 
         return {
             "Linear Regression": Candidate("Linear Regression", lambda d: [LinearRegression(
                 featuresCol=fc, labelCol=lab, regParam=0.0, solver="normal")]),
-            "Random Forest": Candidate("Random Forest", lambda d: [RandomForestRegressor(
-                featuresCol=fc, labelCol=lab, numTrees=p["trees"], maxDepth=p["depth"], seed=SEED,
-                featureSubsetStrategy="all")], ("numTrees", "maxDepth", "minInstancesPerNode")),
-            "Extra Trees": Candidate("Extra Trees", lambda d: [ExtraTreesRegressor(
-                featuresCol=fc, labelCol=lab, numTrees=p["trees"], maxDepth=p["depth"], seed=SEED)],
-                ("numTrees", "maxDepth", "minInstancesPerNode")),
+            "Random Forest": trees("Random Forest", "forest"),
+            "Extra Trees": trees("Extra Trees", "extra"),
             "Gradient Boosting": Candidate("Gradient Boosting", lambda d: [GBTRegressor(
                 featuresCol=fc, labelCol=lab, maxIter=p["boost_iter"], maxDepth=3, stepSize=0.1, seed=SEED)],
                 ("maxIter", "stepSize", "maxDepth")),
-            "Decision Tree": Candidate("Decision Tree", lambda d: [DecisionTreeRegressor(
-                featuresCol=fc, labelCol=lab, maxDepth=p["depth"], seed=SEED)], ("maxDepth", "minInstancesPerNode")),
-            "SVR": Candidate("SVR", svr, needs_features=True),
+            "Decision Tree": trees("Decision Tree", "tree"),
+            "SVR": Candidate("SVR", svr),
         }
     if problem_type == "clustering":
         return {"KMeans": Candidate("KMeans", lambda d: [KMeans(featuresCol=fc, k=3, seed=SEED)])}
@@ -213,31 +213,149 @@ def fold_column(df: DataFrame, key: str, k: int, seed: int = SEED, stratify: str
         "_cls", "_ord", "_c", "_o")
 
 
-def cross_validate(df: DataFrame, key: str, build: Callable[[DataFrame], Pipeline], problem_type: str, target: str,
-                   k: int = CV_FOLDS) -> dict:
-    """k-fold CV: mean and population std of accuracy (fraction) or r2; None below 2 rows.
+class TrainingStore:
+    """Everything the learners of one comparison read, prepared once.
 
-    Classifiers get folds stratified by class, regressors plain hash folds.
+    ``train`` and ``test`` hold the assembled features of the training and test
+    rows (preprocessor fitted on all training rows); ``folds(k)`` those of the
+    training rows once per fold, with a preprocessor fitted on the other folds.
+    All are stored in the shared folder.
     """
-    folds = min(k, df.count())
-    if folds < 2:
+
+    def __init__(self, prep: PreparedData, problem_type: str, class_weight: bool = False):
+        self.prep, self.problem_type, self.target = prep, problem_type, prep.target
+        self.classifier = problem_type == "classification"
+        checkpoint_root(prep.train.sparkSession)
+        indexer = label_indexer(_label_prep(prep.train, problem_type, self.target), self.target) if self.classifier else None
+        self.labels = list(indexer.labels) if indexer is not None else None
+        raw = _label_prep(prep.train, problem_type, self.target, indexer).where(
+            F.col(LABEL_IDX).isNotNull() if self.classifier else q(self.target).isNotNull())
+        if class_weight and self.classifier:
+            raw = balanced_class_weights(raw, self.target)
+        self.raw = raw.checkpoint(eager=True)
+        self.preprocessor = prep.preprocessor.fit(self.raw)
+        self.train = self.preprocessor.transform(self.raw).checkpoint(eager=True)
+        self.test = self.preprocessor.transform(
+            _label_prep(prep.test, problem_type, self.target, indexer)).checkpoint(eager=True)
+        self.label = LABEL_IDX if self.classifier else "label_value"
+        self.n_features = len((self.train.select(FEATURES).first() or {FEATURES: []})[FEATURES])
+        self._folds: dict[int, DataFrame | None] = {}
+
+    def folds(self, k: int) -> DataFrame | None:
+        """``store`` (fold number), ``held``, features, label and weight; None below two rows."""
+        if k not in self._folds:
+            n = min(k, self.raw.count())
+            if n < 2:
+                self._folds[k] = None
+                return None
+            data = fold_column(self.raw, self.prep.key, n, stratify=self.target if self.classifier else None).checkpoint(eager=True)
+
+            def one(i: int) -> DataFrame:
+                pre = self.prep.preprocessor.fit(data.where(F.col("_fold") != i))
+                weight = [F.col("class_weight")] if "class_weight" in data.columns else []
+                return pre.transform(data).select(F.lit(i).alias("store"), (F.col("_fold") == i).alias("held"), FEATURES,
+                                                  F.col(self.label).cast("double").alias(self.label), *weight)
+            with ThreadPoolExecutor(max_workers=n) as pool:
+                parts = list(pool.map(one, range(n)))
+            every = parts[0]
+            for part in parts[1:]:
+                every = every.unionByName(part)
+            self._folds[k] = every.checkpoint(eager=True)
+        return self._folds[k]
+
+    def scores(self, predicted: DataFrame) -> dict[int, float]:
+        """Accuracy (fraction) or r2 per ``store`` of ``predicted (store, y, prediction)``."""
+        y, p = F.col("y"), F.col("prediction")
+        score = F.avg((y == p).cast("double")) if self.classifier else F.when(
+            F.var_pop("y") > 0, 1 - F.sum((y - p) ** 2) / (F.var_pop("y") * F.count("y")))
+        rows = predicted.groupBy("store").agg(score.alias("score")).orderBy("store").collect()
+        return {r["store"]: r["score"] for r in rows if r["score"] is not None}
+
+    def tree_rows(self, folds: DataFrame) -> DataFrame:
+        """The fold store as rows of the forest engine, features padded to one length."""
+        x = _features_array(folds, FEATURES)
+        long = folds.agg(F.max(F.size(x))).first()[0] or 0
+        x = F.concat(x, F.array_repeat(F.lit(0.0), F.lit(long) - F.size(x)))
+        weight = F.col("class_weight") if "class_weight" in folds.columns else F.lit(1.0)
+        return stored_rows(folds.select(
+            F.monotonically_increasing_id().alias("rid"), "store", "held",
+            F.transform(x, lambda v: F.when(F.isnan(v), 0.0).otherwise(v)).alias("x"),
+            F.col(self.label).alias("y"), weight.cast("double").alias("w")))
+
+
+def _summary(scores: Sequence[float]) -> dict:
+    if not scores:
         return {"mean": None, "std": None}
-    checkpoint_root(df.sparkSession)
-    stratify = target if problem_type == "classification" else None
-    data = fold_column(df, key, folds, stratify=stratify).checkpoint(eager=True)
-    scores = []
-    for i in range(folds):
-        train, valid = data.where(F.col("_fold") != i), data.where(F.col("_fold") == i)
-        model = build(train).fit(train)
-        s = _scores(model.transform(valid), problem_type, target)
-        scores.append(s["accuracy"] / 100.0 if problem_type == "classification" else s["r2"])
     mean = sum(scores) / len(scores)
     std = math.sqrt(sum((s - mean) ** 2 for s in scores) / len(scores))
     return {"mean": round(mean, 4), "std": round(std, 4)}
 
 
-def random_search(df: DataFrame, key: str, cand: Candidate, prep: PreparedData, problem_type: str,
-                  n_iter: int = 10, folds: int = 3, seed: int = SEED, labels: Sequence[str] | None = None) -> dict:
+def cross_validate(store: TrainingStore, cand: Candidate, settings: Sequence[dict] = ({},), k: int = CV_FOLDS) -> list[dict]:
+    """k-fold CV of every setting: mean and population std of accuracy (fraction) or r2; None below 2 rows."""
+    folds = store.folds(k)
+    if folds is None:
+        return [{"mean": None, "std": None} for _ in settings]
+    n = min(k, store.raw.count())
+    stages = []
+    for params in settings:
+        stages.append(cand.stages(store.train))
+        _set_params(stages[-1][-1], params)
+    kinds = {type(s[-1]) for s in stages}
+    if all(issubclass(c, ForestEstimator) for c in kinds):
+        scores = _tree_scores(store, folds, n, [s[-1] for s in stages])
+    elif kinds == {AdaBoostClassifier}:
+        scores = [_stump_scores(store, folds, n, s[-1]) for s in stages]
+    else:
+        scores = [_fit_scores(store, folds, n, cand, params) for params in settings]
+    return [_summary(s) for s in scores]
+
+
+def _fit_scores(store: TrainingStore, folds: DataFrame, n: int, cand: Candidate, params: dict) -> list[float]:
+    """One fit per fold, several at a time."""
+    def one(i: int) -> DataFrame:
+        train = folds.where((F.col("store") == i) & ~F.col("held"))
+        stages = cand.stages(train)
+        _set_params(stages[-1], params)
+        model = Pipeline(stages=stages).fit(train)
+        return model.transform(folds.where((F.col("store") == i) & F.col("held"))).select(
+            "store", F.col(store.label).alias("y"), F.col(RAW_PRED).alias("prediction"))
+    with ThreadPoolExecutor(max_workers=n) as pool:
+        parts = list(pool.map(one, range(n)))
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    return list(store.scores(every).values())
+
+
+def _tree_scores(store: TrainingStore, folds: DataFrame, n: int, stages: Sequence[ForestEstimator]) -> list[list[float]]:
+    """All folds of all settings grow together."""
+    rows = store.tree_rows(folds)
+    seen = rows.agg(F.max("y").alias("k"), F.avg("y").alias("mean"), F.max(F.size("x")).alias("p")).first()
+    classes = int(seen["k"]) + 1 if store.classifier else 0
+    growers = [s.grower(seen["p"], classes, 0.0 if classes else seen["mean"], i) for s in stages for i in range(n)]
+    values = held_out_values(rows, grow_forests(rows, growers), growers)
+    v = F.col("value")
+    prediction = (F.array_position(v, F.array_max(v)) - 1).cast("double") if classes else v[0]
+    predicted = values.select(F.col("job").alias("store"), "y", prediction.alias("prediction"))
+    per = store.scores(predicted)
+    return [[per[j * n + i] for i in range(n) if j * n + i in per] for j in range(len(stages))]
+
+
+def _stump_scores(store: TrainingStore, folds: DataFrame, n: int, stage: AdaBoostClassifier) -> list[float]:
+    rows = store.tree_rows(folds)
+    classes = {r["store"]: int(r["k"]) + 1 for r in rows.where("not held").groupBy("store").agg(F.max("y").alias("k")).collect()}
+    fitted = boost(rows, classes, stage.getOrDefault(stage.numRounds))
+    parts = None
+    for i, (stumps, alphas) in sorted(fitted.items()):
+        model = stage.fitted(stumps, alphas, classes[i])
+        out = model.transform(folds.where((F.col("store") == i) & F.col("held"))).select(
+            "store", F.col(store.label).alias("y"), F.col(RAW_PRED).alias("prediction"))
+        parts = out if parts is None else parts.unionByName(out)
+    return list(store.scores(parts).values())
+
+
+def random_search(store: TrainingStore, cand: Candidate, n_iter: int = 10, folds: int = 3, seed: int = SEED) -> dict:
     """Seeded sample of ``n_iter`` settings from the candidate's grid, scored by ``folds``-fold CV."""
     grid = PARAM_GRIDS.get(cand.name)
     if not grid:
@@ -245,16 +363,8 @@ def random_search(df: DataFrame, key: str, cand: Candidate, prep: PreparedData,
     names = list(grid)
     combos = [dict(zip(names, vals)) for vals in itertools.product(*[grid[n] for n in names])]
     picked = random.Random(seed).sample(combos, min(n_iter, len(combos)))
-    best, best_score = {}, -math.inf
-    for params in picked:
-        def build(d, params=params):
-            stages = cand.stages(d)
-            _set_params(stages[-1], params)
-            return build_pipeline(prep, stages, problem_type, labels)
-        score = cross_validate(df, key, build, problem_type, prep.target, folds)["mean"]
-        if score is not None and score > best_score:
-            best, best_score = params, score
-    return best
+    scored = [(s["mean"], -i) for i, s in enumerate(cross_validate(store, cand, picked, folds)) if s["mean"] is not None]
+    return picked[-max(scored)[1]] if scored else {}
 
 
 def _set_params(stage, params: dict) -> None:
@@ -287,42 +397,27 @@ def _param_map(stage) -> dict:
 
 
 def train_one(prep: PreparedData, cand: Candidate, problem_type: str, cv: int = CV_FOLDS, tune: bool = False,
-              class_weight: bool = False) -> TrainResult:
+              class_weight: bool = False, store: TrainingStore | None = None) -> TrainResult:
     """tune? -> CV -> fit -> predict -> evaluate, timed; any failure -> result with ``error`` set."""
-    target = prep.target
     try:
-        indexer = label_indexer(_label_prep(prep.train, problem_type, target), target) \
-            if problem_type == "classification" else None
-        labels = indexer.labels if indexer is not None else None
-        train = _label_prep(prep.train, problem_type, target, indexer).where(
-            F.col(LABEL_IDX).isNotNull() if indexer is not None else q(target).isNotNull())
-        test = _label_prep(prep.test, problem_type, target, indexer)
-        if class_weight and problem_type == "classification":
-            train = balanced_class_weights(train, target)
-        tuned = random_search(train, prep.key, cand, prep, problem_type, labels=labels) if tune else {}
-
-        def build(d):
-            stages = cand.stages(prep.preprocessor.fit(d).transform(d) if cand.needs_features else d)
-            if tuned:
-                _set_params(stages[-1], tuned)
-            return build_pipeline(prep, stages, problem_type, labels)
-
-        cv_res = cross_validate(train, prep.key, build, problem_type, target, cv) if cv else {"mean": None, "std": None}
+        store = store or TrainingStore(prep, problem_type, class_weight)
+        tuned = random_search(store, cand) if tune else {}
+        cv_res = cross_validate(store, cand, [tuned], cv)[0] if cv else {"mean": None, "std": None}
         t0 = time.perf_counter()
-        model = build(train).fit(train)
+        stages = cand.stages(store.train)
+        _set_params(stages[-1], tuned)
+        fitted = build_pipeline(None, stages, problem_type, store.labels).fit(store.train)
         fit_s = time.perf_counter() - t0
         t1 = time.perf_counter()
-        scored = model.transform(test).cache()
+        scored = fitted.transform(store.test).cache()
         scored.count()  # force the predict job before stopping the clock
         pred_s = time.perf_counter() - t1
-        metrics = _scores(scored, problem_type, target)
+        metrics = _scores(scored, problem_type, store.target)
         scored.unpersist()
-        n_pre = len(prep.preprocessor.getStages())
-        first = PipelineModel(stages=model.stages[:n_pre]).transform(train.limit(1)).first()
-        n_feat = len(first[FEATURES]) if first is not None else 0
-        learner = [st for st in model.stages[n_pre:] if not isinstance(st, IndexToString)][-1]
+        model = PipelineModel(stages=[*store.preprocessor.stages, *fitted.stages])
+        learner = [st for st in fitted.stages if not isinstance(st, IndexToString)][-1]
         return TrainResult(cand.name, model, metrics, cv_res["mean"], cv_res["std"], round(fit_s, 4), round(pred_s, 4),
-                           n_feat, _param_map(learner) | tuned)
+                           store.n_features, _param_map(learner) | tuned)
     except Exception as e:  # noqa: BLE001 - one failing learner must not stop the run
         return TrainResult(cand.name, None, {}, None, None, 0.0, 0.0, 0, {}, error=f"{type(e).__name__}: {e}")
 
@@ -338,12 +433,15 @@ def train_all(prep: PreparedData, cv: int = CV_FOLDS, tune: bool = False, class_
     if only:
         cands = {k: v for k, v in cands.items() if k in only}
     items = list(cands.values())
+    store = TrainingStore(prep, prep.problem_type, class_weight)
+    if cv:
+        store.folds(cv)
 
     def run(i_c):
         i, c = i_c
         if progress:
             progress(i + 1, len(items), c.name)
-        return train_one(prep, c, prep.problem_type, cv, tune, class_weight)
+        return train_one(prep, c, prep.problem_type, cv, tune, class_weight, store)
 
     if parallelism > 1:
         with ThreadPoolExecutor(max_workers=parallelism) as pool:

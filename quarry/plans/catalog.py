@@ -345,10 +345,10 @@ def _prep_orders(spark, sf):
     return dp.prepare_dataset(t("order_model")(spark, sf), target="o_totalprice", key="o_orderkey")
 
 
-def _fit_one(name: str, problem: str, profile: str = "reference"):
+def _fit_one(name: str, problem: str):
     def run(spark, sf):
         prep = _prep_docs(spark, sf) if problem == "classification" else _prep_orders(spark, sf)
-        cands = md.candidate_models(problem, profile=profile)
+        cands = md.candidate_models(problem)
         res = md.train_one(prep, cands[name], problem, cv=0)
         if res.error:
             raise RuntimeError(res.error)
@@ -366,8 +366,7 @@ for _key, _name in [("fit_logistic", "Logistic Regression"), ("fit_rf_classifier
 for _key, _name in [("fit_rf_regressor", "Random Forest"), ("fit_extra_trees_regressor", "Extra Trees"),
                     ("fit_gbt_regressor", "Gradient Boosting"), ("fit_tree_regressor", "Decision Tree"),
                     ("fit_svr", "SVR")]:
-    # forests on all orders are the one place of the fast profile here: 100 trees of depth 30 take minutes even at sf0.01
-    QUERIES[_key] = _fit_one(_name, "regression", "fast" if _name in ("Random Forest", "Extra Trees") else "reference")
+    QUERIES[_key] = _fit_one(_name, "regression")
 
 
 def _kmeans(spark, sf):
