@@ -10,7 +10,8 @@
   row and permutation, hybrids taking the first k features (in permutation
   order) from the row and the rest from a background row; consecutive
   differences are the contributions, which sum to f(x) minus the mean
-  background prediction. Exact ``w * (x - mean)`` for linear learners.
+  background prediction. Exact ``w * (x - mean)`` for linear learners and
+  exact path-dependent values for forests and trees (``tree_shap``).
 """
 
 from __future__ import annotations
@@ -25,7 +26,9 @@ from pyspark.sql import functions as F
 
 from quarry.functions.frames import field_types, q
 from quarry.functions.ranks import prefix_counts
+from quarry.operators.forest import ForestModel
 from quarry.operators.prepare import SEED
+from quarry.operators.tree_shap import tree_shap
 from quarry.session import checkpoint_root
 
 # How many features are shown and how many rows / draws explanations use.
@@ -172,7 +175,10 @@ def shapley_values(model: PipelineModel, df: DataFrame, background: DataFrame, k
 
 def linear_shap(model: PipelineModel, df: DataFrame, background: DataFrame, key: str,
                 features_col: str = "features") -> DataFrame:
-    """Exact contributions ``w_j * (x_j - mean_j)`` of a linear learner over the assembled slots."""
+    """Exact contributions ``w_j * (x_j - mean_j)`` of a linear learner over the assembled slots, with their base.
+
+    The base is the linear output at the background's mean (a margin for classifiers).
+    """
     from quarry.operators.score import preprocessing_stages
 
     stage = learner_stage(model)
@@ -187,7 +193,30 @@ def linear_shap(model: PipelineModel, df: DataFrame, background: DataFrame, key:
     cells = [F.struct(F.lit(names[i] if i < len(names) else f"f{i}").alias("feature"),
                       (F.lit(coef[i]) * (arr[i] - F.lit(means[f"m{i}"] or 0.0))).alias("contribution"))
              for i in range(len(coef))]
-    return x.select(q(key), F.inline(F.array(*cells)))
+    many = hasattr(stage, "coefficientMatrix") and stage.coefficientMatrix.numRows > 1
+    at_zero = float(stage.interceptVector[0] if many else stage.intercept)
+    base = at_zero + sum(c * (means[f"m{i}"] or 0.0) for i, c in enumerate(coef))
+    return x.select(q(key), F.inline(F.array(*cells)), F.lit(base).alias("base"))
+
+
+def shap_values(model: PipelineModel, df: DataFrame, background: DataFrame, key: str, features: Sequence[str],
+                problem_type: str, rows: int = SHAP_ROWS, seed: int = SEED) -> DataFrame:
+    """``(key, feature, contribution, base)`` of the ``rows`` rows of smallest seeded key hash, by the learner's own form.
+
+    Forests and single trees: exact, per feature slot. Linear learners: exact,
+    per slot. Others: sampled Shapley values per input column.
+    """
+    from quarry.operators.score import preprocessing_stages
+
+    stage = learner_stage(model)
+    pick = df.withColumn("_h", F.xxhash64(F.lit(seed), q(key))).orderBy("_h").limit(rows).drop("_h")
+    if isinstance(stage, ForestModel):
+        x = preprocessing_stages(model).transform(pick)
+        return tree_shap(stage, x, key, slot_names(x))
+    if hasattr(stage, "coefficients") or hasattr(stage, "coefficientMatrix"):
+        if stage.numFeatures == len(slot_names(preprocessing_stages(model).transform(pick))):
+            return linear_shap(model, pick, background, key)
+    return shapley_values(model, df, background, key, features, problem_type, rows, seed=seed)
 
 
 def explain_prediction(shap: DataFrame, key: str, value, k: int = TOP_FEATURES) -> DataFrame:
@@ -214,7 +243,7 @@ def shap_summary(shap: DataFrame) -> DataFrame:
 def explain_model(model: PipelineModel, test: DataFrame, train: DataFrame, key: str, target: str | None,
                   problem_type: str, features: Sequence[str], with_shap: bool = True) -> dict:
     """Tree importance -> linear coefficients -> permutation importance (needs a target) -> unsupported;
-    sampling Shapley values alongside."""
+    Shapley values alongside."""
     from quarry.operators.score import preprocessing_stages
 
     names = slot_names(preprocessing_stages(model).transform(test.limit(1)))
@@ -230,5 +259,5 @@ def explain_model(model: PipelineModel, test: DataFrame, train: DataFrame, key:
             out.update(method="permutation",
                        importance=permutation_importance(model, test, key, target, problem_type, features))
     if with_shap:
-        out["shap"] = shapley_values(model, test, train, key, features, problem_type)
+        out["shap"] = shap_values(model, test, train, key, features, problem_type)
     return out

@@ -539,12 +539,14 @@ class Packed:
         self.f, self.cut = nodes["f"].to_numpy()[order], nodes["cut"].to_numpy()[order]
         self.depth = nodes["depth"].to_numpy()[order]
         self.value = node_values(_matrix(nodes["stats"])[order], classes, center)
-        self.cover = None
+        stats = _matrix(nodes["stats"])[order]
+        self.cover = stats[:, :-1].sum(axis=1) if classes else stats[:, 0]
+        self.to = np.column_stack([nodes["lo"].to_numpy()[order], nodes["hi"].to_numpy()[order]])
         tree_at = np.searchsorted(t, np.unique(t))
         bounds = np.append(tree_at, len(t))
         self.child = np.zeros((len(t), 2), np.int64)
-        for side, name in enumerate(("lo", "hi")):
-            to = nodes[name].to_numpy()[order]
+        for side in (0, 1):
+            to = self.to[:, side]
             for a, b in zip(bounds[:-1], bounds[1:]):
                 at = a + np.searchsorted(key[a:b], to[a:b])
                 at = np.minimum(at, b - 1)
@@ -618,8 +620,7 @@ def _by_subtree(asked: DataFrame, nodes: DataFrame, growers: Sequence[Grower]) -
                         p = by[int(job)]
                         at = p.leaf(x, p.start[np.searchsorted(np.unique(p.t), t)])
                         side = (x[np.arange(len(x)), p.f[at]] > p.cut[at]).astype(np.int64)
-                        lo, hi = _ends(p, tops, at)
-                        sub = np.where(p.f[at] >= 0, np.where(side == 0, lo, hi), 0)
+                        sub = np.where(p.f[at] >= 0, p.to[at, side], 0)
                         value = p.value[at]
                     yield _asked_batch(mine, t, sub, value, info[job])
 
@@ -650,15 +651,6 @@ def _by_subtree(asked: DataFrame, nodes: DataFrame, growers: Sequence[Grower]) -
     return means.select("job", "rid", F.array(*[f"v{i}" for i in range(k)]).alias("value"))
 
 
-def _ends(p: Packed, tops: pa.Table, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Child keys of the nodes at positions ``at``."""
-    lo, hi = np.zeros(len(p.key), np.int64), np.zeros(len(p.key), np.int64)
-    spot = {(t, k): (a, b) for t, k, a, b in zip(*(tops[c].to_pylist() for c in ("t", "node", "lo", "hi")))}
-    for i in np.unique(at).tolist():
-        lo[i], hi[i] = spot[int(p.t[i]), int(p.key[i])]
-    return lo[at], hi[at]
-
-
 def _asked_batch(mine: pa.RecordBatch, t: int, sub: np.ndarray, value: np.ndarray | None, info: tuple) -> pa.RecordBatch:
     n = mine.num_rows
     if value is None:

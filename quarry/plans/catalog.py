@@ -389,23 +389,8 @@ def _candidates(spark, sf):
 QUERIES["candidate_models"] = _candidates
 
 
-_RESULTS: dict[tuple, str] = {}
-
-
-def _shared_results(spark, sf, view: str, train) -> DataFrame:
-    """The stored table of ``train()``, trained once per application and content of ``view``."""
-    source = t(view)(spark, sf)
-    seen = source.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*source.columns).cast("decimal(38,0)"))).first()
-    key = (spark.sparkContext.applicationId, view, *seen)
-    if key not in _RESULTS:
-        path = scratch_dir(spark, f"results-{view}")
-        train().write.parquet(path)
-        _RESULTS[key] = path
-    return spark.read.parquet(_RESULTS[key])
-
-
 def _compare(spark, sf):
-    return _shared_results(spark, sf, "doc_model", lambda: md.train_and_compare(_prep_docs(spark, sf), parallelism=4).leaderboard)
+    return md.train_and_compare(_prep_docs(spark, sf), parallelism=4).leaderboard
 
 
 QUERIES["train_and_compare"] = lambda spark, sf: _compare(spark, sf).drop("train_time_sec", "predict_time_sec")
@@ -606,7 +591,7 @@ QUERIES["permutation_importance"] = lambda spark, sf: (lambda pm: ex.permutation
 
 def _shap(spark, sf, name="Decision Tree"):
     prep, model, _ = _run_model(spark, sf, name)
-    return ex.shapley_values(model, prep.test, prep.train, "doc_id", prep.feature_columns, "classification")
+    return ex.shap_values(model, prep.test, prep.train, "doc_id", prep.feature_columns, "classification")
 
 
 QUERIES["shapley_values"] = _shap
@@ -671,9 +656,8 @@ def _train_one(spark, sf):
 
 
 def _train_all(spark, sf):
-    def train():
-        return md.results_table(spark, md.train_all(_prep_orders(spark, sf), parallelism=4), "regression")
-    return _shared_results(spark, sf, "order_model", train).drop("train_time_sec", "predict_time_sec")
+    results = md.train_all(_prep_orders(spark, sf), parallelism=4)
+    return md.results_table(spark, results, "regression").drop("train_time_sec", "predict_time_sec")
 
 
 QUERIES["build_pipeline"] = _build_pipeline

@@ -1,6 +1,7 @@
 """Invariants of learned models: splits, folds, persistence, Shapley additivity, planted signal."""
 
 import pytest
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from quarry.operators import explain as ex
@@ -84,7 +85,7 @@ def test_unknown_problem_type(spark):
 
 
 def test_training_queries_run_the_whole_job(spark, monkeypatch):
-    """All learners, reference profile, 5 folds; queries of one table share one training run."""
+    """All learners, reference profile, 5 folds."""
     from types import SimpleNamespace
 
     from quarry.plans import catalog
@@ -96,10 +97,9 @@ def test_training_queries_run_the_whole_job(spark, monkeypatch):
         return [md.TrainResult(n, None, {"accuracy": i / 10, "r2": i / 10}, 0.5, 0.1, 1.0, 1.0, 3)
                 for i, n in enumerate(md.candidate_models(prep.problem_type))]
     monkeypatch.setattr(md, "train_all", train_all)
-    monkeypatch.setattr(catalog, "_RESULTS", {})
     boards = {k: catalog.QUERIES[k](spark, SF001).collect() for k in (
         "train_and_compare", "select_best", "compact_leaderboard", "train_all", "model_leaderboard")}
-    assert calls == [("classification", 5, "reference", None), ("regression", 5, "reference", None)]
+    assert calls == [("classification", 5, "reference", None)] * 3 + [("regression", 5, "reference", None)] * 2
     assert {k: len(v) for k, v in boards.items()} == {
         "train_and_compare": 9, "select_best": 1, "compact_leaderboard": 9, "train_all": 6, "model_leaderboard": 6}
     assert boards["select_best"][0].model == "Naive Bayes"
@@ -107,3 +107,22 @@ def test_training_queries_run_the_whole_job(spark, monkeypatch):
     monkeypatch.setattr(catalog, "run_analysis", lambda *a, **kw: seen.update(kw) or SimpleNamespace(record=None))
     catalog.QUERIES["run_pipeline"](spark, SF001)
     assert not {"cv", "profile", "only"} & set(seen)
+
+
+@pytest.mark.parametrize("name", ["Decision Tree", "Logistic Regression"])
+def test_exact_shapley_values_add_up(spark, prep, name):
+    res = md.train_one(prep, md.candidate_models("classification")[name], "classification", cv=0)
+    shap = ex.shap_values(res.model, prep.test, prep.train, "doc_id", prep.feature_columns, "classification", rows=6)
+    total = shap.groupBy("doc_id").agg((F.sum("contribution") + F.first("base")).alias("s"))
+    out = res.model.transform(prep.test)
+    want = vector_to_array("rawPrediction")[1] if name == "Logistic Regression" else vector_to_array("probability")[1]
+    rows = total.join(out.select("doc_id", want.alias("w")), "doc_id").collect()
+    assert len(rows) == 6 and all(abs(r.s - r.w) < 1e-9 for r in rows)
+
+
+def test_folds_are_prepared_once_for_all_settings(spark, prep):
+    store = md.TrainingStore(prep, "classification")
+    assert store.folds(3) is store.folds(3)
+    cand = md.candidate_models("classification")["Decision Tree"]
+    both = md.cross_validate(store, cand, [{"maxDepth": 1}, {"maxDepth": 6}], 3)
+    assert both == [md.cross_validate(store, cand, [p], 3)[0] for p in ({"maxDepth": 1}, {"maxDepth": 6})]
