@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions.frames import q
+from quarry.sources.csv_split import read_split
 
 # The strings pandas reads as missing by default.
 NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A",
@@ -52,26 +53,33 @@ def _infer(df: DataFrame) -> DataFrame:
 
 
 def scan_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, infer: bool = True,
-             na_tokens=NA_TOKENS, training: bool = False, multi_line: bool = True) -> DataFrame:
+             na_tokens=NA_TOKENS, training: bool = False, multi_line: bool | None = None) -> DataFrame:
     """Read a comma CSV with a header; refuse non-``.csv`` paths and (for training) empty input.
 
     Quotes inside quoted fields are doubled, and fields may hold line breaks.
-    A file that may hold line breaks is read by one task; pass
-    ``multi_line=False`` to split large files whose fields hold none.
+    Files are read by as many tasks as they have splits: where a field holds a
+    line break, records are put together across splits (``csv_split``), else
+    Spark's split reader is right. ``multi_line=True`` reads each file in one
+    task (needed only for files whose records end in a lone carriage return);
+    ``multi_line=False`` skips the look for line breaks.
     """
     if not path.rstrip("/").lower().endswith(".csv"):
         raise ValueError(f"not a .csv path: {path}")
-    reader = spark.read.options(**CSV_OPTIONS).option("mode", "FAILFAST").option("multiLine", multi_line)
+    reader = spark.read.options(**CSV_OPTIONS).option("mode", "FAILFAST").option("multiLine", multi_line is not False)
     if schema is not None:
         df = reader.schema(schema).csv(path)
-        strings = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-        df = df.withColumns({c: F.when(q(c).isin(list(na_tokens)), None).otherwise(q(c)) for c in strings})
     else:
-        raw = reader.option("inferSchema", False).csv(path)
-        df = raw.select(*[F.when(q(c).isNull() | q(c).isin(list(na_tokens)), None).otherwise(q(c)).alias(c)
-                          for c in raw.columns])
-        if infer:
-            df = _infer(df)
+        df = reader.option("inferSchema", False).csv(path)
+    if multi_line is None:
+        fields = df.schema.fields
+        split = read_split(spark, path, [f.dataType.simpleString() for f in fields], CSV_OPTIONS)
+        plain = reader.option("multiLine", False)
+        df = split.toDF(*df.columns) if split is not None else plain.schema(df.schema).csv(path)
+    strings = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    df = df.select(*[F.when(q(c).isin(list(na_tokens)), None).otherwise(q(c)).alias(c) if c in strings else q(c)
+                     for c in df.columns])
+    if schema is None and infer:
+        df = _infer(df)
     if training and df.limit(1).count() == 0:
         raise EmptyInputError(f"no rows in {path}")
     return df
