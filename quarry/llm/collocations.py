@@ -105,12 +105,47 @@ def _count_triples(docs: DataFrame, words: HashFilter, pairs: HashFilter, opened
         "lang", "w1", "w2", "w3").agg(F.sum("n").alias("f"))
 
 
+def _boundary(counts: DataFrame, value: str, rank: int) -> DataFrame:
+    """Per language the largest ``value`` with ``rank`` rows or more at or above it, and the rows above it.
+
+    ``counts (lang, value, n)`` holds at most about 1,000 rows a language.
+    """
+    w = Window.partitionBy("lang").orderBy(F.col(value).desc())
+    upto = counts.withColumn("upto", F.sum("n").over(w))
+    return upto.where(F.col("upto") >= rank).groupBy("lang").agg(
+        F.max_by(F.struct(F.col(value).alias("edge"), (F.col("upto") - F.col("n")).alias("above")), value).alias("e")).select(
+        "lang", "e.edge", "e.above")
+
+
 def _floors(pairs: DataFrame, rank: int) -> DataFrame:
-    """Per language the score of its ``rank``-th best pair; 0 if it has fewer. A task ships at most ``rank`` rows each."""
+    """Per language the score of its ``rank``-th best pair; 0 if it has fewer.
+
+    Scores are counted, first by thousands, then one by one in the thousand
+    where the rank falls: no task holds a language's pairs.
+    """
+    coarse = F.floor(F.col("score") / 1000)
+    thousand = _boundary(pairs.groupBy("lang", coarse.alias("k")).agg(F.count(F.lit(1)).alias("n")), "k", rank)
+    inside = pairs.join(F.broadcast(thousand), "lang").where(coarse == F.col("edge"))
+    exact = inside.groupBy("lang", "above", "score").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("lang").orderBy(F.col("score").desc())
-    best = pairs.select("lang", "score", F.row_number().over(w).alias("place")).where(F.col("place") <= rank)
-    return best.groupBy("lang").agg(
-        F.when(F.max("place") == rank, F.min("score")).otherwise(F.lit(0)).alias("floor"))
+    exact = exact.withColumn("upto", F.col("above") + F.sum("n").over(w)).where(F.col("upto") >= rank).groupBy("lang").agg(
+        F.max("score").alias("floor"))
+    return pairs.select("lang").distinct().join(F.broadcast(exact), "lang", "left").select(
+        "lang", F.coalesce("floor", F.lit(0)).alias("floor"))
+
+
+#: Parts of a language that are ranked on their own before the language is.
+RANK_PARTS = 32
+
+
+def _best(known: DataFrame, limit: int) -> DataFrame:
+    """The ``limit`` best phrases per language, in two steps: no task ranks more than ``RANK_PARTS * limit`` of them."""
+    order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
+    part = F.pmod(F.xxhash64("phrase"), F.lit(RANK_PARTS))
+    some = known.withColumn("part", part).withColumn(
+        "rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("rank") <= limit)
+    return some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(
+        F.col("rank") <= limit)
 
 
 def mine_collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", limit: int = LIMIT,
@@ -158,8 +193,7 @@ def mine_collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "
             break
         rank *= 4
 
-    w = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), F.col("phrase"))
-    top = known.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+    top = _best(known, limit)
     return top.join(sized_bytes(totals), "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a",
                                                         "l", "r", "n", "score")
 

@@ -19,6 +19,8 @@ from quarry.llm.textkit import Words, mix, utf8_rows
 
 #: Text bytes counted together in a task.
 CHUNK_BYTES = 4 << 20
+#: Partial counts handed over at once.
+OUTPUT_ROWS = 50_000
 #: Bounds of a filter's size in bits; between them it has 16 bits a key.
 LEAST_BITS, MOST_BITS = 1 << 16, 1 << 26
 
@@ -152,5 +154,7 @@ def count_chunks(df: DataFrame, text: int, count: Callable[[pa.Table], pa.Record
     """Apply ``count`` to every chunk of texts; it returns partial counts, summed up afterwards by the caller."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in text_chunks(batches, text):
-            yield count(chunk)
+            out = count(chunk)
+            for start in range(0, out.num_rows, OUTPUT_ROWS):
+                yield out.slice(start, OUTPUT_ROWS)
     return df.mapInArrow(run, schema)
