@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from quarry.llm.hosts import RULES as URL_RULES
-from quarry.llm.mixing import MAX_REPEATS, WEIGHTS
+from quarry.llm.mixing import BLOCK_ROWS, MAX_REPEATS, WEIGHTS
 from quarry.llm.quality import RULES
 
 
@@ -47,26 +47,38 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM base LEFT JOIN cuts ON base.stratum IS NOT DISTINCT FROM cuts.stratum"""
 
 
-def _mixing(seed: int = 5) -> str:
+def mixed_words(seed: int = 5) -> str:
+    """What the mix takes of every document. The output shards are draws that SQL does not repeat, so this is no oracle
+    of the whole query; tests compare it with the words of the drawn blocks."""
     weights = ", ".join(f"{float(w)!r}::DOUBLE" for w in WEIGHTS)
     return f"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ \\t-\\r]+'))::BIGINT AS size FROM documents),
-s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM d GROUP BY source),
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS body,
+                  len(regexp_extract_all(coalesce(text, ''), '[^ \\t-\\r]+'))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM d GROUP BY source),
 w AS (SELECT *, [{weights}][rank % {len(WEIGHTS)} + 1] AS weight, (source_size * {MAX_REPEATS})::DOUBLE AS cap FROM s),
 o AS (SELECT *, row_number() OVER (ORDER BY cap / weight, rank) AS pos FROM w),
 l AS (SELECT *, (sum(source_size::DOUBLE) OVER () - coalesce(sum(cap) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
       / sum(weight) OVER (ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM o),
 f AS (SELECT *, weight * level >= cap AS full_up FROM l),
 g AS (SELECT *, (SELECT level FROM f WHERE NOT full_up ORDER BY pos LIMIT 1) AS open_level FROM f),
-t AS (SELECT source, source_size, CASE WHEN full_up THEN cap ELSE weight * open_level END AS target FROM g),
+t AS (SELECT source, source_size, n, rank, CASE WHEN full_up THEN cap ELSE weight * open_level END AS target FROM g),
 q AS (SELECT *, least(floor(target / greatest(source_size, 1))::BIGINT, {MAX_REPEATS}) AS passes FROM t),
 r AS (SELECT *, target - passes * source_size AS rest FROM q),
-k AS (SELECT d.*, md5('{seed}|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || size) AS perm FROM d),
-u AS (SELECT source, perm, sum(size) AS words FROM k GROUP BY source, perm),
-c AS (SELECT u.*, sum(words) OVER (PARTITION BY u.source ORDER BY perm ROWS UNBOUNDED PRECEDING) AS upto FROM u)
-SELECT k.doc_id, k.size, r.source_size, r.target,
-       (k.size * (r.passes + CASE WHEN r.rest > 0 AND 2 * c.upto - c.words <= 2 * r.rest THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM k JOIN r ON k.source IS NOT DISTINCT FROM r.source JOIN c ON k.source IS NOT DISTINCT FROM c.source AND k.perm = c.perm"""
+k AS (SELECT d.*, r.*, ('0x' || perm[1:8])::BIGINT * n_blocks >> 32 AS block
+      FROM (SELECT *, md5('{seed}|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || size || '|' || md5(body)) AS perm FROM d) d
+      JOIN (SELECT * RENAME (source AS of), ceil(n / {float(BLOCK_ROWS)})::BIGINT AS n_blocks FROM r) r ON d.source IS NOT DISTINCT FROM r.of),
+b AS (SELECT rank, block, sum(size) AS words FROM k GROUP BY rank, block),
+f2 AS (SELECT *, coalesce(sum(words) OVER (PARTITION BY rank ORDER BY md5('{seed + 1}|' || rank || '|' || block)
+                                           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first FROM b),
+u AS (SELECT k.rank, k.block, k.perm, k.rest, any_value(f2.first) AS first, any_value(f2.words) AS words, any_value(k.size) AS z,
+             count(*) AS m FROM k JOIN f2 USING (rank, block) GROUP BY k.rank, k.block, k.perm, k.rest),
+c AS (SELECT *, first + coalesce(sum(z * m) OVER (PARTITION BY rank, block ORDER BY perm
+                                                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM u),
+e AS (SELECT *, CASE WHEN rest <= 0 OR first > rest THEN 0 WHEN first + words <= rest THEN m
+                     WHEN z = 0 THEN CASE WHEN before <= rest THEN m ELSE 0 END
+                     ELSE greatest(0, least(m, floor((rest - before) / z + 0.5))) END AS given FROM c),
+p AS (SELECT k.*, e.given, row_number() OVER (PARTITION BY k.rank, k.perm) AS place FROM k JOIN e USING (rank, block, perm))
+SELECT doc_id, size, source_size, target, (size * (passes + CASE WHEN place <= given THEN 1 ELSE 0 END))::BIGINT AS taken FROM p"""
 
 
 def _urls(max_bad: float = 0.5, z: float = 1.645) -> str:
@@ -174,7 +186,6 @@ SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN t
 
 ORACLE: dict[str, str] = {
     "op2_quality_rules": _quality(),
-    "op5_mixing": _mixing(),
     "op6_url_filters": _urls(),
     "op8_secret_scans": _secrets(),
     "op13_collocations": _collocations(),

@@ -44,7 +44,9 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("places")).alias("taken"),
+                      F.transform("places", lambda p: p["shard"]).alias("shards"),
+                      F.transform("places", lambda p: p["order"]).alias("orders"))
 
 
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Sharding, mixing, quality rules, secrets and URL filters on odd rows and against plain Python."""
 
+import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -9,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from checks.compare import TABLES
+from quarry.llm import mixing, oracles
 from quarry.llm.hosts import judge_urls
 from quarry.llm.hypergeometric import hypergeometric, splitting_tree
 from quarry.llm.mixing import mix
@@ -62,6 +64,56 @@ def test_mix_targets(spark, documents, odd_documents):
     assert len(mix(odd_documents).collect()) == odd_documents.count()
 
 
+def test_mix_splits_equal_rows(spark, documents):
+    """Equal rows without an id are given one by one, also when they fill most of a source."""
+    words = " ".join(["w"] * 39)
+    docs = documents([(None, words, "en", "a")] * 1500 + [(i, "x " * (i % 50 + 1), "en", "b") for i in range(400)]).repartition(5)
+    docs = docs.checkpoint()
+    for keep in (False, True):
+        rows = mix(docs, keep_row=keep).collect()
+        assert len(rows) == 1900
+        for source in "ab":
+            mine = [r for r in rows if r.source == source]
+            assert abs(sum(r.size * r.copies for r in mine) - mine[0].target) <= 50
+    assert len({r.copies for r in rows if r.source == "a"}) == 2
+    assert len({p.order for r in rows for p in r.places if r.doc_id is None}) > 1000
+
+
+@pytest.mark.parametrize("block", [mixing.BLOCK_ROWS, 16])
+def test_mix_takes_what_the_tree_draws(spark, monkeypatch, block):
+    """Draws of all shards are disjoint and as large as the tree says; their words equal an independent computation."""
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", block)
+    monkeypatch.setattr(oracles, "BLOCK_ROWS", block)
+    trees = []
+    grow = mixing.splitting_tree
+
+    def kept(root, leaves, seed):
+        out = grow(root, leaves, seed)
+        trees.append({r.leaf: r.counts for r in out.collect()})
+        return out
+    monkeypatch.setattr(mixing, "splitting_tree", kept)
+    docs = spark.read.parquet(f"{SF001}/documents.parquet")
+    rows = mix(docs).collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF001}/documents.parquet')")
+    want = Counter((i, s, round(t, 6), n) for i, s, _, t, n in con.execute(oracles.mixed_words()).fetchall())
+    assert Counter((r.doc_id, r.size, round(r.target, 6), r.size * len(r.places)) for r in rows) == want
+    ranks = {s: i for i, s in enumerate(sorted({r.source for r in rows}, key=lambda s: (s is None, s)))}
+    n = Counter(r.source for r in rows)
+    seen = defaultdict(set)
+    for d, r in zip(docs.collect(), rows):
+        assert d.doc_id == r.doc_id
+        key = hashlib.md5(f"5|{'' if d.doc_id is None else d.doc_id}|{r.size}|{hashlib.md5((d.text or '').encode()).hexdigest()}".encode())
+        place = int(key.hexdigest()[:8], 16) * -(-n[r.source] // block) >> 32
+        for p in r.places:
+            seen[ranks[r.source], place, p["pass"]].add(p.shard)
+    assert all(len(s) == 1 for s in seen.values())
+    drawn = Counter((s.copy().pop(), rank) for (rank, _, _), s in seen.items())
+    assert {(leaf, k): c for leaf, counts in trees[0].items() for k, c in enumerate(counts) if c} == drawn
+    sizes = [sum(c) for c in trees[0].values()]
+    assert max(sizes) - min(sizes) <= 1
+
+
 def test_binomial_cdf(spark):
     from math import comb
     rows = [(k, n) for n in (1, 7, 200) for k in (0, 1, 5, 30) if k <= n]
