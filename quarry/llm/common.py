@@ -33,12 +33,30 @@ def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def sized_bytes(df: DataFrame, limit: int = 32 << 20) -> DataFrame:
-    """Broadcast a stored table of at most ``limit`` bytes (strings counted in full); leave a larger one to a shuffle join."""
-    text = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema.fields if f.dataType.typeName() == "string"]
-    width = sum(text, F.lit(16 * len(df.columns))).cast("long")
+    """Broadcast a stored table of at most ``limit`` bytes (strings and lists counted in full); leave a larger one to a
+    shuffle join."""
+    width = F.lit(16 * len(df.columns)).cast("long")
+    for f in df.schema.fields:
+        kind = f.dataType.typeName()
+        if kind == "string":
+            width = width + F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0))
+        elif kind in ("array", "struct", "map"):
+            width = width + F.coalesce(F.octet_length(F.to_json(F.struct(f"`{f.name}`"))), F.lit(0))
     return F.broadcast(df) if (df.agg(F.sum(width)).first()[0] or 0) <= limit else df
 
 
+def plain_names(df: DataFrame) -> DataFrame:
+    """The same columns as ``c0, c1 ..``: names of the caller's cannot meet those an operator adds."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
+def plain_name(df: DataFrame, name: str) -> str:
+    """What ``plain_names`` calls the column ``name``."""
+    found = [i for i, c in enumerate(df.columns) if c == name] or [
+        i for i, c in enumerate(df.columns) if c.lower() == name.lower()]
+    return f"c{found[0]}"
+
+
 def words(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text; null gives none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_BREAK), lambda w: w != "")

@@ -89,7 +89,8 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str,
     posterior deviations) exceeds ``max_bad``. A host without outcomes uses its
     domain, suffix or overall prior. Null urls and urls without ``://`` have
     empty host and path and share the empty host's reputation. Without
-    outcomes nothing is blocked by the method. Other columns are ignored.
+    outcomes nothing is blocked by the method. Repeated pages are judged one by
+    one, an empty table gives no rows, other columns are ignored.
     """
     host, path = url_parts(F.col(url_col))
     parsed = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))

@@ -28,7 +28,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import block_pairs, connected_components, forest, sized, small_batches, solve_runs, stored
+from quarry.llm.common import (
+    block_pairs, connected_components, forest, plain_name, plain_names, sized, small_batches, solve_runs, stored,
+)
 from quarry.llm.textkit import list_column, shingle_sets, slices, utf8_rows, words_of
 
 #: Tokens in more than so many prefixes go to the end of the common order ...
@@ -337,6 +339,7 @@ def keep_one_per_group(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     stay, but those that repeat one id and text leave one.
     """
     found = stored(_labelled(docs, k, percent, id_col, text_col))
+    names, id_col, text_col, docs = docs.columns, plain_name(docs, id_col), plain_name(docs, text_col), plain_names(docs)
     # a row whose id occurs once is known by it; the others are told apart by their sets
     ids = found.groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("c"), F.bool_and("keep").alias("keep"))
     apart = stored(ids.where("c > 1 or not keep"))
@@ -344,7 +347,7 @@ def keep_one_per_group(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     same = F.col(id_col).eqNullSafe(F.col("_id"))
     rest = docs.join(sized(apart.select("_id"), WANTED_ROWS), same, "left_anti")
     if not again.count():
-        return rest
+        return rest.toDF(*names)
     kept = stored(found.where("keep and n > 0").join(sized(again, WANTED_ROWS), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
                   .select(F.col("doc_id").alias("_id"), F.col("d1").alias("_k1"), F.col("d2").alias("_k2"), F.lit(True).alias("_kept")).distinct())
     rows = _with_digests(docs.join(sized(again, WANTED_ROWS), same, "left_semi"), k, text_col)
@@ -353,4 +356,4 @@ def keep_one_per_group(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     once = (rows.where("_n = 0 or _kept").groupBy(
         F.col(id_col).alias("_i"), "_d1", "_d2", F.when(F.col("_n") == 0, text).alias("_t"))
         .agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.coalesce(text, F.lit(""))).alias("_row")).select("_row.*"))
-    return rest.unionByName(once)
+    return rest.unionByName(once).toDF(*names)

@@ -212,7 +212,11 @@ def encoding_digests(docs: DataFrame, model_file: str | None = None, id_col: str
 
 
 def token_ids(docs: DataFrame, model_file: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_tokens, ids``: the ids of ``encode_documents`` alone, for training files."""
+    """``doc_id, n_tokens, ids``: the ids of ``encode_documents`` alone, for training files.
+
+    Null and empty texts give empty lists, rows of equal id stay separate, an
+    empty table gives no rows, other columns are ignored.
+    """
     def emit(tool: PieceCodec, texts: list[str], done: list[Encoded]) -> list[pa.Array]:
         return [pa.array([len(e.ids) for e in done], pa.int64()), pa.array([e.ids for e in done], pa.list_(pa.int32()))]
     return _map_texts(docs, model_file or default_model(), id_col, text_col, "n_tokens bigint, ids array<int>", emit)

@@ -41,27 +41,20 @@ RULES = (
 def _repeated_words(w: Column) -> Column:
     """Words that lie in a 3-word window occurring twice or more.
 
-    Each window is one long: its hash above, its position below; sorting
-    brings equal windows together without strings.
+    Each window is its 64-bit hash and position; sorting brings equal windows
+    together without strings.
     """
     n = F.size(w)
-    bits = F.ceil(F.log2(F.greatest(n, F.lit(2)).cast("double") + 1)).cast("int")
-
-    def shift(name: str, x: Column) -> Column:
-        return F.call_function(name, x, bits)
-    packed = F.sort_array(F.transform(
-        F.sequence(F.lit(0), n - 3),
-        lambda i: shift("shiftleft", F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))).bitwiseOR(i.cast("bigint"))))
+    windows = F.sort_array(F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(
+        F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.cast("bigint").alias("i"))))
 
     def covered(p: Column) -> Column:
-        twice = F.filter(p, lambda x, i: (shift("shiftright", x) == shift("shiftright", F.get(p, i - 1)))
-                         | (shift("shiftright", x) == shift("shiftright", F.get(p, i + 1))))
-        mask = shift("shiftleft", F.lit(1).cast("bigint")) - 1
-        at = F.sort_array(F.transform(twice, lambda x: x.bitwiseAND(mask)))
+        twice = F.filter(p, lambda x, j: (x["h"] == F.get(p, j - 1)["h"]) | (x["h"] == F.get(p, j + 1)["h"]))
+        at = F.sort_array(F.transform(twice, lambda x: x["i"]))
         zero = F.lit(0).cast("bigint")
         return F.aggregate(at, F.struct(zero.alias("sum"), zero.alias("end")), lambda s, i: F.struct(
             (s["sum"] + i + 3 - F.greatest(s["end"], i)).alias("sum"), (i + 3).alias("end")))["sum"]
-    return F.when(n < 4, F.lit(0).cast("bigint")).otherwise(let(packed, covered))
+    return F.when(n < 4, F.lit(0).cast("bigint")).otherwise(let(windows, covered))
 
 
 def base_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import let, sized, stored
+from quarry.llm.common import let, plain_name, plain_names, sized_bytes, stored
 
 ASSIGN = "(?i)(password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 ACCESS = "AKIA[A-Z0-9]{12,}"
@@ -112,16 +112,21 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     lists = stored(spread.groupBy("doc_id", "text_md5").agg(F.sort_array(F.collect_list("s")).alias("live")))
     lists = lists.select(F.col("doc_id").alias("_id"), F.col("text_md5").alias("_md5"), "live")
     return (found.select("doc_id", "text_md5", "base")
-            .join(sized(lists, 100_000), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_md5") == F.col("_md5")), "left")
+            .join(sized_bytes(lists), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_md5") == F.col("_md5")), "left")
             .select("doc_id", "text_md5", "base", F.coalesce("live", _none()).alias("live")))
 
 
 def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with every span that ``find_secrets`` reports replaced by ``[SECRET]``; all rows and columns stay."""
+    """``docs`` with every span that ``find_secrets`` reports replaced by ``[SECRET]``; all rows and columns stay.
+
+    Null and empty texts stay as they are, rows of equal id and text change
+    alike, an empty table gives no rows; columns may have any names.
+    """
     found = find_secrets(docs, id_col, text_col, **options)
+    spans = F.transform(F.sort_array(F.concat("base", "live")), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
     hit = stored(found.where((F.size("base") > 0) | (F.size("live") > 0))
-                 .select(F.col("doc_id").alias("_id"), F.col("text_md5").alias("_md5"),
-                         F.sort_array(F.concat("base", "live")).alias("_spans")).distinct())
+                 .select(F.col("doc_id").alias("_id"), F.col("text_md5").alias("_md5"), spans.alias("_spans")).distinct())
+    names, id_col, text_col, docs = docs.columns, plain_name(docs, id_col), plain_name(docs, text_col), plain_names(docs)
     text = F.col(text_col)
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at"))
 
@@ -132,6 +137,6 @@ def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     clean = F.aggregate("_spans", start, step, lambda s: F.concat(
         s["out"], text.substr((s["at"] + 1).cast("int"), F.length(text))))
     same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.md5(F.coalesce(text, F.lit("")).cast("binary")) == F.col("_md5"))
-    return docs.join(sized(hit, 100_000), same, "left").select(
-        *[F.when(F.col("_spans").isNull(), text).otherwise(clean).alias(text_col) if c == text_col else F.col(f"`{c}`")
-          for c in docs.columns])
+    return docs.join(sized_bytes(hit), same, "left").select(
+        *[F.when(F.col("_spans").isNull(), text).otherwise(clean).alias(c) if c == text_col else F.col(c)
+          for c in docs.columns]).toDF(*names)

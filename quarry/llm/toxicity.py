@@ -153,8 +153,9 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     by a hash of the id, only from ids whose crc32 modulo ``folds`` is not 0.
     An id that repeats counts once, by its text of smallest hash.
     The class prior is the share of toxic among all labelled training rows.
-    The sample is gathered in one task. Without positives the model gives every
-    text the prior.
+    The sample is gathered in one task. Null ids and null labels teach nothing,
+    a null text counts as empty. Without positives, or from an empty table, the
+    model gives every text the same score, near 0.
     """
     def learnable(c: str):
         return F.crc32(F.col(c).cast("string").cast("binary")) % folds != 0
@@ -200,7 +201,11 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
-    """Rows of ``docs`` whose score is below ``threshold``, all columns unchanged."""
+    """Rows of ``docs`` whose score is below ``threshold``, all columns unchanged, whatever their names.
+
+    Null and empty texts have the score of a text without features; repeated
+    rows are judged one by one; an empty table gives no rows.
+    """
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,6 +1,7 @@
 """Sharding, mixing, quality rules, secrets and URL filters on odd rows and against plain Python."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -13,13 +14,17 @@ from checks.compare import TABLES
 from quarry.llm import mixing, oracles
 from quarry.llm.hosts import judge_urls
 from quarry.llm.hypergeometric import hypergeometric, splitting_tree
+from quarry.llm.lattice import score_documents
 from quarry.llm.mixing import mix
+from quarry.llm.ngram_join import keep_one_per_group
+from quarry.llm.pieces import token_ids
 from quarry.llm.common import connected_components, unit_random
 from quarry.llm.oracles import ORACLE
 from quarry.llm.quality import binomial_cdf, quality_verdicts
 from quarry.llm.queries import QUERIES
 from quarry.llm.secret_scan import find_secrets, joined_spans, redact_secrets
 from quarry.llm.sharding import shard_rows
+from quarry.llm.toxicity import drop_toxic, train_toxicity
 
 SF001 = "/root/testdata/sf0.001"
 
@@ -178,6 +183,34 @@ def test_empty_tables(spark, documents):
     assert redact_secrets(none).count() == 0
 
 
+NAMES = ("_id", "_md5", "_spans", "_n", "_d1", "_d2", "_kept", "_k1", "_k2", "_i", "_t", "_row", "_source", "_stratum",
+         "perm", "block", "rank", "size", "at", "c0", "value", "hash", "component_id", "n")
+
+
+def test_clashing_names(spark, odd_documents):
+    """Columns named like those the operators add, in every stage and operator of documents."""
+    docs = odd_documents.withColumns({c: F.lit("x") for c in NAMES})
+    labels = spark.createDataFrame([(1, 1, 1), (5, 0, 0)], "doc_id long, quality int, toxic int")
+    n = docs.count()
+    clean = redact_secrets(docs)
+    assert clean.columns == docs.columns and clean.count() == n
+    one = keep_one_per_group(docs)
+    assert one.columns == docs.columns and one.count() == keep_one_per_group(odd_documents).count()
+    kept = drop_toxic(docs, train_toxicity(docs, labels))
+    assert kept.columns == docs.columns
+    assert mix(docs, keep_row=True).select("row.*").columns == docs.columns and mix(docs).count() == n
+    assert quality_verdicts(docs, labels).count() == n and shard_rows(docs).count() == n
+    assert find_secrets(docs).count() == n and token_ids(docs).count() == n and score_documents(docs).count() == n
+
+
+def test_repeated_windows_of_a_long_text(spark, documents):
+    rng = random.Random(8)
+    text = " ".join(str(rng.randrange(10 ** 6)) for _ in range(120_000))
+    text += " " + " ".join(text.split()[:50])
+    r = quality_verdicts(documents([(1, text, "en", "a")]), spark.createDataFrame([], "doc_id long, quality int")).first()
+    assert r.n_repeat_words == _base(text)[4]
+
+
 @pytest.mark.parametrize("key", list(ORACLE))
 def test_oracle(spark, key):
     con = duckdb.connect()
