@@ -2,7 +2,9 @@
 
 Each stage is ``(name, function)``; a function takes ``(spark, docs, sf_dir)``
 and returns the rows it keeps. Between stages the rows are written as Parquet
-to the shared folder and read again.
+to the shared folder and read again. All stages take null ids and texts, empty
+texts, repeated rows and empty tables (which give empty tables), and pass on
+columns of any names unchanged, but for the last stage.
 """
 
 from __future__ import annotations
