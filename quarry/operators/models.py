@@ -64,6 +64,9 @@ PROFILES = {
     "fast": {"trees": 20, "depth": 8, "boost_iter": 20, "ada_rounds": 10, "lr_iter": 100, "rff": 100},
 }
 
+#: Rows a task of a training job gets at most; small tables train in few tasks.
+ROWS_PER_TASK = 20_000
+
 FEATURES, LABEL_IDX, RAW_PRED, PRED_LABEL = "features", "label_idx", "prediction", "predicted_label"
 
 
@@ -219,7 +222,7 @@ class TrainingStore:
     ``train`` and ``test`` hold the assembled features of the training and test
     rows (preprocessor fitted on all training rows); ``folds(k)`` those of the
     training rows once per fold, with a preprocessor fitted on the other folds.
-    All are stored in the shared folder.
+    All are stored in the shared folder, in as many parts as their rows ask for.
     """
 
     def __init__(self, prep: PreparedData, problem_type: str, class_weight: bool = False):
@@ -232,35 +235,33 @@ class TrainingStore:
             F.col(LABEL_IDX).isNotNull() if self.classifier else q(self.target).isNotNull())
         if class_weight and self.classifier:
             raw = balanced_class_weights(raw, self.target)
-        self.raw = raw.checkpoint(eager=True)
+        self.n = raw.count()
+        self.parts = max(1, math.ceil(self.n / ROWS_PER_TASK))
+        self.raw = raw.coalesce(self.parts).checkpoint(eager=True)
         self.preprocessor = prep.preprocessor.fit(self.raw)
         self.train = self.preprocessor.transform(self.raw).checkpoint(eager=True)
-        self.test = self.preprocessor.transform(
-            _label_prep(prep.test, problem_type, self.target, indexer)).checkpoint(eager=True)
+        self.test = self.preprocessor.transform(_label_prep(prep.test, problem_type, self.target, indexer)).coalesce(
+            self.parts).checkpoint(eager=True)
         self.label = LABEL_IDX if self.classifier else "label_value"
         self.n_features = len((self.train.select(FEATURES).first() or {FEATURES: []})[FEATURES])
-        self._folds: dict[int, DataFrame | None] = {}
+        self._folds: dict[int, list[DataFrame]] = {}
 
-    def folds(self, k: int) -> DataFrame | None:
-        """``store`` (fold number), ``held``, features, label and weight; None below two rows."""
+    def folds(self, k: int) -> list[DataFrame]:
+        """Per fold ``store`` (its number), ``held``, features, label and weight; none below two rows."""
         if k not in self._folds:
-            n = min(k, self.raw.count())
+            n = min(k, self.n)
             if n < 2:
-                self._folds[k] = None
-                return None
-            data = fold_column(self.raw, self.prep.key, n, stratify=self.target if self.classifier else None).checkpoint(eager=True)
+                return []
+            data = fold_column(self.raw, self.prep.key, n, stratify=self.target if self.classifier else None).coalesce(
+                self.parts).checkpoint(eager=True)
 
             def one(i: int) -> DataFrame:
                 pre = self.prep.preprocessor.fit(data.where(F.col("_fold") != i))
                 weight = [F.col("class_weight")] if "class_weight" in data.columns else []
                 return pre.transform(data).select(F.lit(i).alias("store"), (F.col("_fold") == i).alias("held"), FEATURES,
-                                                  F.col(self.label).cast("double").alias(self.label), *weight)
+                                                  F.col(self.label).cast("double").alias(self.label), *weight).checkpoint(eager=True)
             with ThreadPoolExecutor(max_workers=n) as pool:
-                parts = list(pool.map(one, range(n)))
-            every = parts[0]
-            for part in parts[1:]:
-                every = every.unionByName(part)
-            self._folds[k] = every.checkpoint(eager=True)
+                self._folds[k] = list(pool.map(one, range(n)))
         return self._folds[k]
 
     def scores(self, predicted: DataFrame) -> dict[int, float]:
@@ -271,8 +272,9 @@ class TrainingStore:
         rows = predicted.groupBy("store").agg(score.alias("score")).orderBy("store").collect()
         return {r["store"]: r["score"] for r in rows if r["score"] is not None}
 
-    def tree_rows(self, folds: DataFrame) -> DataFrame:
-        """The fold store as rows of the forest engine, features padded to one length."""
+    def tree_rows(self, folds: Sequence[DataFrame]) -> DataFrame:
+        """The folds as rows of the forest engine, features padded to one length."""
+        folds = _together(folds)
         x = _features_array(folds, FEATURES)
         long = folds.agg(F.max(F.size(x))).first()[0] or 0
         x = F.concat(x, F.array_repeat(F.lit(0.0), F.lit(long) - F.size(x)))
@@ -294,42 +296,45 @@ def _summary(scores: Sequence[float]) -> dict:
 def cross_validate(store: TrainingStore, cand: Candidate, settings: Sequence[dict] = ({},), k: int = CV_FOLDS) -> list[dict]:
     """k-fold CV of every setting: mean and population std of accuracy (fraction) or r2; None below 2 rows."""
     folds = store.folds(k)
-    if folds is None:
+    if not folds:
         return [{"mean": None, "std": None} for _ in settings]
-    n = min(k, store.raw.count())
     stages = []
     for params in settings:
         stages.append(cand.stages(store.train))
         _set_params(stages[-1][-1], params)
     kinds = {type(s[-1]) for s in stages}
     if all(issubclass(c, ForestEstimator) for c in kinds):
-        scores = _tree_scores(store, folds, n, [s[-1] for s in stages])
+        scores = _tree_scores(store, folds, [s[-1] for s in stages])
     elif kinds == {AdaBoostClassifier}:
-        scores = [_stump_scores(store, folds, n, s[-1]) for s in stages]
+        scores = [_stump_scores(store, folds, s[-1]) for s in stages]
     else:
-        scores = [_fit_scores(store, folds, n, cand, params) for params in settings]
+        scores = [_fit_scores(store, folds, cand, params) for params in settings]
     return [_summary(s) for s in scores]
 
 
-def _fit_scores(store: TrainingStore, folds: DataFrame, n: int, cand: Candidate, params: dict) -> list[float]:
+def _together(parts: Sequence[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _fit_scores(store: TrainingStore, folds: Sequence[DataFrame], cand: Candidate, params: dict) -> list[float]:
     """One fit per fold, several at a time."""
-    def one(i: int) -> DataFrame:
-        train = folds.where((F.col("store") == i) & ~F.col("held"))
+    def one(fold: DataFrame) -> DataFrame:
+        train = fold.where(~F.col("held"))
         stages = cand.stages(train)
         _set_params(stages[-1], params)
         model = Pipeline(stages=stages).fit(train)
-        return model.transform(folds.where((F.col("store") == i) & F.col("held"))).select(
+        return model.transform(fold.where("held")).select(
             "store", F.col(store.label).alias("y"), F.col(RAW_PRED).alias("prediction"))
-    with ThreadPoolExecutor(max_workers=n) as pool:
-        parts = list(pool.map(one, range(n)))
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
-    return list(store.scores(every).values())
+    with ThreadPoolExecutor(max_workers=len(folds)) as pool:
+        return list(store.scores(_together(list(pool.map(one, folds)))).values())
 
 
-def _tree_scores(store: TrainingStore, folds: DataFrame, n: int, stages: Sequence[ForestEstimator]) -> list[list[float]]:
+def _tree_scores(store: TrainingStore, folds: Sequence[DataFrame], stages: Sequence[ForestEstimator]) -> list[list[float]]:
     """All folds of all settings grow together."""
+    n = len(folds)
     rows = store.tree_rows(folds)
     seen = rows.agg(F.max("y").alias("k"), F.avg("y").alias("mean"), F.max(F.size("x")).alias("p")).first()
     classes = int(seen["k"]) + 1 if store.classifier else 0
@@ -342,17 +347,14 @@ def _tree_scores(store: TrainingStore, folds: DataFrame, n: int, stages: Sequenc
     return [[per[j * n + i] for i in range(n) if j * n + i in per] for j in range(len(stages))]
 
 
-def _stump_scores(store: TrainingStore, folds: DataFrame, n: int, stage: AdaBoostClassifier) -> list[float]:
+def _stump_scores(store: TrainingStore, folds: Sequence[DataFrame], stage: AdaBoostClassifier) -> list[float]:
+    """All folds are boosted together."""
     rows = store.tree_rows(folds)
     classes = {r["store"]: int(r["k"]) + 1 for r in rows.where("not held").groupBy("store").agg(F.max("y").alias("k")).collect()}
     fitted = boost(rows, classes, stage.getOrDefault(stage.numRounds))
-    parts = None
-    for i, (stumps, alphas) in sorted(fitted.items()):
-        model = stage.fitted(stumps, alphas, classes[i])
-        out = model.transform(folds.where((F.col("store") == i) & F.col("held"))).select(
-            "store", F.col(store.label).alias("y"), F.col(RAW_PRED).alias("prediction"))
-        parts = out if parts is None else parts.unionByName(out)
-    return list(store.scores(parts).values())
+    parts = [stage.fitted(*fitted[i], classes[i]).transform(folds[i].where("held")).select(
+        "store", F.col(store.label).alias("y"), F.col(RAW_PRED).alias("prediction")) for i in sorted(fitted)]
+    return list(store.scores(_together(parts)).values())
 
 
 def random_search(store: TrainingStore, cand: Candidate, n_iter: int = 10, folds: int = 3, seed: int = SEED) -> dict:
