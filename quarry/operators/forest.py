@@ -47,6 +47,8 @@ from quarry.session import checkpoint_root, scratch_dir, ship_package
 HANDOFF = 100_000
 #: Bytes of rows, or of a packed forest, that may be sent to every task.
 BROADCAST_BYTES = 64 << 20
+#: Rows of the trees that grow side by side in one task.
+TOGETHER_ROWS = 60_000
 #: A feature with more distinct values is rounded to this many quantiles.
 MAX_CODES, CODES = 65_536, 4_096
 #: Large nodes worked on (and known to the driver) at once; more trees wait for the next wave.
@@ -213,12 +215,17 @@ def _best_splits(g: Grower, x: np.ndarray, stats: np.ndarray, orders: list[np.nd
     return best_f, best_cut, best
 
 
-def grow(g: Grower, job: int, t: int, x: np.ndarray, stats: np.ndarray, key: int, depth: int) -> pa.RecordBatch:
-    """The whole subtree below node ``key``, level by level over all its nodes at once."""
-    rows, keys = np.arange(len(x)), np.array([key], np.int64)
-    node = np.zeros(len(x), np.int64)  # of ``rows``, ascending
+def grow(g: Grower, job: int, trees: Sequence[int], keys: Sequence[int], x: np.ndarray, stats: np.ndarray,
+         root: np.ndarray, depth: int) -> pa.RecordBatch:
+    """The whole subtrees below the nodes ``keys`` (one per tree), level by level over all their nodes at once.
+
+    Rows lie side by side by ``root``, the place of their node in ``keys``.
+    """
+    rows, roots, keys, trees = np.arange(len(x)), np.array(keys, np.int64), np.array(keys, np.int64), np.array(trees)
+    node = root.astype(np.int64)  # of ``rows``, ascending
+    of = np.arange(len(keys))  # the subtree of every node
     # every feature's rows by node and value: sorted once, then only dealt out to the children
-    orders = [] if g.kind == "extra" else [np.argsort(x[:, f], kind="stable") for f in range(x.shape[1])]
+    orders = [] if g.kind == "extra" else [np.lexsort((x[:, f], root)) for f in range(x.shape[1])]
     out: list[tuple] = []
     while len(keys):
         total = _sums(stats, rows, node, len(keys))
@@ -244,7 +251,7 @@ def grow(g: Grower, job: int, t: int, x: np.ndarray, stats: np.ndarray, key: int
         split = np.isfinite(share)
         left, right = g.children(keys)
         gain = np.where(split, g.loss(total) * (1 - np.where(split, share, 1.0)), 0.0)
-        out.append((keys, np.full(len(keys), depth), np.where(split, f, -1), cut, np.where(split, left, 0),
+        out.append((trees[of], roots[of], keys, np.full(len(keys), depth), np.where(split, f, -1), cut, np.where(split, left, 0),
                     np.where(split, right, 0), gain, total))
         place = np.cumsum(split) - 1
         live = split[node]
@@ -256,8 +263,9 @@ def grow(g: Grower, job: int, t: int, x: np.ndarray, stats: np.ndarray, key: int
         order = np.argsort(node, kind="stable")
         rows, node = rows[order], node[order]
         keys = np.stack([left[split], right[split]], axis=1).reshape(-1)
+        of = np.repeat(of[split], 2)
         depth += 1
-    return _node_batch(job, t, key, [np.concatenate(c) for c in zip(*out)])
+    return _node_batch(job, [np.concatenate(c) for c in zip(*out)])
 
 
 def _dealt(order: np.ndarray, to: np.ndarray) -> np.ndarray:
@@ -280,13 +288,13 @@ def _dealt(order: np.ndarray, to: np.ndarray) -> np.ndarray:
     return out
 
 
-def _node_batch(job: int, t: int, sub: int, columns: Sequence[np.ndarray]) -> pa.RecordBatch:
-    key, depth, f, cut, lo, hi, gain, total = columns
+def _node_batch(job: int, columns: Sequence[np.ndarray]) -> pa.RecordBatch:
+    t, sub, key, depth, f, cut, lo, hi, gain, total = columns
     n = len(key)
     stats = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * total.shape[1]),
                                      pa.array(total.reshape(-1).astype(float)))
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(n, job, np.int32)), pa.array(np.full(n, t, np.int32)), pa.array(np.full(n, sub, np.int64)),
+        [pa.array(np.full(n, job, np.int32)), pa.array(t.astype(np.int32)), pa.array(sub.astype(np.int64)),
          pa.array(key), pa.array(depth.astype(np.int32)), pa.array(f.astype(np.int32)), pa.array(cut.astype(float)),
          pa.array(lo), pa.array(hi), pa.array(gain.astype(float)), stats],
         names=["job", "t", "sub", "node", "depth", "f", "cut", "lo", "hi", "gain", "stats"])
@@ -362,22 +370,30 @@ def _grow_from_broadcast(rows: DataFrame, growers: Sequence[Grower]) -> DataFram
     held, store = table["held"].to_numpy(), table["store"].to_numpy()
     shared = spark.sparkContext.broadcast(
         (table["rid"].to_numpy(), store, held, _matrix(table["x"]), table["y"].to_numpy(), table["w"].to_numpy()))
-    work = [(job, t) for job, g in enumerate(growers) for t in range(g.trees)]
     growers = list(growers)
+    parallel = max(spark.sparkContext.defaultParallelism, 1)
+    # trees of one setting grow side by side: enough of them to be worth a step, few enough to spread the work
+    side = max(1, min(TOGETHER_ROWS // max(table.num_rows, 1), math.ceil(sum(g.trees for g in growers) / (2 * parallel))))
+    work = [(job, range(t, min(t + side, g.trees))) for job, g in enumerate(growers) for t in range(0, g.trees, side)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rid, store, held, x, y, w = shared.value
+        rid, store, held, x, y, weight = shared.value
         for batch in batches:
             for i in batch.column(0).to_pylist():
-                job, t = work[i]
+                job, trees = work[i]
                 g = growers[job]
                 mine = np.flatnonzero((store == g.store) & ~held)
-                bag = g.bag(t, rid[mine])
-                mine, bag = mine[bag > 0], bag[bag > 0]
-                if len(mine):
-                    yield grow(g, job, t, x[mine], g.stats(y[mine], w[mine] * bag), g.root(t), 0)
-
-    pieces = min(len(work), 4 * max(spark.sparkContext.defaultParallelism, 1))
+                if not len(mine):
+                    continue
+                bags = [g.bag(t, rid[mine]) for t in trees]
+                drawn = [(t, bag) for t, bag in zip(trees, bags) if bag.any()]
+                at = np.concatenate([mine[bag > 0] for _, bag in drawn])
+                w = weight[at] * np.concatenate([bag[bag > 0] for _, bag in drawn])
+                root = np.repeat(np.arange(len(drawn)), [int((bag > 0).sum()) for _, bag in drawn])
+                ts = [t for t, _ in drawn]
+                yield grow(g, job, ts, [g.root(t) for t in ts], x[at], g.stats(y[at], w), root, 0)
+
+    pieces = min(len(work), 4 * parallel)
     order = spark.range(0, len(work), 1, max(pieces, 1))
     return order.mapInArrow(run, NODES).checkpoint(eager=True)
 
@@ -454,7 +470,8 @@ def _grow_by_levels(rows: DataFrame, g: Grower, job: int, trees: range, handoff:
         table = table.sort_by("rid")
         rid, w = table["rid"].to_numpy(), table["w"].to_numpy()
         s = g.stats(table["y"].to_numpy(), w * g.bag(t, rid))
-        return pa.Table.from_batches([grow(g, job, t, _matrix(table["x"]), s, key, table["depth"][0].as_py())])
+        return pa.Table.from_batches([grow(g, job, [t], [key], _matrix(table["x"]), s, np.zeros(len(rid), np.int64),
+                                           table["depth"][0].as_py())])
 
     return top.unionByName(grouped.applyInArrow(finish, NODES)).checkpoint(eager=True)
 
@@ -512,7 +529,7 @@ def _choose(g: Grower, job: int, t: int, key: int, depth: int, table: pa.Table,
     split = np.isfinite(best)
     lo, hi = (int(k[0]) if split else 0 for k in g.children(keys))
     gain = float(g.loss(total) * (1 - best)) if split else 0.0
-    one = _node_batch(job, t, 0, [keys, np.array([depth]), np.array([best_f]), np.array([best_cut]), np.array([lo]),
+    one = _node_batch(job, [np.array([t]), np.array([0]), keys, np.array([depth]), np.array([best_f]), np.array([best_cut]), np.array([lo]),
                                   np.array([hi]), np.array([gain]), total[None, :]])
     return pa.Table.from_batches([one]).append_column("n_lo", pa.array([float(best_left[-1])])).append_column(
         "n_hi", pa.array([float(total[-1] - best_left[-1])]))

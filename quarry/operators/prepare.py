@@ -185,31 +185,17 @@ def convert_datetime_features(df: DataFrame) -> tuple[DataFrame, list[str]]:
     return out, conv
 
 
-def detect_id_columns(df: DataFrame, approx_screen: bool = True) -> list[str]:
-    """Exact lower name in the hint set, or distinct/rows >= 0.98 for any type.
-
-    ``approx_count_distinct`` (one agg) screens columns far below the
-    threshold; exact distinct counts run only for the rest, in one VF pass.
-    """
+def detect_id_columns(df: DataFrame) -> list[str]:
+    """Exact lower name in the hint set, or distinct/rows >= 0.98 for any type, by exact counts in one VF pass."""
     from quarry.functions.frames import value_counts
 
     named = [c for c in df.columns if c.lower() in ID_HINTS]
     rest = [c for c in df.columns if c not in named]
-    if not rest:
-        return named
-    row = df.agg(F.count(F.lit(1)).alias("_n"), *[F.approx_count_distinct(q(c), 0.02).alias(f"a{i}")
-                                                  for i, c in enumerate(rest)]).first()
-    n = row["_n"] or 0
+    n = df.count() if rest else 0
     if n == 0:
         return named
-    # relative error 2% (~3 sigma below 6%): keep anything that could reach the threshold
-    near = [c for i, c in enumerate(rest) if row[f"a{i}"] >= n * ID_UNIQUE_RATIO * 0.9] if approx_screen else rest
-    hits = []
-    if near:
-        vf = value_counts(df, near)
-        counts = {r["column"]: r["n"] for r in vf.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
-        hits = [c for c in near if counts.get(c, 0) / n >= ID_UNIQUE_RATIO]
-    return [c for c in df.columns if c in named or c in hits]
+    counts = {r["column"]: r["n"] for r in value_counts(df, rest).groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return [c for c in df.columns if c in named or counts.get(c, 0) / n >= ID_UNIQUE_RATIO]
 
 
 def class_imbalance(df: DataFrame, target: str) -> DataFrame:
