@@ -320,12 +320,13 @@ def _knn(spark, sf):
 
 
 def _ols(spark, sf):
+    from pyspark.ml import Pipeline
     from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
 
-    li = table(spark, sf, "lineitem")
-    vec = VectorAssembler(inputCols=["l_quantity"], outputCol="features").transform(li)
-    m = LinearRegression(featuresCol="features", labelCol="l_extendedprice", regParam=0.0, solver="normal").fit(vec)
+    li = table(spark, sf, "lineitem").withColumn("label_value", F.col("l_extendedprice").cast("double"))
+    vec = VectorAssembler(inputCols=["l_quantity"], outputCol=md.FEATURES).transform(li)
+    stages = md.candidate_models("regression")["Linear Regression"].stages(vec)
+    m = Pipeline(stages=stages).fit(vec).stages[-1]
     return spark.createDataFrame([(round(float(m.coefficients[0]), 6), round(float(m.intercept), 6))],
                                  "slope double, intercept double")
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import datetime as _dt
 import json
+import uuid
 from collections.abc import Mapping
 
 from pyspark.errors import AnalysisException
@@ -149,8 +150,9 @@ def leaderboard_upsert(spark: SparkSession, path: str, row: DataFrame) -> DataFr
     current = leaderboard_load(spark, path)
     kept = current.join(row.select("run_name"), "run_name", "left_anti")
     board = kept.unionByName(row, allowMissingColumns=True)
-    tmp = f"{path.rstrip('/')}.next"
-    board.write.mode("overwrite").parquet(tmp)
+    # a name of its own: a second writer never deletes this one's work
+    tmp = f"{path.rstrip('/')}.next-{uuid.uuid4().hex[:12]}"
+    board.write.parquet(tmp)
     _switch(spark, tmp, path)
     return spark.read.parquet(path)
 
