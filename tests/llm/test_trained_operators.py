@@ -1,5 +1,6 @@
 """Near duplicates, lattice scores, pieces, toxicity and the pipeline against brute force."""
 
+import hashlib
 import itertools
 import math
 import random
@@ -15,7 +16,7 @@ import corpus_pipeline
 from quarry.llm import ngram_join
 from quarry.llm.lattice import Lattice, score_documents
 from quarry.llm.near_embeddings import band_plan, near_duplicates
-from quarry.llm.pieces import CharacterMap, codec, default_model, encode_documents, normalise
+from quarry.llm.pieces import CharacterMap, codec, default_model, encode_documents, encoding_digests, normalise
 from quarry.llm.toxicity import _sample_texts, drop_toxic, nnpu_fit, score_toxicity, train_toxicity
 
 SF001 = "/root/testdata/sf0.001"
@@ -170,6 +171,50 @@ def test_pieces(spark, odd_documents):
         assert e.end[-1] == len(text.encode())
 
 
+def test_encoding_digests(spark, odd_documents):
+    """The registered digests against the library alone."""
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=default_model())
+
+    def want(i, text):
+        ids = library.encode(text or "")
+        return (i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(),
+                hashlib.sha256(library.decode(ids).encode()).hexdigest())
+    got = Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in encoding_digests(odd_documents).collect())
+    assert got == Counter(want(r.doc_id, r.text) for r in odd_documents.collect())
+    assert encoding_digests(odd_documents.limit(0)).count() == 0
+
+
+def test_positive_unlabelled_risk():
+    """The fitted weights against an independent risk: far below the start, and at a minimum among allowed moves."""
+    rnd = np.random.default_rng(5)
+    prior = 0.2
+
+    def doc(toxic):
+        marks = rnd.integers(0, 12, 3 if toxic else int(rnd.random() < 0.05))
+        return np.unique(np.concatenate([rnd.integers(100, 400, 12), marks])).astype(np.uint64)
+    positive = [doc(True) for _ in range(150)]
+    unlabelled = [doc(rnd.random() < prior) for _ in range(400)]
+    model = nnpu_fit(positive, unlabelled, prior, steps=4_000, rate=0.02)
+
+    def risk(weights, bias):
+        def losses(sets, sign):
+            known = dict(zip(model.features.tolist(), weights))
+            return sum(math.log1p(math.exp(-sign * (bias + sum(known.get(int(f), 0.0) for f in s)))) for s in sets) / len(sets)
+        negative = losses(unlabelled, -1) - prior * losses(positive, -1)
+        return prior * losses(positive, 1) + max(negative, 0.0) + 0.5e-4 * sum(w * w for w in weights)
+    at = risk(model.weights, model.bias)
+    assert set(model.features.tolist()) <= set(range(12)) and len(model.features) > 6
+    assert at < 0.7 * risk(np.zeros(len(model.weights)), math.log(prior / (1 - prior)))
+    for step in (0.3, -0.3):
+        assert risk(model.weights, model.bias + step) > at - 2e-3
+        for j in range(len(model.weights)):
+            moved = model.weights.copy()
+            moved[j] = max(moved[j] + step, 0.0)
+            assert risk(moved, model.bias) > at - 2e-3
+
+
 def test_character_map():
     """A hand-made trie: 'ab' -> 'X', 'a' -> 'YZ'."""
     units = [0] * 1024
