@@ -349,10 +349,9 @@ def grow_forests(rows: DataFrame, growers: Sequence[Grower], handoff: int = HAND
 
     ``rows`` is a stored table of shape ``ROWS``. An empty store gives no nodes.
     """
-    ship_package(rows.sparkSession)
-    size = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("x")).alias("p")).first()
-    if size["n"] <= handoff and size["n"] * ((size["p"] or 0) + 5) * 8 <= BROADCAST_BYTES:
-        return _grow_from_broadcast(rows, growers)
+    if _fits(rows, handoff):
+        work = _SharedWork(rows, growers)
+        return work.run(lambda job, nodes, held: nodes, NODES).checkpoint(eager=True)
     parts = None
     for job, g in enumerate(growers):
         mine = rows.where((F.col("store") == g.store) & ~F.col("held")).select("rid", "x", "y", "w")
@@ -364,38 +363,79 @@ def grow_forests(rows: DataFrame, growers: Sequence[Grower], handoff: int = HAND
     return parts
 
 
-def _grow_from_broadcast(rows: DataFrame, growers: Sequence[Grower]) -> DataFrame:
-    spark = rows.sparkSession
-    table = rows.orderBy("store", "rid").toArrow()
-    held, store = table["held"].to_numpy(), table["store"].to_numpy()
-    shared = spark.sparkContext.broadcast(
-        (table["rid"].to_numpy(), store, held, _matrix(table["x"]), table["y"].to_numpy(), table["w"].to_numpy()))
-    growers = list(growers)
-    parallel = max(spark.sparkContext.defaultParallelism, 1)
-    # trees of one setting grow side by side: enough of them to be worth a step, few enough to spread the work
-    side = max(1, min(TOGETHER_ROWS // max(table.num_rows, 1), math.ceil(sum(g.trees for g in growers) / (2 * parallel))))
-    work = [(job, range(t, min(t + side, g.trees))) for job, g in enumerate(growers) for t in range(0, g.trees, side)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rid, store, held, x, y, weight = shared.value
-        for batch in batches:
-            for i in batch.column(0).to_pylist():
-                job, trees = work[i]
-                g = growers[job]
-                mine = np.flatnonzero((store == g.store) & ~held)
-                if not len(mine):
-                    continue
-                bags = [g.bag(t, rid[mine]) for t in trees]
-                drawn = [(t, bag) for t, bag in zip(trees, bags) if bag.any()]
-                at = np.concatenate([mine[bag > 0] for _, bag in drawn])
-                w = weight[at] * np.concatenate([bag[bag > 0] for _, bag in drawn])
-                root = np.repeat(np.arange(len(drawn)), [int((bag > 0).sum()) for _, bag in drawn])
-                ts = [t for t, _ in drawn]
-                yield grow(g, job, ts, [g.root(t) for t in ts], x[at], g.stats(y[at], w), root, 0)
-
-    pieces = min(len(work), 4 * parallel)
-    order = spark.range(0, len(work), 1, max(pieces, 1))
-    return order.mapInArrow(run, NODES).checkpoint(eager=True)
+def _fits(rows: DataFrame, handoff: int) -> bool:
+    """Whether the table is one node for a task, and small enough to be sent to all."""
+    ship_package(rows.sparkSession)
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("x")).alias("p")).first()
+    return size["n"] <= handoff and size["n"] * ((size["p"] or 0) + 5) * 8 <= BROADCAST_BYTES
+
+
+class _SharedWork:
+    """A small table sent to all tasks; a task grows some trees of one setting side by side."""
+
+    def __init__(self, rows: DataFrame, growers: Sequence[Grower]):
+        self.spark, self.growers = rows.sparkSession, list(growers)
+        table = rows.orderBy("store", "rid").toArrow()
+        self.shared = self.spark.sparkContext.broadcast(
+            (table["rid"].to_numpy(), table["store"].to_numpy(), table["held"].to_numpy(), _matrix(table["x"]),
+             table["y"].to_numpy(), table["w"].to_numpy()))
+        self.parallel = max(self.spark.sparkContext.defaultParallelism, 1)
+        # trees of one setting grow side by side: enough of them to be worth a step, few enough to spread the work
+        side = max(1, min(TOGETHER_ROWS // max(table.num_rows, 1), math.ceil(sum(g.trees for g in growers) / (2 * self.parallel))))
+        self.work = [(job, range(t, min(t + side, g.trees))) for job, g in enumerate(growers) for t in range(0, g.trees, side)]
+
+    def run(self, emit, schema: str) -> DataFrame:
+        """What ``emit(job, nodes, (rid, x, y) of the held rows)`` makes of every piece of work."""
+        shared, work, growers = self.shared, self.work, self.growers
+
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rid, store, held, x, y, weight = shared.value
+            for batch in batches:
+                for i in batch.column(0).to_pylist():
+                    job, trees = work[i]
+                    g = growers[job]
+                    here = store == g.store
+                    mine, away = np.flatnonzero(here & ~held), np.flatnonzero(here & held)
+                    if not len(mine):
+                        continue
+                    drawn = [(t, bag) for t in trees if (bag := g.bag(t, rid[mine])).any()]
+                    at = np.concatenate([mine[bag > 0] for _, bag in drawn])
+                    w = weight[at] * np.concatenate([bag[bag > 0] for _, bag in drawn])
+                    root = np.repeat(np.arange(len(drawn)), [int((bag > 0).sum()) for _, bag in drawn])
+                    ts = [t for t, _ in drawn]
+                    nodes = grow(g, job, ts, [g.root(t) for t in ts], x[at], g.stats(y[at], w), root, 0)
+                    yield emit(job, nodes, (rid[away], x[away], y[away]))
+
+        order = self.spark.range(0, len(work), 1, max(min(len(work), 4 * self.parallel), 1))
+        return order.mapInArrow(each, schema)
+
+
+def cross_values(rows: DataFrame, growers: Sequence[Grower], handoff: int = HANDOFF) -> DataFrame:
+    """``(job, rid, y, value)`` of every grower's held rows, as ``held_out_values`` of what ``grow_forests`` grows.
+
+    Trees of a small table score their held rows where they grow and are not kept.
+    """
+    if not _fits(rows, handoff):
+        return held_out_values(rows, grow_forests(rows, growers, handoff), growers)
+    info = [(g.classes, g.center) for g in growers]
+    width = max((g.classes or 1) for g in growers)
+    names = [f"v{i}" for i in range(width)]
+
+    def emit(job: int, nodes: pa.RecordBatch, held) -> pa.RecordBatch:
+        rid, x, y = held
+        packed = Packed(pa.Table.from_batches([nodes]), *info[job])
+        total = np.zeros((len(rid), width))
+        value = packed.predict(x) * len(packed.start)
+        total[:, :value.shape[1]] = value
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(rid), job, np.int32)), pa.array(rid), pa.array(y),
+             pa.array(np.full(len(rid), len(packed.start), np.int64)), *[pa.array(total[:, i]) for i in range(width)]],
+            names=["job", "rid", "y", "trees", *names])
+
+    sums = _SharedWork(rows, growers).run(emit, "job int, rid long, y double, trees long, " + ", ".join(f"{n} double" for n in names))
+    return sums.groupBy("job", "rid").agg(F.first("y").alias("y"), F.sum("trees").alias("trees"),
+                                          *[F.sum(n).alias(n) for n in names]).select(
+        "job", "rid", "y", F.array(*[F.col(n) / F.col("trees") for n in names]).alias("value"))
 
 
 def _grow_by_levels(rows: DataFrame, g: Grower, job: int, trees: range, handoff: int) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from quarry.functions.frames import q
 from quarry.functions.ranks import prefix_counts
 from quarry.operators.forest import (
-    ForestClassifier, ForestEstimator, ForestRegressor, grow_forests, held_out_values, stored_rows,
+    ForestClassifier, ForestEstimator, ForestRegressor, cross_values, stored_rows,
 )
 from quarry.operators.learners import (
     GaussianNB, KNNClassifier, RandomFourierFeatures, _features_array, rbf_gamma_scale,
@@ -339,7 +339,7 @@ def _tree_scores(store: TrainingStore, folds: Sequence[DataFrame], stages: Seque
     seen = rows.agg(F.max("y").alias("k"), F.avg("y").alias("mean"), F.max(F.size("x")).alias("p")).first()
     classes = int(seen["k"]) + 1 if store.classifier else 0
     growers = [s.grower(seen["p"], classes, 0.0 if classes else seen["mean"], i) for s in stages for i in range(n)]
-    values = held_out_values(rows, grow_forests(rows, growers), growers)
+    values = cross_values(rows, growers)
     v = F.col("value")
     prediction = (F.array_position(v, F.array_max(v)) - 1).cast("double") if classes else v[0]
     predicted = values.select(F.col("job").alias("store"), "y", prediction.alias("prediction"))

@@ -41,6 +41,9 @@ def test_trees_do_not_depend_on_where_they_grow(spark, tables, kind, classes):
     a, b = ({r.rid: [round(v, 9) for v in r.value] for r in fo.held_out_values(tables[classes], n, [g]).collect()}
             for n in (whole, levels))
     assert a == b and len(a) == len(range(0, N, 7))
+    for handoff in (fo.HANDOFF, 60):
+        c = fo.cross_values(tables[classes], [g], handoff).collect()
+        assert {r.rid: [round(v, 9) for v in r.value] for r in c} == a
     want = fo.Packed(whole.toArrow(), classes, 0.0).predict(X[::7])
     assert np.allclose([a[i] for i in range(0, N, 7)], want)
 
