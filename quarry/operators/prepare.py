@@ -93,7 +93,7 @@ def detect_target(df: DataFrame, user_target: str | None = None) -> str:
     else the last column if distinct/rows < 0.90; else error."""
     if user_target:
         if user_target not in df.columns:
-            raise TargetNotFoundError(f"{user_target} not found.")
+            raise TargetNotFoundError(f"no column is named {user_target!r}")
         return user_target
     for c in df.columns:
         if c.strip().lower() in TARGET_HINTS:
@@ -103,7 +103,7 @@ def detect_target(df: DataFrame, user_target: str | None = None) -> str:
     n = row["n"] or 0
     if n and _distinct_count(df, last) / n < LAST_COLUMN_UNIQUE_RATIO:
         return last
-    raise TargetNotFoundError("Unable to detect target column.")
+    raise TargetNotFoundError("no column looks like a target; name one")
 
 
 def target_stats(df: DataFrame, target: str) -> DataFrame:

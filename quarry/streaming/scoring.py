@@ -1,11 +1,11 @@
 """Scoring a stream with a saved pipeline.
 
 ``PipelineModel.transform`` is a chain of projections for expression-based
-learners (trees, linear models, naive Bayes), so it applies unchanged to a
-streaming DataFrame: rows arriving in a source folder are scored as they land
-and appended to a sink. Learners that need a join against stored training
-rows or cogrouped blocks (k nearest neighbours, extra trees) score batches
-via ``foreachBatch`` instead.
+learners (linear models, naive Bayes, boosted stumps, and forests small enough
+to be sent to every task), so it applies unchanged to a streaming DataFrame:
+rows arriving in a source folder are scored as they land and appended to a
+sink. Learners that need a join against stored rows (k nearest neighbours,
+larger forests) score batches via ``foreachBatch`` instead.
 """
 
 from __future__ import annotations
