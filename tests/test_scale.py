@@ -72,3 +72,40 @@ def test_levels_do_not_write_the_rows_again(spark, monkeypatch):
     key = ["t", "node", "depth", "f", "cut"]
     whole = fo.grow_forests(df, [g], handoff=1000)
     assert {tuple(r) for r in levels.select(key).collect()} == {tuple(r) for r in whole.select(key).collect()}
+
+
+def test_settings_go_through_the_levels_together(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    rng = np.random.default_rng(2)
+    rows = [(i, 0, i % 5 == 0, [float(v) for v in rng.integers(0, 40, 4)], float(rng.integers(0, 2)), 1.0) for i in range(400)]
+    df = spark.createDataFrame(rows, fo.ROWS).repartition(3).checkpoint(eager=True)
+    calls, real = [], DataFrame.mapInArrow
+    monkeypatch.setattr(DataFrame, "mapInArrow", lambda self, f, *a, **k: calls.append(f.__name__) or real(self, f, *a, **k))
+    settings = [fo.Grower("tree", 2, 1, depth, least, 4, store=0) for depth in (0, 3) for least in (1, 4)]
+    values = fo.cross_values(df, settings, handoff=80).collect()
+    together, calls[:] = list(calls), []
+    fo.cross_values(df, settings[:1], handoff=80)
+    assert together == calls  # four settings take the passes of one
+    for job, g in enumerate(settings):
+        alone = {r.rid: r.value for r in fo.cross_values(df, [g], handoff=1000).collect()}
+        assert {r.rid: r.value for r in values if r.job == job} == alone and len(alone) == 80
+
+
+def test_splits_by_drawn_candidates_are_the_best_splits():
+    rng = np.random.default_rng(3)
+    x = np.column_stack([rng.integers(0, k, 600) for k in (2, 2, 3, 9, 50, 400)]).astype(float)
+    y, bag = rng.integers(0, 3, 600), rng.integers(1, 4, 600).astype(float)
+    g = fo.Grower("forest", 3, 1, features=2)
+    node = np.sort(rng.integers(0, 7, 600))
+    keys = np.arange(1, 8) * 12345
+    stats = g.stats(y, bag)
+    total = fo._sums(stats, np.arange(600), node, 7)
+    varies = np.ones((7, 6), bool)
+    varies[2, :5] = False  # one candidate only
+    pick = g.candidates(keys, varies)
+    codes = np.column_stack([np.unique(x[:, f], return_inverse=True)[1] for f in range(6)])
+    a = fo._drawn_splits(g, x, codes, stats, np.arange(600), node, pick, varies, total)
+    orders = [np.lexsort((x[:, f], node)) for f in range(6)]
+    b = fo._best_splits(g, x, stats, orders, node, pick, varies, keys, total)
+    assert all((p == q).all() for p, q in zip(a, b)) and (a[0] >= 0).all()
