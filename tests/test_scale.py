@@ -94,18 +94,22 @@ def test_settings_go_through_the_levels_together(spark, monkeypatch):
 
 def test_splits_by_drawn_candidates_are_the_best_splits():
     rng = np.random.default_rng(3)
-    x = np.column_stack([rng.integers(0, k, 600) for k in (2, 2, 3, 9, 50, 400)]).astype(float)
+    x = np.column_stack([rng.integers(0, k, 600) for k in (2, 2, 3, 9, 50, 400)]) / 4 - 1
     y, bag = rng.integers(0, 3, 600), rng.integers(1, 4, 600).astype(float)
     g = fo.Grower("forest", 3, 1, features=2)
     node = np.sort(rng.integers(0, 7, 600))
-    keys = np.arange(1, 8) * 12345
+    x[node == 2, :5] = 0  # one candidate only
+    varies = np.array([[len(set(x[node == i, f])) > 1 for f in range(6)] for i in range(7)])
     stats = g.stats(y, bag)
     total = fo._sums(stats, np.arange(600), node, 7)
-    varies = np.ones((7, 6), bool)
-    varies[2, :5] = False  # one candidate only
-    pick = g.candidates(keys, varies)
-    codes = np.column_stack([np.unique(x[:, f], return_inverse=True)[1] for f in range(6)])
-    a = fo._drawn_splits(g, x, codes, stats, np.arange(600), node, pick, varies, total)
-    orders = [np.lexsort((x[:, f], node)) for f in range(6)]
-    b = fo._best_splits(g, x, stats, orders, node, pick, varies, keys, total)
-    assert all((p == q).all() for p, q in zip(a, b)) and (a[0] >= 0).all()
+    pick = g.candidates(np.arange(1, 8) * 12345, varies)
+    f, cut, share = fo._best_splits(g, *fo._ranked(x), stats, np.arange(600), node, pick, varies, total)
+    for i in range(7):
+        best = (np.inf, -1, 0.0)
+        for j in pick[i][varies[i, pick[i]]]:
+            v = np.unique(x[node == i, j])
+            for low, high in zip(v, v[1:]):
+                left = stats[(node == i) & (x[:, j] <= low)].sum(axis=0)
+                loss = float(g.relative(left, total[i]))
+                best = min(best, (loss, int(j), float(low + (high - low) / 2)), key=lambda b: b[0])
+        assert best == (share[i], f[i], cut[i])
