@@ -147,3 +147,51 @@ def test_shapley_values_equal_the_sum_over_subsets(spark, classes):
                        * (value[tuple(sorted((*s, f)))] - v) for s, v in value.items() if f not in s)
             assert math.isclose(got[i, f"f{f}"], want, rel_tol=1e-9, abs_tol=1e-9)
         assert math.isclose(base + sum(got[i, f"f{f}"] for f in range(P)), value[tuple(range(P))], rel_tol=1e-9, abs_tol=1e-9)
+
+
+def test_no_value_of_a_large_table_is_rounded(spark):
+    rows = spark.range(0, 66_000, 1, 4).selectExpr("id rid", "-1 store", "false held", "array(id / 7D, id % 3D) x", "id % 5D y", "1D w")
+    assert fo.stored_rows(rows).select(F.col("x")[0]).distinct().count() == 66_000
+
+
+@pytest.mark.parametrize("kind,classes", [("tree", 0), ("forest", 2)])
+def test_large_nodes_find_the_cuts_between_all_values(spark, monkeypatch, kind, classes):
+    """Ranges that hold many values are opened where they may hold the best cut, also of targets that are not whole."""
+    monkeypatch.setattr(fo, "BUCKETS", 8)
+    rng = np.random.default_rng(4)
+    x = np.column_stack([rng.normal(size=900), rng.integers(0, 2, 900), rng.random(900) * 100])
+    y = np.round(x[:, 2] * 1.37 + 9 * np.sin(5 * x[:, 0]) + rng.normal(size=900) + 1e4, 2)
+    y = (y > np.median(y)).astype(float) if classes else y
+    df = spark.createDataFrame([(i, -1, False, x[i].tolist(), float(y[i]), 1.0) for i in range(900)], fo.ROWS).repartition(2).checkpoint()
+    g = fo.Grower(kind, classes, 1, 0, 3, 2 if classes else 3, 42, -1, *((0.0, 1.0) if classes else fo.target_steps(y.min(), y.mean(), y.max())))
+    whole, levels = (sorted((r.t, r.node, r.depth, r.f, r.cut, r.lo, r.hi) for r in fo.grow_forests(df, [g], n).collect()) for n in (1000, 300))
+    assert whole == levels and len(whole) > 40
+
+
+def test_sorted_rows_find_the_best_of_all_cuts():
+    """Ties between features go to the one drawn first, though targets are not whole."""
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=60)
+    x = np.column_stack([base, -base, base ** 3, rng.integers(0, 2, 60), np.round(base)])
+    y, bag = np.round(rng.random(60) * 1e5, 2), rng.integers(1, 4, 60).astype(float)
+    for w in (np.ones(60), bag):
+        g = fo.Grower("forest", 0, 1, 0, 1, 5, 42, -1, *fo.target_steps(y.min(), y.mean(), y.max()))
+        nodes = fo.grow(g, 0, [0], [g.root(0)], x, g.stats(y, w), np.zeros(60, np.int64), 0, g.steps(y, w)).to_pylist()
+
+        def walk(node, rows):
+            if node["f"] < 0:
+                assert len(rows) == 1
+                return
+            def loss(r):
+                return (w[r] * (y[r] - np.average(y[r], weights=w[r])) ** 2).sum() if len(r) else 0.0
+            cuts = [(round((loss(rows[x[rows, f] <= c]) + loss(rows[x[rows, f] > c])) / loss(rows), 9), k) for k, f in enumerate(
+                g.candidates(np.array([node["node"]]), np.array([[len(set(x[rows, f])) > 1 for f in range(5)]]))[0])
+                for c in np.unique(x[rows, f])[:-1]]
+            low = x[rows, node["f"]] <= node["cut"]
+            assert math.isclose((loss(rows[low]) + loss(rows[~low])) / loss(rows), min(cuts)[0], abs_tol=1e-8)
+            drawn = g.candidates(np.array([node["node"]]), np.array([[len(set(x[rows, f])) > 1 for f in range(5)]]))[0].tolist()
+            assert drawn.index(node["f"]) == min(cuts)[1]
+            by = {n["node"]: n for n in nodes}
+            walk(by[node["lo"]], rows[low])
+            walk(by[node["hi"]], rows[~low])
+        walk(next(n for n in nodes if n["depth"] == 0), np.arange(60))
