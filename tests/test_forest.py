@@ -195,3 +195,15 @@ def test_sorted_rows_find_the_best_of_all_cuts():
             walk(by[node["lo"]], rows[low])
             walk(by[node["hi"]], rows[~low])
         walk(next(n for n in nodes if n["depth"] == 0), np.arange(60))
+
+
+def test_few_rows_are_sent_to_the_nodes_of_a_large_forest(spark, monkeypatch):
+    """A forest too large to be sent to every task scores rows that are not, through levels and whole trees alike."""
+    df = _frame(spark, CLASSES)
+    for est in (fo.ForestClassifier(numTrees=3, handoff=60), fo.ForestClassifier(numTrees=3)):
+        model = est.fit(df)
+        want = {r.id: r.probability.toArray().round(9).tolist() for r in model.transform(df).collect()}
+        monkeypatch.setattr(fo, "packed_bytes", lambda nodes: fo.BROADCAST_BYTES + 1)
+        monkeypatch.setattr(fo, "_asked_batch", None)  # the rows are not dealt out tree by tree
+        assert {r.id: r.probability.toArray().round(9).tolist() for r in model.transform(df).collect()} == want
+        monkeypatch.undo()
